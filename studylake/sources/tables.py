@@ -62,6 +62,26 @@ VIEWS: dict[str, str] = {
                                       WHEN 2 THEN '.txt' ELSE '.docx' END) AS filename,
                concat('kb', CAST(doc_id % 3 AS STRING)) AS kb_name
         FROM documents""",
+    "study_docs": """
+        SELECT doc_id, concat(CASE doc_id % 10
+            WHEN 0 THEN '七年级数学期中试卷 满分：120 时间 90分钟 2023'
+            WHEN 1 THEN '八年级 化学方程式 2H2+O2 = 2H2O 燃烧反应 第 2 题 第十二题'
+            WHEN 2 THEN '二年级 阅读 应用题（5分）'
+            WHEN 3 THEN '物理 如图 电路图所示 初二 第一题'
+            WHEN 4 THEN 'EMBED Equation.3'
+            WHEN 5 THEN '设备温度多少度 wifi状态 存储空间'
+            WHEN 6 THEN '教材 练习题 解释概念'
+            WHEN 7 THEN '考试时间 90'
+            WHEN 8 THEN concat('(1,2)(3,4)(5,6)(7,8)(9,1)(2,3)', repeat('�', 12))
+            ELSE '全县统一考试 语文 五年级' END, chr(10), text) AS text
+        FROM documents""",
+    "replies": """
+        SELECT conv_id, turn, concat('【第', CAST(turn + 1 AS STRING), '题】', text,
+            CASE turn % 4 WHEN 0 THEN concat(chr(10), 'A. 1', chr(10), 'B. 2 [ANSWER_KEY:B]')
+              WHEN 1 THEN concat(' 答案是', CAST(conv_id % 7 AS STRING), '。 [KP_ID:math/g7s1/ch01/kp', CAST(turn AS STRING), ']')
+              WHEN 2 THEN concat(' 所以选C。', chr(10), '[ANSWER:correct:physics/g8s1/ch01/kp2]')
+              ELSE ' 【知识点：绝对值】 x=12' END) AS reply
+        FROM conversations""",
     "grading_pairs": """
         SELECT l_orderkey, l_linenumber, l_partkey,
                CASE l_linenumber % 4 WHEN 0 THEN l_returnflag
@@ -102,7 +122,8 @@ VIEWS: dict[str, str] = {
 }
 
 _BASE = {
-    "answers": ["events"], "quiz_raw": ["events"], "kps": ["part"], "docs": ["documents"],
+    "answers": ["events"], "quiz_raw": ["events"], "kps": ["part"], "docs": ["documents"], "study_docs": ["documents"],
+    "replies": ["conversations"],
     "grading_pairs": ["lineitem"], "create_attempts": ["events"], "uploads": ["events"],
     "backend_calls": ["events"], "telemetry": ["events"], "messages": ["conversations"],
     "paper_lines": ["conversations"],
