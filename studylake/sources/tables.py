@@ -104,6 +104,35 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS call_id, event_id AS at_s, user_id % 3 AS backend,
                event_type <> 'error' AS ok
         FROM events""",
+    "sessions": """
+        SELECT o_orderkey AS session_id, o_custkey AS learner_id, concat('chat', CAST(o_custkey AS STRING)) AS chat_id,
+               CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'active' ELSE 'completed' END AS status,
+               o_orderdate AS created_at, o_orderdate + INTERVAL 400 DAY AS expires_at,
+               CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('paper ', o_orderpriority) END AS title,
+               CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('file', CAST(o_orderkey AS STRING)) END AS source_file,
+               CASE o_orderkey % 4 WHEN 0 THEN 'wechat' WHEN 1 THEN 'web_upload' WHEN 2 THEN 'auto_generated' ELSE 'other' END AS source,
+               CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'exam' END AS task_type
+        FROM orders""",
+    "ingest_stages": f"""
+        SELECT event_id, ts, concat(CAST(user_id AS STRING), '-', CAST({_K} AS STRING)) AS trace_id,
+               CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'embedded' ELSE 'received' END AS stage
+        FROM events""",
+    "ingest_steps": f"""
+        SELECT user_id AS run_id, {_K} AS file_id,
+               CASE event_type WHEN 'error' THEN CASE WHEN {_K} % 2 = 0 THEN 'page_failed' ELSE 'error' END
+                 WHEN 'view' THEN 'page_done' WHEN 'click' THEN 'page_skipped' ELSE 'file_out' END AS kind
+        FROM events""",
+    "book_events": f"""
+        SELECT user_id AS book_id, event_id AS pos,
+               CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'start' WHEN 'click' THEN 'complete' ELSE 'other' END AS kind,
+               CASE {_K} % 6 WHEN 0 THEN 'ideation' WHEN 1 THEN 'exploration' WHEN 2 THEN 'synthesis' WHEN 3 THEN 'critique'
+                 WHEN 4 THEN 'overview' ELSE 'compilation' END AS stage
+        FROM events""",
+    "book_kinds": f"""
+        SELECT user_id AS book_id, event_id AS pos, CAST({_K} AS BIGINT) AS chapter_count,
+               CASE {_K} % 7 WHEN 0 THEN 'page_planning' WHEN 1 THEN 'page_compiled' WHEN 2 THEN 'page_ready' WHEN 3 THEN 'block_ready'
+                 WHEN 4 THEN 'block_error' WHEN 5 THEN 'spine_round' ELSE 'spine_ready' END AS kind
+        FROM events""",
     "telemetry": f"""
         SELECT event_id, ts, user_id AS device_id, 40 + value / 10 AS cpu,
                least(value / 4, CAST(100 AS DOUBLE)) AS used_percent, 100 - {_K} AS ssd_life
@@ -124,6 +153,8 @@ VIEWS: dict[str, str] = {
 _BASE = {
     "answers": ["events"], "quiz_raw": ["events"], "kps": ["part"], "docs": ["documents"], "study_docs": ["documents"],
     "replies": ["conversations"],
+    "sessions": ["orders"], "ingest_stages": ["events"], "ingest_steps": ["events"],
+    "book_events": ["events"], "book_kinds": ["events"],
     "grading_pairs": ["lineitem"], "create_attempts": ["events"], "uploads": ["events"],
     "backend_calls": ["events"], "telemetry": ["events"], "messages": ["conversations"],
     "paper_lines": ["conversations"],
