@@ -27,4 +27,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from studylake.catalog import cohort, corpus, mastery, ops, progress, text  # noqa: F401
+    from studylake.catalog import cohort, corpus, mastery, ops, progress, retrieval, text  # noqa: F401
