@@ -144,6 +144,14 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT conv_id, conv_id * 1000 + turn + 500, conv_id * 1000 + turn - 1, role, concat('edited ', text)
         FROM conversations WHERE turn > 0 AND turn % 3 = 2""",
+    "part_replies": """
+        SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 0 ELSE p_partkey % 5 + 1 END AS idx, CASE p_partkey % 7 WHEN 0 THEN 1 ELSE 8 END AS total,
+               CASE p_partkey % 4 WHEN 0 THEN 'choice' WHEN 1 THEN 'fill_blank' WHEN 2 THEN 'written' ELSE 'riddle' END AS qtype,
+               CASE p_partkey % 6 WHEN 0 THEN '' ELSE concat(p_name, ' of ', p_brand) END AS content,
+               CASE p_partkey % 11 WHEN 0 THEN '' ELSE p_brand END AS answer_key, p_type AS explanation,
+               CASE p_partkey % 5 WHEN 0 THEN 'extreme' ELSE 'easy' END AS difficulty, p_partkey % 8 < 4 AS has_options,
+               p_partkey % 10 AS form
+        FROM part""",
     "paper_lines": """
         SELECT conv_id AS paper_id, turn + 1 AS line_no,
                concat('第', CAST(turn + 1 AS STRING), '题 ', text) AS line
@@ -157,7 +165,7 @@ _BASE = {
     "book_events": ["events"], "book_kinds": ["events"],
     "grading_pairs": ["lineitem"], "create_attempts": ["events"], "uploads": ["events"],
     "backend_calls": ["events"], "telemetry": ["events"], "messages": ["conversations"],
-    "paper_lines": ["conversations"],
+    "paper_lines": ["conversations"], "part_replies": ["part"],
 }
 
 
