@@ -206,14 +206,19 @@ def mastery_guidance(lvl: Column, total: Column) -> Column:
     )
 
 
+def mastery_with_last_day(answers: DataFrame) -> DataFrame:
+    """Mastery with the day of the last answer."""
+    per = answers.groupBy("learner_id", "kp_id").agg(*_counts(), F.max("day").alias("last_day"))
+    return per.withColumn("level", level())
+
+
 def review_schedule(answers: DataFrame) -> DataFrame:
     """Current due date per (learner, point).
 
     The last answer wins and is scheduled with the level after it, which is the final level, so
     one aggregation gives the schedule without ordering any rows.
     """
-    per = answers.groupBy("learner_id", "kp_id").agg(*_counts(), F.max("day").alias("last_day"))
-    per = per.withColumn("level", level())
+    per = mastery_with_last_day(answers)
     return per.withColumn("_days", review_interval(F.col("level"))).select(
         "learner_id", "kp_id", "level", F.expr("date_add(last_day, _days)").alias("due")
     )
