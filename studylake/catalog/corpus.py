@@ -11,7 +11,7 @@ from studylake.operators import curriculum as U
 from studylake.operators import mastery as M
 from studylake.operators import progress as P
 from studylake.sources import readers
-from studylake.sources.tables import AS_OF, KP_EDGES_ORACLE, kp_edges, load, oracle, view
+from studylake.sources.tables import AS_OF, KP_EDGES_ORACLE, kp_edges, load, oracle, spread, view
 from studylake.functions import rules as R
 from studylake.functions.rounding import level_oracle
 
@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("a05_decode_text")
 def _(spark, sf):
-    raw = load(spark, sf, "documents").select("doc_id", F.expr(
+    raw = spread(load(spark, sf, "documents")).select("doc_id", F.expr(
         "CASE WHEN doc_id % 3 = 0 THEN encode(text, 'ISO-8859-1') ELSE encode(text, 'UTF-8') END").alias("content"))
     return readers.decode_text(raw).select("doc_id", "text")
 
@@ -119,7 +119,7 @@ _PACK = f"""ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM d
 
 
 def chunks(spark, sf):
-    return K.chunk_rows(load(spark, sf, "documents").select("doc_id", "text"), separator="\n")
+    return K.chunk_rows(spread(load(spark, sf, "documents")).select("doc_id", "text"), separator="\n")
 
 
 @query("x01_pack_chunks", f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_id, chunk_index, text FROM ids")
@@ -141,7 +141,7 @@ def _(spark, sf):
 def headed(spark, sf):
     """Documents with every tenth line made a heading, levels in turn."""
     line = "CASE WHEN i % 10 = 0 THEN concat(repeat('#', CAST(2 + (i div 10) % 3 AS INT)), ' ', l) ELSE l END"
-    return load(spark, sf, "documents").selectExpr("doc_id", f"array_join(transform(split(text, '\\n'), (l, i) -> {line}), '\\n') AS text")
+    return spread(load(spark, sf, "documents")).selectExpr("doc_id", f"array_join(transform(split(text, '\\n'), (l, i) -> {line}), '\\n') AS text")
 
 
 @query("x02_semantic_chunk")
@@ -174,7 +174,7 @@ _NL = chr(10)
       WHERE chunk <> ''""",
 )
 def _(spark, sf):
-    rows = load(spark, sf, "documents").select("doc_id", F.posexplode(K.sliding_chunk()(F.col("text"))).alias("pos", "chunk"))
+    rows = spread(load(spark, sf, "documents")).select("doc_id", F.posexplode(K.sliding_chunk()(F.col("text"))).alias("pos", "chunk"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -218,7 +218,7 @@ def _(spark, sf):
 
 @query("u02_content_dedup", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def _(spark, sf):
-    return K.content_dedup(load(spark, sf, "documents"))
+    return K.content_dedup(spread(load(spark, sf, "documents")))
 
 
 @query(
@@ -278,7 +278,7 @@ def _(spark, sf):
         CASE WHEN length(side) > length(text) * 1.2 THEN side ELSE text END AS text FROM documents d LEFT JOIN s USING (doc_id)""",
 )
 def _(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "text")
+    d = spread(load(spark, sf, "documents")).select("doc_id", "text")
     side = d.join(load(spark, sf, "labels"), "doc_id").select(
         "doc_id", F.expr("CASE WHEN quality = 1 THEN concat(text, text) ELSE concat(text, '.') END AS text"))
     return K.prefer_longer_sidecar(d, side)
@@ -337,7 +337,7 @@ def _(spark, sf):
         replace(replace(substr(question, 1, 80), ' ', ''), chr(10), '')) AS withheld FROM q JOIN documents ON doc_id = learner_id""",
 )
 def _(spark, sf):
-    d = load(spark, sf, "documents")
+    d = spread(load(spark, sf, "documents"))
     questions = d.selectExpr(
         "doc_id AS learner_id", "inline(array(struct(doc_id * 2 AS question_id, substring(text, 50, 100) AS question), "
         "struct(doc_id * 2 + 1 AS question_id, concat('zz', substring(text, 1, 50)) AS question)))")

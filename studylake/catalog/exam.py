@@ -7,7 +7,7 @@ from studylake.catalog.text import GRADE_SQL, MATCH_SQL, first_sql, q, strip_sql
 from studylake.functions import grading as G
 from studylake.functions import rules as R
 from studylake.operators import exam as X
-from studylake.sources.tables import load, oracle, view
+from studylake.sources.tables import load, oracle, spread, view
 
 _BLOCK = """SELECT doc_id, pos, pos div 40 AS page, CASE WHEN pos % 7 = 6 THEN 'image' ELSE 'text' END AS type,
   CASE WHEN pos % 3 = 0 THEN 350 ELSE 50 END AS x0, 600 AS page_width, 14 * (pos % 40) + 14 AS y1, 700 AS page_height,
@@ -134,7 +134,7 @@ _MADE = """SELECT l_orderkey AS paper_id, l_linenumber + CAST(l_suppkey % 5 = 0
 
 
 def _lines(spark, sf, text):
-    return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=load(spark, sf, "lineitem"))
+    return spark.sql(text.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spread(load(spark, sf, "lineitem")))
 
 
 @query(

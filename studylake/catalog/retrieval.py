@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studylake.catalog import query
 from studylake.operators import retrieval as V
-from studylake.sources.tables import VIEWS, load, view
+from studylake.sources.tables import VIEWS, load, spread, view
 
 _CENTRES = """mean AS (SELECT CAST(label AS BIGINT) AS query_id, i AS dim, avg(CAST(x AS DOUBLE)) AS x FROM (
     SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) c GROUP BY 1, 2),
@@ -88,9 +88,14 @@ _BM25 = """tk AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\
   lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) x WHERE rank <= 10)"""
 
 
-def lexical(spark, sf):
+def lexical(spark, sf, **limits):
     queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return V.bm25_topk(queries, load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), 10)
+    return V.bm25_topk(queries, spread(load(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "text"), 10, **limits)
+
+
+@query("t06_bm25_topk_joined", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex")
+def _(spark, sf):
+    return lexical(spark, sf, max_cells=0).withColumn("score", F.round("score", 6))
 
 
 @query("t06_bm25_topk", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex")

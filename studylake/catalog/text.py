@@ -7,7 +7,7 @@ from studylake.functions import grading as G
 from studylake.functions import rules as R
 from studylake.functions import text as T
 from studylake.operators import mastery as M
-from studylake.sources.tables import load, oracle, view
+from studylake.sources.tables import load, oracle, spread, view
 
 WS = R.WHITE
 
@@ -258,8 +258,8 @@ def _(spark, sf):
 
 @query(
     "b16_formula_diagram",
-    oracle(["study_docs"], f"""SELECT doc_id, {matches_sql('text', R.FORMULA)} AND {matches_sql('text', R.FORMULA_OPERATOR)} AS formula,
-      {matches_sql('text', R.DIAGRAM)} AS diagram FROM study_docs"""),
+    oracle(["study_docs"], f"""SELECT doc_id, {matches_sql('text', R.FORMULA)} AND regexp_matches(text, '[=＝+]') AS formula,
+      regexp_matches(text, '(?i)[图图表][0-9一二三四五六七八九十]|如图|Fig[.]|diagram|graph|figure|所示|示意图|电路图|受力分析|光路|函数[图像]|坐标系|坐标图') AS diagram FROM study_docs"""),
 )
 def _(spark, sf):
     text = F.col("text")
@@ -375,7 +375,7 @@ def _(spark, sf):
 
 @query(
     "h08_strip_ole",
-    oracle(["study_docs"], f"""SELECT doc_id, {strip_sql(without_sql(without_sql('text', R.OLE_REMNANT), chr(10) + '{3,}', chr(10) * 2))} AS text
+    oracle(["study_docs"], f"""SELECT doc_id, {strip_sql(without_sql(without_sql('text', R.OLE_REMNANT.replace('(?=[EOHPRTS])', '')), chr(10) + '{3,}', chr(10) * 2))} AS text
       FROM study_docs"""),
 )
 def _(spark, sf):
@@ -390,7 +390,7 @@ def _html_sql(col: str) -> str:
 
 @query("h09_sanitize_html", f"SELECT page_id, {_html_sql('html')} AS html FROM pages")
 def _(spark, sf):
-    return load(spark, sf, "pages").select("page_id", T.sanitize_html(F.col("html")).alias("html"))
+    return spread(load(spark, sf, "pages")).select("page_id", T.sanitize_html(F.col("html")).alias("html"))
 
 
 _KEEP = f"""NOT ({matches_sql('x', R.TITLE_PAGE_LINE)} OR {matches_sql('x', R.TITLE_NOISE)} OR {matches_sql('x', R.TITLE_QUESTION)}

@@ -6,27 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from studylake.functions import rules as R
-from studylake.functions.text import any_of, strip
+from studylake.functions.text import any_of, bind, strip
 
 
 def _numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)(\d+)"), F.lit(1))
 
 
-def match_answers(student: Column, correct: Column) -> Column:
-    """Same answer: equal text (case aside), every digit run of the key given, or equal without
-    trailing units.  Two different option letters never match."""
+def _pair(student: Column, correct: Column, body) -> Column:
+    """Evaluate ``body`` on both answers stripped, with their digit runs, each computed once."""
     s, c = strip(student), strip(correct)
+    pair = F.struct(s.alias("s"), c.alias("c"), _numbers(s).alias("sn"), _numbers(c).alias("cn"))
+    return bind(pair, body)
+
+
+def _same(p: Column) -> Column:
     letters = ["A", "B", "C", "D"]
-    need, given = _numbers(c), _numbers(s)
     tail = "(?U)" + R.ANSWER_TAIL
-    s_bare, c_bare = F.regexp_replace(s, tail, ""), F.regexp_replace(c, tail, "")
+    s, c = p["s"], p["c"]
     return (
         F.when((s == "") | (c == ""), False)
-        .when(F.upper(s) == F.upper(c), True)
+        .when((s == c) | (F.upper(s) == F.upper(c)), True)
         .when(s.isin(letters) & c.isin(letters), False)
-        .when((F.size(need) > 0) & (F.size(F.array_except(need, given)) == 0), True)
-        .otherwise((s_bare != "") & (s_bare == c_bare))
+        .when((F.size(p["cn"]) > 0) & (F.size(F.array_except(p["cn"], p["sn"])) == 0), True)
+        .otherwise(bind(F.regexp_replace(s, tail, ""), lambda bare: (bare != "") & (bare == F.regexp_replace(c, tail, ""))))
     )
 
 
@@ -35,25 +38,38 @@ def _terms(text: Column) -> Column:
     return sum((text.contains(t).cast("long") * (1 << i) for i, t in enumerate(R.KEY_TERMS)), F.lit(0).cast("long"))
 
 
+def _near(p: Column) -> Column:
+    letter = r"([a-d])\)?$"
+    sn, cn = F.array_distinct(p["sn"]), F.array_distinct(p["cn"])
+    lows = F.struct(F.lower(p["s"]).alias("s"), F.lower(p["c"]).alias("c"))
+
+    def judge(low: Column) -> Column:
+        s, c = low["s"], low["c"]
+        s_letter, terms = F.regexp_extract(s, letter, 1), _terms(s)
+        near = (
+            ((s_letter != "") & (s_letter == F.regexp_extract(c, letter, 1)))
+            | ((F.size(sn) > 0) & (F.size(cn) > 0) & (F.size(F.array_intersect(sn, cn)) >= F.size(cn) * 0.5))
+            | ((terms != 0) & (terms == _terms(c)))
+        )
+        return (s != "") & (c != "") & (s != c) & near
+
+    return bind(lows, judge)
+
+
+def match_answers(student: Column, correct: Column) -> Column:
+    """Same answer: equal text (case aside), every digit run of the key given, or equal without
+    trailing units.  Two different option letters never match."""
+    return _pair(student, correct, _same)
+
+
 def match_semantic(student: Column, correct: Column) -> Column:
     """Right idea, not the same answer: same option letter, half of the numbers, same key terms."""
-    s, c = F.lower(strip(student)), F.lower(strip(correct))
-    letter = r"([a-d])\)?$"
-    s_letter, c_letter = F.regexp_extract(s, letter, 1), F.regexp_extract(c, letter, 1)
-    s_nums, c_nums = F.array_distinct(_numbers(s)), F.array_distinct(_numbers(c))
-    shared = F.size(F.array_intersect(s_nums, c_nums))
-    near = (
-        ((s_letter != "") & (s_letter == c_letter))
-        | ((F.size(s_nums) > 0) & (F.size(c_nums) > 0) & (shared >= F.size(c_nums) * 0.5))
-        | ((_terms(s) != 0) & (_terms(s) == _terms(c)))
-    )
-    return (s != "") & (c != "") & (s != c) & near
+    return _pair(student, correct, _near)
 
 
 def grade(student: Column, correct: Column) -> Column:
-    return (
-        F.when(match_answers(student, correct), 1.0).when(match_semantic(student, correct), 0.5).otherwise(0.0)
-    )
+    """1 for the same answer, one half for the right idea, else 0."""
+    return _pair(student, correct, lambda p: F.when(_same(p), 1.0).when(_near(p), 0.5).otherwise(0.0))
 
 
 def _found(text: Column, pattern: str) -> Column:

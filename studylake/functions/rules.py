@@ -74,7 +74,7 @@ EXTENSION_TYPES = {
 
 # --- Fixed values: embedded-object remnants in extracted office text. ---
 OLE_REMNANT = (
-    r'(?i)(?:EMBED\s+\S+|OBJECT\s+\S+|HYPERLINK\s+"[^"]*"|PAGEREF\s+\S+|REF\s+\S+|TC\s+"[^"]*"'
+    r'(?i)(?=[EOHPRTS])(?:EMBED\s+\S+|OBJECT\s+\S+|HYPERLINK\s+"[^"]*"|PAGEREF\s+\S+|REF\s+\S+|TC\s+"[^"]*"'
     r"|SEQ\s+\S+(?:\s+\S+)*)"
 )
 OLE_LINE = r'(?i)^\s*(?:EMBED\s+\S+|OBJECT\s+\S+|HYPERLINK\s+"[^"]*")\s*$'
@@ -89,11 +89,9 @@ FORMULA = (
     r"[=＝→←⇌↑↓↔⇄⇆↗↘]|[₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎]|\b[A-Z][a-z]?[0-9]{1,4}|[0-9][A-Z][a-z]?\b"
     r"|[A-Z][a-z]?[A-Z0-9]|[αβγδεζηθικλμνξπρστυφχψω]|====|══"
 )
-FORMULA_OPERATOR = "[=＝+]"
-DIAGRAM = (
-    r"(?i)[图图表][0-9一二三四五六七八九十]|如图|Fig\.|diagram|graph|figure|所示|示意图|电路图|受力分析|光路"
-    r"|函数[图像]|坐标系|坐标图"
-)
+FORMULA_OPERATORS = ["=", "＝", "+"]
+DIAGRAM = r"[图表][0-9一二三四五六七八九十]"
+DIAGRAM_WORDS = "如图 fig. diagram graph figure 所示 示意图 电路图 受力分析 光路 函数图 函数像 坐标系 坐标图".split()
 FIGURE_REFERENCE = r"(?i)[图图表示][0-9一二三四五六七八九十\-]|如图|Fig\.\s*[0-9]+|figure\s*[0-9]+|所示|示意图|图[0-9]+"
 
 # --- Fixed values: intents with their trigger words, in order of precedence. ---

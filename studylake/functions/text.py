@@ -6,7 +6,7 @@ are applied to.  Patterns carry ``(?U)`` where white space or digits must be rea
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(R.WHITE))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Conditions are evaluated lazily, so an expression repeated inside them would otherwise be
+    computed again for every use.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(text: Column, words: Iterable[str]) -> Column:
     hit = F.lit(False)
     for word in words:
@@ -109,7 +118,7 @@ def is_educational(text: Column, min_chars: int = 20) -> Column:
     symbols = count_matches(text, f"[{R.MATH_SYMBOLS}]")
     long_enough = F.length(strip(text)) >= min_chars
     study = (
-        (hits(F.lower(text), R.STUDY_WORDS) >= 2)
+        bind(F.lower(text), lambda low: hits(low, R.STUDY_WORDS) >= 2)
         | text.rlike("(?U)" + R.STUDY_SECTION)
         | text.rlike("(?U)" + R.STUDY_MARKS)
         | ((F.length(text) > 50) & (symbols / F.length(text) > 0.02))
@@ -120,44 +129,52 @@ def is_educational(text: Column, min_chars: int = 20) -> Column:
 def is_garbled(text: Column, require_cjk: bool = True) -> Column:
     """Useless extraction: too short, replacement characters, stubs, object remnants, symbol noise
     and (for Chinese sources) hardly any Chinese."""
-    s = strip(text)
-    n = F.length(s)
-    lines = F.split(s, "\r\n|\n|\r")
-    ole = F.size(F.filter(lines, lambda line: line.rlike(R.OLE_LINE)))
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}\p{Z}\s]+", ""))
-    bad = (
-        (n < 10)
-        | (count_matches(text, "�") > F.greatest(F.lit(2.0), F.length(text) * 0.03))
-        | text.contains("[STUB:")
-        | (ole / F.size(lines) > 0.5)
-        | (letters < n * 0.6)
-    )
-    if require_cjk:
-        chinese = count_matches(s, "[一-鿿]")
-        bad = bad | ((n >= 15) & (chinese < n * 0.10))
-    return bad
+
+    def judge(s: Column) -> Column:
+        n = F.length(s)
+        lines = F.split(s, "\r\n|\n|\r")
+        ole = F.size(F.filter(lines, lambda line: line.rlike(R.OLE_LINE)))
+        bad = (
+            (n < 10)
+            | (count_matches(text, "�") > F.greatest(F.lit(2.0), F.length(text) * 0.03))
+            | text.contains("[STUB:")
+            | (ole / F.size(lines) > 0.5)
+            | (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}\p{Z}\s]+", "")) < n * 0.6)
+        )
+        if require_cjk:
+            bad = bad | ((n >= 15) & (count_chinese(s) < n * 0.10))
+        return bad
+
+    return bind(strip(text), judge)
+
+
+def count_chinese(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^一-鿿]+", ""))
 
 
 def is_garbled_printable(text: Column) -> Column:
     """Variant for recognised pages: replacement characters or mostly unprintable."""
     n = F.length(text)
-    printable = count_matches(text, r"[^\p{C}\p{Z}]|[ \n\r\t]")
+    hidden = F.length(F.regexp_replace(text, r"[^\p{C}\p{Z}]+|[ \n\r\t]+", ""))
     return (n > 0) & (
-        (count_matches(text, "�") > F.greatest(F.lit(10.0), n * 0.1)) | ((n > 20) & (printable / n < 0.5))
+        (count_matches(text, "�") > F.greatest(F.lit(10.0), n * 0.1)) | ((n > 20) & ((n - hidden) / n < 0.5))
     )
 
 
 def is_garbled_coordinates(text: Column) -> Column:
     """Variant for a recogniser that may emit positions: too short, no Chinese, coordinate pairs."""
-    s = strip(text)
-    solid = F.length(F.regexp_replace(s, "[ \n]", ""))
-    chinese = count_matches(s, "[一-鿿㐀-䶿]")
-    pairs = count_matches(s, r"\([0-9]+,[0-9]+\)")
-    return (
-        (F.length(s) < 10)
-        | ((solid > 20) & (chinese / F.greatest(solid, F.lit(1)) < 0.03))
-        | ((pairs > 5) & (pairs * 5 > solid))
-    )
+
+    def judge(s: Column) -> Column:
+        solid = F.length(F.regexp_replace(s, "[ \n]+", ""))
+        chinese = F.length(F.regexp_replace(s, "[^一-鿿㐀-䶿]+", ""))
+        pairs = count_matches(s, r"\([0-9]+,[0-9]+\)")
+        return (
+            (F.length(s) < 10)
+            | ((solid > 20) & (chinese / F.greatest(solid, F.lit(1)) < 0.03))
+            | ((pairs > 5) & (pairs * 5 > solid))
+        )
+
+    return bind(strip(text), judge)
 
 
 def admission_reject(filename: Column, size: Column) -> Column:
@@ -215,14 +232,16 @@ def document_route(ext: Column, text: Column) -> tuple[Column, Column, Column]:
 
 def classify_intent(text: Column) -> tuple[Column, Column]:
     """Intent with most trigger words (first wins ties) and its confidence."""
-    low = strip(F.lower(text))
-    scores = [(name, hits(low, words)) for name, words in R.INTENT_WORDS.items()]
-    best = F.greatest(*[s for _, s in scores])
-    intent = F.when(best == 0, "none")
-    for name, score in scores:
-        intent = intent.when(score == best, name)
-    confidence = F.round(F.least(best / 3.0, F.lit(0.95)), 2)
-    return intent, confidence
+
+    def judge(low: Column) -> Column:
+        scores = F.array(*[hits(low, words) for words in R.INTENT_WORDS.values()])
+        return F.struct(scores.alias("scores"), F.array_max(scores).alias("best"))
+
+    found = bind(strip(F.lower(text)), judge)
+    names = F.array(*[F.lit(name) for name in R.INTENT_WORDS])
+    place = F.array_position(found["scores"], found["best"])
+    intent = F.when(found["best"] == 0, "none").otherwise(F.element_at(names, place.cast("int")))
+    return intent, F.round(F.least(found["best"] / 3.0, F.lit(0.95)), 2)
 
 
 def detect_scene(message: Column, current: str = "full") -> tuple[Column, Column]:
@@ -247,11 +266,12 @@ def detect_scene(message: Column, current: str = "full") -> tuple[Column, Column
 
 
 def has_formula(text: Column) -> Column:
-    return text.rlike(R.FORMULA) & text.rlike(R.FORMULA_OPERATOR)
+    # The operator is looked for first: it is cheap and rules out most texts.
+    return any_of(text, R.FORMULA_OPERATORS) & text.rlike(R.FORMULA)
 
 
 def mentions_diagram(text: Column) -> Column:
-    return text.rlike(R.DIAGRAM)
+    return any_of(F.lower(text), R.DIAGRAM_WORDS) | text.rlike(R.DIAGRAM)
 
 
 # --- cleaning ------------------------------------------------------------------------------
@@ -275,10 +295,12 @@ def strip_page_marks(text: Column) -> Column:
 
 def normalize_qnum(text: Column) -> Column:
     """Question numbers in one form: Arabic digits, no inner spaces; unknown numerals become 0."""
+    given = text
     text = F.regexp_replace(text, r"(?U)第\s+(\d+)\s+题", "第$1题")
     for value, numeral in enumerate(R.NUMERALS, 1):
         text = F.regexp_replace(text, rf"(?U)第\s*{numeral}\s*题", f"第{value}题")
-    return F.regexp_replace(text, r"(?U)第\s*[一二三四五六七八九十]+\s*题", "第0题")
+    text = F.regexp_replace(text, r"(?U)第\s*[一二三四五六七八九十]+\s*题", "第0题")
+    return F.when(given.contains("第"), text).otherwise(given)
 
 
 def parse_markers(reply: Column) -> dict[str, Column]:
@@ -297,35 +319,53 @@ def parse_markers(reply: Column) -> dict[str, Column]:
 
 
 def derive_title(text: Column) -> Column:
-    """First line that reads like an exam title, else the first line that may be one."""
-    lines = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda s: s != "")
+    """First line that reads like an exam title, else the first line that may be one.
 
-    def not_noise(s: Column) -> Column:
+    One pass over the lines that stops testing once a title is found: the costly checks run only
+    on lines that could still change the answer.
+    """
+    lines = F.transform(F.split(strip(text), "\n"), strip)
+
+    def clean(s: Column) -> Column:
+        return F.substring(F.regexp_replace(s, r"(?U)^[-─═━\s]+", ""), 1, 50)
+
+    def usable(s: Column) -> Column:
         bars = F.length(s) - F.length(F.replace(s, F.lit("|")))
-        return ~(
-            s.rlike("(?U)" + R.TITLE_PAGE_LINE)
-            | s.rlike(R.TITLE_NOISE)
+        return (F.length(clean(s)) > 3) & ~(
+            s.rlike(R.TITLE_NOISE)
             | s.rlike("(?U)" + R.TITLE_QUESTION)
             | s.rlike("(?U)" + R.TITLE_OPTION)
+            | s.rlike("(?U)" + R.TITLE_PAGE_LINE)
             | (bars >= 2)
-            | ((F.length(s) > 15) & s.rlike("(?U)" + R.TITLE_MEASURES))
             | ((F.length(s) > 30) & s.rlike(R.TITLE_SENTENCE))
+            | ((F.length(s) > 15) & s.rlike("(?U)" + R.TITLE_MEASURES))
         )
 
-    cleaned = F.filter(
-        F.transform(F.filter(lines, not_noise), lambda s: F.regexp_replace(s, r"(?U)^[-─═━\s]+", "")),
-        lambda s: F.length(s) > 3,
-    )
-    spare = F.filter(
-        lines, lambda s: (F.length(s) > 2) & ~s.rlike("(?U)" + R.TITLE_QUESTION) & ~s.rlike("(?U)" + R.TITLE_LAST_RESORT_SKIP)
-    )
-    first = F.lit(1)
-    return F.coalesce(
-        F.substring(F.try_element_at(F.filter(cleaned, lambda s: s.rlike(R.TITLE_WORDS)), first), 1, 50),
-        F.substring(F.try_element_at(cleaned, first), 1, 50),
-        F.substring(F.try_element_at(spare, first), 1, 50),
-        F.lit(""),
-    )
+    def spare(s: Column) -> Column:
+        return (F.length(s) > 2) & ~s.rlike("(?U)" + R.TITLE_QUESTION) & ~s.rlike("(?U)" + R.TITLE_LAST_RESORT_SKIP)
+
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("title"), none.alias("first"), none.alias("spare"))
+
+    def step(acc: Column, s: Column) -> Column:
+        wordy = s.rlike(R.TITLE_WORDS)
+        open_ = acc["first"].isNull() | wordy
+        fits = F.when(open_, usable(s)).otherwise(False)
+        return F.when(acc["title"].isNotNull() | (s == ""), acc).otherwise(
+            F.when(
+                fits,
+                F.struct(
+                    F.when(wordy, clean(s)).alias("title"), F.coalesce(acc["first"], clean(s)).alias("first"), acc["spare"].alias("spare")
+                ),
+            ).otherwise(
+                F.struct(
+                    acc["title"].alias("title"), acc["first"].alias("first"),
+                    F.when(acc["first"].isNull() & acc["spare"].isNull() & spare(s), F.substring(s, 1, 50)).otherwise(acc["spare"]).alias("spare"),
+                )
+            )
+        )
+
+    return F.aggregate(lines, start, step, lambda acc: F.coalesce(acc["title"], acc["first"], acc["spare"], F.lit("")))
 
 
 def total_questions(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,36 +198,101 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+# Cells of the (term, query) matrix sent to every task; larger batches of queries are joined.
+MAX_TERM_CELLS = 50_000_000
+# Stands for the document itself in the term statistics; cannot be a token.
+_SELF = "\x00"
+
+
+def _term_stats(docs: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """(term, df, length): documents per asked term, and under ``_SELF`` their number and total
+    length, from one scan combined map-side."""
+    rows = docs.select(tokens(F.col("text")).alias("ts")).select(
+        F.size("ts").cast("long").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(_SELF))).alias("term")
+    )
+    wanted = asked.union(asked.sparkSession.range(1).select(F.lit(_SELF).alias("term")))
+    rows = rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+
+
 def bm25_topk(
-    queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75
+    queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, max_cells: int = MAX_TERM_CELLS
 ) -> DataFrame:
     """Lexical top-k: (query_id, chunk_id, score, rank).
 
-    Only terms some query asks for leave the scan.  Weights are put on the query terms first, so
-    the big side is joined once, and one (query, doc) sum follows with map-side combine; a term
-    found in most documents is split by the skew join.
+    One scan counts the asked terms, a second one scores.  While (asked terms x queries) is within
+    ``max_cells`` the query terms are sent to the tasks, each of which scores its documents and
+    keeps k per query: documents are never shuffled.  Larger batches of queries are joined by term.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    split = docs.select("chunk_id", tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    n_docs, mean_len = float(stats[0]), float(stats[1] or 1.0)
+    words = queries.select(
+        F.col("query_id").cast("long"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
+    )
+    shape = words.agg(F.countDistinct("term"), F.countDistinct("query_id")).first()
+    few = shape[0] * shape[1] <= max_cells
     asked = words.select("term").distinct()
+    stats = _term_stats(docs, asked, few)
+    whole = stats.filter(F.col("term") == _SELF).first()
+    if whole is None:
+        return docs.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank long")
+    n_docs, mean_len = float(whole["df"]), max(whole["length"] / whole["df"], 1e-9)
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = words.join(stats, "term").select("query_id", "term", idf.alias("idf"))
+    rows = docs.select(F.col("chunk_id").cast("long"), "text")
+    scored = (_bm25_scan if few else _bm25_join)(weights, rows, k, k1, b, mean_len)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn(
+        "rank", F.col("rank").cast("long")
+    )
+
+
+def _bm25_join(weights: DataFrame, docs: DataFrame, k: int, k1: float, b: float, mean_len: float) -> DataFrame:
+    """Scores of every (query, document) sharing a term.  A term found in most documents is split
+    by the skew join; sums are combined map-side."""
+    split = docs.select("chunk_id", tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
     tf = (
         split.select("chunk_id", "dl", F.explode("ts").alias("term"))
-        .join(asked, "term", "left_semi")
+        .join(weights.select("term").distinct(), "term", "left_semi")
         .groupBy("chunk_id", "term", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = words.join(df, "term").select("query_id", "term", idf.alias("idf"))
     gain = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean_len)))
     scores = tf.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
-    scores = scores.withColumn("score", F.round("score", RANK_DIGITS))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        F.col("query_id").cast("long"), F.col("chunk_id").cast("long"), "score", F.col("rank").cast("long").alias("rank")
-    )
+    return scores.withColumn("score", F.round("score", RANK_DIGITS))
+
+
+def _bm25_scan(weights: DataFrame, docs: DataFrame, k: int, k1: float, b: float, mean_len: float) -> DataFrame:
+    """Best k documents per query of each partition, scored against the collected weights."""
+    table = weights.toPandas()
+    terms = {t: i for i, t in enumerate(sorted(table["term"].unique()))}
+    ids = np.sort(table["query_id"].unique())
+    matrix = np.zeros((len(terms), len(ids)))
+    matrix[table["term"].map(terms).to_numpy(dtype=np.int64), np.searchsorted(ids, table["query_id"])] = table["idf"]
+    word = re.compile(r"[^\W_]+")
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_score = np.zeros((0, len(ids)))
+        best_id = np.zeros((0, len(ids)), dtype=np.int64)
+        for pdf in frames:
+            for start in range(0, len(pdf), 512):
+                part = pdf.iloc[start : start + 512]
+                block = np.zeros((len(part), len(ids)))
+                for row, text in enumerate(part["low"]):
+                    found = word.findall(text or "")
+                    hits = [terms[t] for t in found if t in terms]
+                    if not hits:
+                        continue
+                    at, tf = np.unique(np.array(hits), return_counts=True)
+                    block[row] = (tf / (tf + k1 * (1 - b + b * len(found) / mean_len))) @ matrix[at]
+                score = np.vstack([best_score, np.round(block, RANK_DIGITS)])
+                cid = np.vstack([best_id, np.repeat(part["chunk_id"].to_numpy()[:, None], len(ids), axis=1)])
+                order = np.lexsort((cid, -score), axis=0)[:k]
+                best_score = np.take_along_axis(score, order, axis=0)
+                best_id = np.take_along_axis(cid, order, axis=0)
+        row, col = np.nonzero(best_score > 0)
+        yield pd.DataFrame({"query_id": ids[col], "chunk_id": best_id[row, col], "score": best_score[row, col]})
+
+    low = docs.select("chunk_id", F.lower("text").alias("low"))
+    return low.mapInPandas(scan, "query_id long, chunk_id long, score double")
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 5, c: int = 60) -> DataFrame:

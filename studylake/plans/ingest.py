@@ -21,8 +21,9 @@ def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH,
         (T.admission_reject(F.col("filename"), F.col("size")) == "") & ~T.is_sidecar(F.col("filename"))
     )
     admitted, _ = K.require_kb(admitted, registered)
-    clean = admitted.withColumn("text", T.strip_ole(F.col("text")))
-    clean = clean.filter(~T.is_garbled(F.col("text"), require_cjk))
+    # Cleaned and judged in one generator, so a text is cleaned once and not again for the filter.
+    usable = F.filter(F.array(T.strip_ole(F.col("text"))), lambda t: ~T.is_garbled(t, require_cjk))
+    clean = admitted.select("doc_id", "filename", "kb_name", F.explode(usable).alias("text"))
     keep = K.content_dedup(clean).select("doc_id")
     clean = clean.join(keep, "doc_id", "left_semi")
     subject = T.detect_subject(F.col("text"), F.col("filename"))
