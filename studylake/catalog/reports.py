@@ -95,11 +95,11 @@ def _(spark, sf):
     return RP.scheduled_reports(answers(spark, sf), _NOW).select("notification_id", "learner_id", "report_type", "period", "target")
 
 
-@query("s10_scheduled_reports", oracle(["answers"], f", {_DUE} SELECT * FROM nt WHERE NOT (report_type = 'daily' AND learner_id % 2 = 0)"))
+@query("s10_scheduled_reports", oracle(["answers"], f", {_DUE} SELECT * FROM nt WHERE report_type <> 'daily'"))
 def _(spark, sf):
     a = answers(spark, sf)
     due = RP.scheduled_reports(a, _NOW)
-    sent = due.filter("report_type = 'daily' AND learner_id % 2 = 0").select("notification_id")
+    sent = due.filter("report_type = 'daily'").select("notification_id")
     return RP.scheduled_reports(a, _NOW, sent).select("notification_id", "learner_id", "report_type", "period", "target")
 
 

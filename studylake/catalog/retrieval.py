@@ -67,13 +67,13 @@ def _(spark, sf):
 
 @query(
     "t05_figure_sidecar_topk",
-    f"""WITH {_CENTRES}, {hits_sql(6, where='vec_id % 5 <> 0')}, {hits_sql(3, where='vec_id % 5 = 0', name='fig')},
+    f"""WITH {_CENTRES}, {hits_sql(6, where='label NOT IN (0, 5)')}, {hits_sql(3, where='label IN (0, 5)', name='fig')},
       f AS (SELECT query_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS figures FROM fig WHERE distance < 1.3 GROUP BY 1)
       SELECT query_id, chunk_id, round(distance, 6) AS distance, rank, coalesce(figures, '') AS figures FROM hit LEFT JOIN f USING (query_id)""",
 )
 def _(spark, sf):
-    v = vectors(spark, sf)
-    found = V.figure_sidecar_topk(profiles(spark, sf), v.filter("chunk_id % 5 <> 0"), v.filter("chunk_id % 5 = 0"), 6)
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    found = V.figure_sidecar_topk(profiles(spark, sf), v.filter("label NOT IN (0, 5)"), v.filter("label IN (0, 5)"), 6)
     return _shown(found).withColumn("figures", F.array_join(F.transform("figures", lambda x: x.cast("string")), ","))
 
 
