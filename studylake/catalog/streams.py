@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from studylake.catalog import query
 from studylake.catalog.mastery import C_CTE, COUNTS
+from studylake.catalog.ops import ORACLE_GUARDS
 from studylake.catalog.progress import ORACLE_EXAM, ORACLE_PRACTICE, greedy
 from studylake.streaming import aggregates as A
 from studylake.streaming import stateful as S
@@ -104,6 +105,6 @@ def _(spark, sf):
     return fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")
 
 
-@query("s13_stream_guarded_sessions")
+@query("s13_stream_guarded_sessions", ORACLE_GUARDS)
 def _(spark, sf):
     return drain(S.stream_guarded_sessions(view_stream(spark, sf, "create_attempts"), 2000), "guards", "append").drop("batch")

@@ -225,6 +225,20 @@ def content_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def redundant_copies(docs: DataFrame) -> DataFrame:
+    """Ids of documents whose text an earlier document already has.
+
+    Texts are hashed where they are read.  Only groups with copies are joined back, so the list
+    that meets the rows has one entry per repeated text, and a text with very many copies is an
+    ordinary lookup.
+    """
+    hashed = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    repeated = (
+        hashed.groupBy("content_hash").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    )
+    return hashed.join(repeated, "content_hash").filter("doc_id <> _first").select("doc_id")
+
+
 def new_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     """Chunks to append: one row per id, ids already stored left out."""
     payload = [c for c in chunks.columns if c != "chunk_id"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,15 +79,25 @@ def daily_stats(answers: DataFrame) -> DataFrame:
     )
 
 
-def _in_period(df: DataFrame, as_of: str, days: int) -> DataFrame:
-    """``days`` back from ``as_of``, both ends included."""
-    end = F.lit(as_of).cast("date")
-    return df.filter(F.col("day").between(F.date_sub(end, days), end))
+def in_period(df: DataFrame, as_of: str, days: int) -> DataFrame:
+    """``days`` back from ``as_of``, both ends included.
+
+    The range is put on ``ts`` as well, in its own type: a condition on the derived day does not
+    reach the scan, one on the stored column does.
+    """
+    end = date.fromisoformat(as_of)
+    start, stop = end - timedelta(days=days), end + timedelta(days=1)
+    df = df.filter(F.col("day").between(F.lit(start), F.lit(end)))
+    if "ts" in df.columns:
+        kind = df.schema["ts"].dataType
+        low, high = (F.lit(d.isoformat()).cast(kind) for d in (start, stop))
+        df = df.filter((F.col("ts") >= low) & (F.col("ts") < high))
+    return df
 
 
 def period_stats(answers: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return (
-        _in_period(answers, as_of, days)
+        in_period(answers, as_of, days)
         .groupBy("learner_id")
         .agg(*_counts())
         .withColumn("accuracy", ratio2("correct", "total"))
@@ -98,7 +110,7 @@ def weak_union(answers: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     Distinct pairs come first, so a hot learner ships each point once.
     """
     return (
-        _in_period(answers, as_of, days)
+        in_period(answers, as_of, days)
         .filter(wrong())
         .select("learner_id", "kp_id")
         .distinct()
@@ -109,7 +121,7 @@ def weak_union(answers: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 def daily_report(answers: DataFrame, levels: DataFrame, day: str) -> DataFrame:
     """The day's weak points with their current level, beside the day's totals."""
-    today = answers.filter(F.col("day") == F.lit(day).cast("date"))
+    today = in_period(answers, day, 0)
     totals = (
         today.groupBy("learner_id")
         .agg(*_counts())

@@ -6,6 +6,8 @@ processed in time slices.  ``answer_id`` breaks ties of ``ts``.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -358,8 +360,9 @@ def task_progress(reports: DataFrame, hot_rows: int | None = None) -> DataFrame:
 def week_over_week(answers: DataFrame, as_of: str) -> DataFrame:
     """Accuracy of the last 7 days beside that of the single day 7 days ago, both as ratios."""
     week = M.period_stats(answers, as_of, 7).select("learner_id", "total", F.col("accuracy").alias("week_accuracy"))
+    week_ago = (date.fromisoformat(as_of) - timedelta(days=7)).isoformat()
     day = (
-        answers.filter(F.col("day") == F.date_sub(F.lit(as_of).cast("date"), 7))
+        M.in_period(answers, week_ago, 0)
         .groupBy("learner_id")
         .agg(F.count(_one()).alias("t"), F.count_if(M.right()).alias("c"))
         .select("learner_id", ratio2("c", "t").alias("day_accuracy"))
@@ -374,8 +377,7 @@ def parent_report(answers: DataFrame, as_of: str, days: int = 7, history: int =
         F.col("wrong").alias("wrong_count"), "accuracy",
     )
     weak = M.weak_union(answers, as_of, days)
-    end = F.lit(as_of).cast("date")
-    recent = answer_history(answers, history).filter(F.col("day").between(F.date_sub(end, days), end) & ~M.right())
+    recent = M.in_period(answer_history(answers, history), as_of, days).filter(~M.right())
     recent = _newest(recent.drop("rn"), LEARNER, wrong)
     recent = recent.groupBy("learner_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "question"))), lambda s: s["question"]).alias("recent_wrong")

@@ -199,7 +199,7 @@ def tokens(text: Column) -> Column:
 
 
 # Cells of the (term, query) matrix sent to every task; larger batches of queries are joined.
-MAX_TERM_CELLS = 50_000_000
+MAX_TERM_CELLS = 5_000_000
 # Stands for the document itself in the term statistics; cannot be a token.
 _SELF = "\x00"
 

@@ -14,8 +14,8 @@ def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH,
     """Chunks of admitted documents, ready for ``upsert_chunks``.
 
     ``docs`` is (doc_id, filename, size, kb_name, text).  Admission, cleaning, classification and
-    chunking are one narrow stage; the only shuffles are the knowledge base check (a small list)
-    and the content dedup, which moves hashes and ids, not texts.
+    chunking are narrow.  Dedup moves hashes and ids; what then meets the texts is the list of
+    redundant copies, which Spark sends to the texts while it is small and joins by id otherwise.
     """
     admitted = docs.filter(
         (T.admission_reject(F.col("filename"), F.col("size")) == "") & ~T.is_sidecar(F.col("filename"))
@@ -24,8 +24,7 @@ def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH,
     # Cleaned and judged in one generator, so a text is cleaned once and not again for the filter.
     usable = F.filter(F.array(T.strip_ole(F.col("text"))), lambda t: ~T.is_garbled(t, require_cjk))
     clean = admitted.select("doc_id", "filename", "kb_name", F.explode(usable).alias("text"))
-    keep = K.content_dedup(clean).select("doc_id")
-    clean = clean.join(keep, "doc_id", "left_semi")
+    clean = clean.join(K.redundant_copies(clean), "doc_id", "left_anti")
     subject = T.detect_subject(F.col("text"), F.col("filename"))
     described = clean.select(
         "doc_id", "filename", "kb_name", "text", subject.alias("subject"), T.infer_grade(F.col("text")).alias("grade"),

@@ -21,8 +21,7 @@ def report_rows(answers: DataFrame, as_of: str, days: int) -> DataFrame:
 
     Lists are bounded: days by the period, weak points by the curriculum, misses by five.
     """
-    end = F.lit(as_of).cast("date")
-    period = answers.filter(F.col("day").between(F.date_sub(end, days), end))
+    period = M.in_period(answers, as_of, days)
     per_day = (
         period.groupBy("learner_id", "day")
         .agg(F.count(F.lit(1)).alias("t"), F.count_if(M.right()).alias("c"))

@@ -31,6 +31,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     text = plan(M.period_stats(view(spark, sf, "answers").filter(F.col("learner_id") == 7), "2024-01-30"))
     physical = text.split("== Physical Plan ==")[1]
     assert "EqualTo(user_id,7)" in physical
+    assert "GreaterThanOrEqual(ts,2024-01-23" in physical
     read = re.search(r"ReadSchema: struct<([^>]*)>", physical)[1]
     assert "value" not in read and "event_id" not in read
 
