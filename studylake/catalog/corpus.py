@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from studylake.catalog import query
 from studylake.catalog.mastery import C_CTE, answers, levels
 from studylake.catalog.text import docs, q, study
-from studylake.functions.text import detect_subject
 from studylake.operators import corpus as K
 from studylake.operators import curriculum as U
 from studylake.operators import mastery as M
@@ -144,7 +143,32 @@ def headed(spark, sf):
     return spread(load(spark, sf, "documents")).selectExpr("doc_id", f"array_join(transform(split(text, '\\n'), (l, i) -> {line}), '\\n') AS text")
 
 
-@query("x02_semantic_chunk")
+_SECTIONS = f"""ln AS (SELECT doc_id, i - 1 AS i, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
+      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) x),
+  hd AS (SELECT *, i % 10 = 0 AND trim(l, {WS}) <> '' AS h, CASE WHEN i % 10 = 0 THEN concat(repeat('#', CAST(2 + (i // 10) % 3 AS INT)), ' ', l) ELSE l END AS t,
+      2 + (i // 10) % 3 AS lv FROM ln),
+  sz AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS whole FROM hd GROUP BY 1),
+  sc AS (SELECT *, count(*) FILTER (h) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM hd),
+  he AS (SELECT doc_id, s, lv, trim(l, {WS}) AS title FROM sc WHERE h),
+  p1 AS (SELECT a.doc_id, a.s, max(b.s) AS up FROM he a JOIN he b ON b.doc_id = a.doc_id AND b.s < a.s AND b.lv < a.lv GROUP BY 1, 2),
+  pa AS (SELECT a.doc_id, a.s, concat_ws(' > ', c.title, b.title, a.title) AS path FROM he a
+    LEFT JOIN p1 x ON x.doc_id = a.doc_id AND x.s = a.s LEFT JOIN he b ON b.doc_id = a.doc_id AND b.s = x.up
+    LEFT JOIN p1 y ON y.doc_id = a.doc_id AND y.s = x.up LEFT JOIN he c ON c.doc_id = a.doc_id AND c.s = y.up),
+  bd AS (SELECT doc_id, s, trim(string_agg(t, chr(10) ORDER BY i), {WS}) AS own FROM sc WHERE NOT h GROUP BY 1, 2),
+  ow AS (SELECT bd.doc_id, coalesce(path, '') AS heading_path, own, row_number() OVER (PARTITION BY bd.doc_id ORDER BY bd.s) - 1 AS k
+    FROM bd JOIN sz USING (doc_id) LEFT JOIN pa ON pa.doc_id = bd.doc_id AND pa.s = bd.s WHERE own <> '' AND length(whole) > 800),
+  ov AS (SELECT doc_id, k, own AS text FROM ow WHERE k = 0
+    UNION ALL
+    SELECT n.doc_id, n.k, CASE WHEN length(v.text) > 100 THEN concat(CASE WHEN strpos(right(v.text, 100), chr(10)) - 1 > 50
+        THEN substr(right(v.text, 100), strpos(right(v.text, 100), chr(10)) + 1) ELSE right(v.text, 100) END, chr(10), n.own) ELSE n.own END
+    FROM ov v JOIN ow n ON n.doc_id = v.doc_id AND n.k = v.k + 1)"""
+
+
+@query(
+    "x02_semantic_chunk",
+    f"""WITH RECURSIVE {_SECTIONS} SELECT doc_id, text, heading_path, CAST(k AS INT) AS chunk_index, CAST(length(own) AS INT) AS char_count
+      FROM ov JOIN ow USING (doc_id, k) UNION ALL SELECT doc_id, whole, '', 0, CAST(length(whole) AS INT) FROM sz WHERE length(whole) <= 800""",
+)
 def _(spark, sf):
     return headed(spark, sf).select("doc_id", F.inline(K.semantic_chunks(F.col("text"))))
 

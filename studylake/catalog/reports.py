@@ -2,7 +2,6 @@
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from studylake.catalog import query
 from studylake.catalog.corpus import registered

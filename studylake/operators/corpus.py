@@ -7,6 +7,8 @@ document id or knowledge base.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,26 +153,24 @@ def semantic_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = SEMANTI
 def sliding_chunk(size: int = SLIDING_SIZE, overlap: int = SLIDING_OVERLAP):
     """Vectorised function: overlapping windows of a text that prefer to end at a sentence.
 
-    Each cut depends on the one before, so the walk is a small loop per text inside the batch.
+    One pattern describes a window: the longest stretch past its half that ends with a sentence
+    mark, else all of it.  A window starts ``overlap`` before the end of the last one, so the
+    pattern is applied from place to place inside the batch.
     """
+    half, last = size // 2 + 1, size - 1
+    window = re.compile(rf"(?s).{{{last}}}[。\n]|.{{{half},{last - 1}}}(?:[。\n]|\.(?= ))|.{{{size}}}")
+
+    def places(text: str):
+        at = 0
+        while len(text) - at > size:
+            found = window.match(text, at)
+            yield found.group()
+            at = found.end() - overlap
+        yield text[at:]
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        def walk(text: str | None) -> list[str]:
-            out, start, n = [], 0, len(text or "")
-            while start < n:
-                end = min(start + size, n)
-                if end < n:
-                    stop = max(text.rfind(mark, start, end) for mark in ("。", "\n", ". "))
-                    if stop > start + size // 2:
-                        end = stop + 1
-                piece = text[start:end].strip()
-                if piece:
-                    out.append(piece)
-                start = end - overlap if end < n else n
-            return out
-
-        return texts.map(walk)
+        return texts.map(lambda t: [p for p in (w.strip() for w in places(t or "")) if p])
 
     return cut
 

@@ -281,10 +281,19 @@ def _at_s(df: DataFrame) -> DataFrame:
 
 
 def practice_trigger(
-    answers: DataFrame, book: int = 50, throttle_s: int = 21600, hot_rows: int | None = None
+    answers: DataFrame, book: int = 50, throttle_s: int = 21600, consecutive: bool = False, hot_rows: int | None = None
 ) -> DataFrame:
     """Misses that start a practice set: the point already has a miss in the book, at most one
-    start per (learner, point) in ``throttle_s``."""
+    start per (learner, point) in ``throttle_s``.  ``consecutive`` asks for two answers in a row
+    that were not right instead."""
+
+    def in_a_row(df: DataFrame, scan: Scan) -> DataFrame:
+        df = _with_runs(scan(df, LEARNER_KP, {"_n": ("count", _one())}), scan, "_n")
+        ready = _at_s(df.filter(_missed() & (F.col("consecutive_wrong") >= 2)))
+        return throttle(ready, LEARNER_KP, "at_s", "answer_id", throttle_s, scan.sliced)
+
+    if consecutive:
+        return _by_learner(answers.select("answer_id", "learner_id", "kp_id", "ts", "score"), in_a_row, hot_rows)
 
     def body(df: DataFrame, scan: Scan) -> DataFrame:
         df = scan(df, LEARNER, {"_no": ("count", _one())})

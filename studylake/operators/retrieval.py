@@ -138,10 +138,15 @@ def vector_topk_ann(
 ) -> DataFrame:
     """Approximate nearest vectors: only vectors sharing a random-hyperplane signature with the
     query in one of ``tables`` tables are measured.  Planes come from the seed, so reruns agree.
+    More than ``max_queries`` queries take the exact blocked search.
     """
-    q = queries.select(F.col("query_id").cast("long"), "embedding").limit(max_queries + 1).toPandas()
+    v = vectors.select(F.col("chunk_id").cast("long"), "embedding")
+    asked = queries.select(F.col("query_id").cast("long"), "embedding")
+    q = asked.limit(max_queries + 1).toPandas()
     if len(q) > max_queries:
-        raise ValueError("too many queries for one batch; split them")
+        return blocked_topk(asked, v, k, "l2sq", max_queries)
+    if q.empty:
+        return v.sparkSession.createDataFrame([], _HIT + ", rank long")
     q = q.sort_values("query_id")
     ids, matrix = q["query_id"].to_numpy(), _stack(q["embedding"])
     planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], tables * bits))
@@ -168,7 +173,6 @@ def vector_topk_ann(
                 kept = [_merge(kept, k)]
         yield from kept
 
-    v = vectors.select(F.col("chunk_id").cast("long"), "embedding")
     return _rank(v.mapInPandas(scan, _HIT), k)
 
 

@@ -11,9 +11,10 @@ the two kinds apart:
   ``prev_max`` is ``max`` over the rows before the current one (the previous value of anything
   that only grows).
 
-Hot keys are found by one aggregation over the key column alone.  At most ``rows / hot_rows``
-keys can qualify, which is the bound on what is collected and broadcast; where none does, the plan
-is just the window plan.
+Hot keys are found by one aggregation over the key column alone.  The largest ``MAX_HOT_KEYS`` of
+them are treated as hot, which bounds what is collected and broadcast whatever the data; a key
+left out then holds at most ``rows / MAX_HOT_KEYS`` rows.  Where there is no hot key, the plan is
+just the window plan.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SLICE_SECONDS = 3600
+MAX_HOT_KEYS = 50_000
 
 Agg = tuple[str, Column]
 
@@ -95,8 +97,9 @@ def clock_slice(at_s: str, seconds: int = SLICE_SECONDS) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None where there are none."""
-    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    """The largest keys of more than ``hot_rows`` rows, or None where there are none."""
+    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
+    counted = counted.orderBy(F.desc("count"), *keys).limit(MAX_HOT_KEYS).select(*keys)
     rows = counted.collect()
     return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
 

@@ -38,6 +38,13 @@ def test_sliced_equals_plain(answers, operator):
     assert rows(sliced)
 
 
+def test_consecutive_practice(answers):
+    plain, sliced = (P.practice_trigger(answers, consecutive=True, hot_rows=h) for h in (10**9, HOT))
+    assert rows(plain) == rows(sliced)
+    runs = P.answer_runs(answers).filter("score < 0.5 AND consecutive_wrong >= 2").select("answer_id")
+    assert plain.join(runs, "answer_id", "left_anti").count() == 0 and plain.count() > 0
+
+
 def test_task_progress_sliced(spark, sf):
     reports = load(spark, sf, "events").selectExpr(
         "event_id AS report_id", "user_id % 3 AS task_id", "event_id * 50 AS at_s", "(event_id * 7) % 31 AS current_question",
