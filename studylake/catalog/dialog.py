@@ -54,7 +54,9 @@ _L1 = "SELECT CASE p_partkey % 2 WHEN 0 THEN 'chat' ELSE 'quiz' END AS surface,
       s AS (SELECT *, concat('L', CAST(layer AS VARCHAR), ':', place, ':', entry_id) AS source, split_part(ref, ':', 1) AS surface,
         CASE WHEN contains(ref, ':') THEN substr(ref, strpos(ref, ':') + 1) ELSE '' END AS target FROM r),
       l1 AS (SELECT DISTINCT surface, entity_id FROM ({_L1}) y),
-      st3 AS (SELECT s.*, o.place AS l2_at FROM s JOIN once o ON o.layer = 2 AND o.entry_id = s.target WHERE s.layer = 3 AND starts_with(s.target, 'm_')),
+      l2 AS (SELECT entry_id, arg_max(place, coalesce(list_position(['chat', 'notebook', 'quiz', 'kb', 'book', 'tutorbot', 'cowriter'], place), 0)) AS place
+        FROM once WHERE layer = 2 GROUP BY 1),
+      st3 AS (SELECT s.*, o.place AS l2_at FROM s JOIN l2 o ON o.entry_id = s.target WHERE s.layer = 3 AND starts_with(s.target, 'm_')),
       an AS (SELECT source, surface, min(pos) AS pos FROM s WHERE layer = 3 AND NOT starts_with(target, 'm_') AND surface IN ('chat', 'notebook', 'quiz', 'kb', 'book', 'tutorbot', 'cowriter') GROUP BY 1, 2)
       SELECT DISTINCT source, concat('L1:', s.surface, ':', target) AS target, 'strong' AS kind FROM s JOIN l1 ON l1.surface = s.surface AND l1.entity_id = s.target WHERE layer = 2
       UNION SELECT source, concat('L2:', l2_at, ':', target), 'strong' FROM st3

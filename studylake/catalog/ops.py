@@ -173,21 +173,23 @@ def _(spark, sf):
     return O.turn_duration(load(spark, sf, "events").select(turn.alias("turn_id"), "ts"))
 
 
-def _stage_sql() -> str:
-    parts = []
-    for i, name in enumerate(O.BOOK_STAGES):
-        after = "(b IS NULL OR pos > b)"
-        done, passed = f"(kind = 'complete' AND r = {i})", f"(kind = 'start' AND r > {i})"
-        parts.append(f"""SELECT book_id, '{name}' AS stage,
-          CASE WHEN x IS NOT NULL AND (e IS NULL OR x < e) AND (c IS NULL OR c < x) THEN 'error' WHEN e IS NOT NULL THEN 'completed'
-               WHEN b IS NOT NULL THEN 'running' ELSE 'pending' END AS state
-          FROM (SELECT book_id, any_value(b) AS b, min(pos) FILTER ({after} AND ({done} OR {passed})) AS e,
-              max(pos) FILTER ({after} AND {done}) AS c, min(pos) FILTER (b IS NOT NULL AND pos > b AND kind = 'error') AS x
-            FROM (SELECT *, max(pos) FILTER (kind = 'start' AND r = {i}) OVER (PARTITION BY book_id) AS b FROM v) y GROUP BY 1) z""")
-    return ", v AS (SELECT *, list_position(['" + "','".join(O.BOOK_STAGES) + "'], stage) - 1 AS r FROM book_events) " + " UNION ALL ".join(parts)
-
-
-@query("g15_book_progress", oracle(["book_events"], _stage_sql()))
+_STAGES = "['" + "','".join(O.BOOK_STAGES) + "']"
+
+
+@query(
+    "g15_book_progress",
+    oracle(["book_events"], f"""RECURSIVE, v AS (SELECT *, list_position({_STAGES}, stage) - 1 AS r, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS n
+        FROM book_events WHERE kind <> 'other'),
+      f AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS n, 'pppppp' AS s FROM book_events
+        UNION ALL
+        SELECT v.book_id, v.n, CASE WHEN kind = 'start' THEN concat(translate(substr(s, 1, r), 'pr', 'cc'), 'r', substr(s, r + 2))
+          WHEN kind = 'complete' THEN concat(substr(s, 1, r), 'c', substr(s, r + 2))
+          WHEN contains(s, 'r') THEN concat(substr(s, 1, strpos(s, 'r') - 1), 'e', substr(s, strpos(s, 'r') + 1)) ELSE s END
+        FROM f JOIN v ON v.book_id = f.book_id AND v.n = f.n + 1),
+      l AS (SELECT book_id, arg_max(s, n) AS s FROM f GROUP BY 1)
+      SELECT book_id, unnest({_STAGES}) AS stage, unnest(list_transform([1, 2, 3, 4, 5, 6], lambda i: CASE substr(s, i, 1) WHEN 'p' THEN 'pending'
+        WHEN 'r' THEN 'running' WHEN 'c' THEN 'completed' ELSE 'error' END)) AS state FROM l"""),
+)
 def _(spark, sf):
     return O.book_progress(view(spark, sf, "book_events"))
 

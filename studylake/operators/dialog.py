@@ -98,7 +98,9 @@ def citation_edges(entries: DataFrame, entities: DataFrame) -> DataFrame:
         source, F.concat(F.lit("L1:"), "surface", F.lit(":"), "target").alias("target"), F.lit("strong").alias("kind")
     )
     high = refs.filter("layer = 3")
-    l2 = once.filter("layer = 2").select(F.col("place").alias("_at"), F.col("entry_id").alias("target")).distinct()
+    # An entry id found on several surfaces stands for the one on the last of them.
+    rank = F.array_position(F.array(*[F.lit(s) for s in SURFACES]), F.col("place"))
+    l2 = once.filter("layer = 2").groupBy(F.col("entry_id").alias("target")).agg(F.max_by("place", rank).alias("_at"))
     cites = high.filter(F.col("target").startswith("m_")).join(l2, "target")
     strong3 = cites.select(source, F.concat(F.lit("L2:"), "_at", F.lit(":"), "target").alias("target"), F.lit("strong").alias("kind"))
     blocked = cites.groupBy("layer", "place", "entry_id", "surface").agg(F.min("pos").alias("_strong_at"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,50 +122,92 @@ def turn_duration(events: DataFrame) -> DataFrame:
 BOOK_STAGES = ["ideation", "exploration", "synthesis", "critique", "overview", "compilation"]
 
 
-def book_progress(events: DataFrame) -> DataFrame:
+_PENDING, _RUNNING, _COMPLETED, _ERROR = "prce"
+_STATE_NAMES = {"p": "pending", "r": "running", "c": "completed", "e": "error"}
+_BOOK_START = _PENDING * len(BOOK_STAGES)
+
+
+def _book_step(state: str, kind: str, rank: int) -> str:
+    """State of the stages (one letter each) after an event."""
+    if kind == "start":
+        done = state[:rank].replace(_PENDING, _COMPLETED).replace(_RUNNING, _COMPLETED)
+        return done + _RUNNING + state[rank + 1 :]
+    if kind == "complete":
+        return state[:rank] + _COMPLETED + state[rank + 1 :]
+    return state.replace(_RUNNING, _ERROR, 1)
+
+
+def _fold_books(events: DataFrame) -> DataFrame:
+    """End state of each book by one fold over its ordered events; the state is six letters."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "kind", "rank")))
+
+    def step(state: Column, e: Column) -> Column:
+        before, after = F.substr(state, F.lit(1), e["rank"]), F.substr(state, e["rank"] + 2)
+        running = F.locate(_RUNNING, state)
+        return (
+            F.when(e["kind"] == "start", F.concat(F.translate(before, _PENDING + _RUNNING, _COMPLETED * 2), F.lit(_RUNNING), after))
+            .when(e["kind"] == "complete", F.concat(before, F.lit(_COMPLETED), after))
+            .when(running > 0, F.concat(F.substr(state, F.lit(1), running - 1), F.lit(_ERROR), F.substr(state, running + 1)))
+            .otherwise(state)
+        )
+
+    return events.groupBy("book_id").agg(F.aggregate(ordered, F.lit(_BOOK_START), step).alias("state"))
+
+
+def _chain_books(events: DataFrame, per_slice: int) -> DataFrame:
+    """The same for books with very many events.
+
+    A slice of events is a function from entry state to end state.  Slices tabulate theirs in
+    parallel (there are 4^6 states), and a book then looks its state up slice by slice.
+    """
+    states = ["".join(t) for t in itertools.product("prce", repeat=len(BOOK_STAGES))]
+    number = {s: i for i, s in enumerate(states)}
+    events = events.withColumn("slice", F.floor(F.col("pos") / per_slice))
+
+    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
+        moves: dict[tuple[str, int], np.ndarray] = {}
+        at = np.arange(len(states))
+        pdf = pdf.sort_values("pos")
+        for event in zip(pdf["kind"].tolist(), pdf["rank"].tolist()):
+            if event not in moves:
+                moves[event] = np.array([number[_book_step(s, *event)] for s in states])
+            at = moves[event][at]
+        return pd.DataFrame({"book_id": pdf["book_id"].iloc[:1], "slice": pdf["slice"].iloc[:1], "ends": [at.tolist()]})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = number[_BOOK_START]
+        for ends in pdf.sort_values("slice")["ends"]:
+            at = int(ends[at])
+        return pd.DataFrame({"book_id": pdf["book_id"].iloc[:1], "state": [states[at]]})
+
+    book = events.schema["book_id"].dataType.simpleString()
+    tables = events.groupBy("book_id", "slice").applyInPandas(tabulate, f"book_id {book}, slice long, ends array<int>")
+    return tables.groupBy("book_id").applyInPandas(follow, f"book_id {book}, state string")
+
+
+def book_progress(events: DataFrame, per_slice: int = 100_000, hot_rows: int | None = None) -> DataFrame:
     """State of every stage of a book after its events.
 
-    Starting a stage completes the earlier ones that were open; a stream error marks the open
-    stage, and only a new start or a completion of the same stage clears it.  The state follows
-    from the last start of the stage and the first event after it that ended or broke it, so two
-    aggregations replace an ordered fold.  ``events`` is (book_id, pos, kind, stage) with kind
-    start, complete or error.
+    Starting a stage completes the earlier ones still pending or running; an error marks the
+    first running stage.  ``events`` is (book_id, pos, kind, stage) with kind start, complete,
+    error or anything else, which changes nothing.
     """
-    order = {s: i for i, s in enumerate(BOOK_STAGES)}
-    rank = F.create_map(*[F.lit(x) for s, i in order.items() for x in (s, i)])
-    marks = events.select("book_id", "pos", "kind", rank[F.col("stage")].alias("r"))
-    books = events.select("book_id").distinct()
-    grid = books.select("book_id", F.explode(F.array(*[F.lit(i) for i in order.values()])).alias("s"))
-    starts = marks.filter("kind = 'start'").groupBy("book_id", F.col("r").alias("s")).agg(F.max("pos").alias("began"))
-    state = grid.join(starts, ["book_id", "s"], "left")
-    # One row per book with its stage starts, so every event meets its book once.
-    per_book = state.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("s", "began"))).alias("began"))
-    seen = marks.join(per_book, "book_id")
-    aggs = []
-    for i in order.values():
-        began = F.col("began")[i]
-        after = began.isNull() | (F.col("pos") > began)
-        done = (F.col("kind") == "complete") & (F.col("r") == i)
-        passed = (F.col("kind") == "start") & (F.col("r") > i)
-        aggs += [
-            F.first("began").getItem(i).alias(f"b{i}"),
-            F.min(F.when(after & (done | passed), F.col("pos"))).alias(f"e{i}"),
-            F.max(F.when(after & done, F.col("pos"))).alias(f"c{i}"),
-            F.min(F.when(began.isNotNull() & after & (F.col("kind") == "error"), F.col("pos"))).alias(f"x{i}"),
-        ]
-    flat = seen.groupBy("book_id").agg(*aggs)
-    views = []
-    for name, i in order.items():
-        b, e, c, x = (F.col(f"{k}{i}") for k in "becx")
-        broke = x.isNotNull() & (e.isNull() | (x < e))
-        views.append(
-            F.struct(
-                F.lit(name).alias("stage"),
-                F.when(broke & (c.isNull() | (c < x)), "error").when(e.isNotNull(), "completed")
-                .when(b.isNotNull(), "running").otherwise("pending").alias("state"),
-            )
-        )
-    return flat.select("book_id", F.explode(F.array(*views)).alias("v")).select("book_id", "v.*")
+    rank = F.array_position(F.array(*[F.lit(s) for s in BOOK_STAGES]), F.col("stage")).cast("int") - 1
+    marks = events.select("book_id", "pos", "kind", rank.alias("rank"))
+    marks = marks.filter(F.col("kind").isin("start", "complete", "error"))
+
+    def body(df: DataFrame, scan: Scan) -> DataFrame:
+        return _chain_books(df, per_slice) if scan.sliced else _fold_books(df)
+
+    ends = by_heat(marks, ["book_id"], ["pos"], F.lit(0), body, hot_rows)
+    ends = events.select("book_id").distinct().join(ends, "book_id", "left")
+    state = F.coalesce("state", F.lit(_BOOK_START))
+    names = F.create_map(*[F.lit(x) for kv in _STATE_NAMES.items() for x in kv])
+    views = [
+        F.struct(F.lit(stage).alias("stage"), names[F.substr(state, F.lit(i + 1), F.lit(1))].alias("state"))
+        for i, stage in enumerate(BOOK_STAGES)
+    ]
+    return ends.select("book_id", F.explode(F.array(*views)).alias("v")).select("book_id", "v.*")
 
 
 def book_counters(events: DataFrame) -> DataFrame:

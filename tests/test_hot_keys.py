@@ -58,6 +58,13 @@ def test_outages_sliced(spark, sf):
     assert rows(O.outage_windows(calls, hot_rows=10)) == rows(O.outage_windows(calls, hot_rows=10**9))
 
 
+def test_book_progress_sliced(spark, sf):
+    events = view(spark, sf, "book_events")
+    plain = rows(O.book_progress(events, hot_rows=10**9))
+    assert rows(O.book_progress(events, per_slice=7, hot_rows=3)) == plain
+    assert len({r[1] for r in O.book_progress(events).select("book_id", "state").collect()}) >= 3
+
+
 def test_structure_blocks_sliced(spark):
     lines = [(1, i, i // 40, "image" if i % 7 == 6 else "text", f"{i}. ask" if i % 5 == 2 else f"A. opt{i}" if i % 5 == 3 else f"line {i}")
              for i in range(4000)]
