@@ -70,6 +70,19 @@ def _(spark, sf):
     return drain(stream, "orphans", "append").drop("batch")
 
 
+@query(
+    "s07_stream_expiry",
+    oracle(["sessions"], """SELECT session_id, epoch_us(created_at) // 1000 + 400 * CAST(86400000 AS BIGINT) AS deadline_ms FROM sessions
+      WHERE status IN ('pending', 'active') AND epoch_us(created_at) // 1000 + 400 * CAST(86400000 AS BIGINT)
+        <= epoch_us((SELECT max(created_at) FROM sessions)) // 1000 - 600000"""),
+)
+def _(spark, sf):
+    sessions = view_stream(spark, sf, "sessions", "orders").selectExpr(
+        "session_id", "session_id AS event_id", "status AS stage", "created_at AS ts"
+    )
+    return drain(S.stream_deadlines(sessions, "session_id", ["pending", "active"], 400 * 86400), "expiry", "append").drop("batch")
+
+
 @query(
     "s08_stream_outages",
     oracle(["backend_calls"], """, g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY backend ORDER BY at_s, call_id ROWS UNBOUNDED PRECEDING) AS run FROM backend_calls),
