@@ -282,6 +282,18 @@ def _(spark, sf):
     return P.week_over_week(answers(spark, sf), AS_OF)
 
 
+@query(
+    "w15_previous_week",
+    oracle(["answers"], f""", w AS (SELECT learner_id, {COUNTS} FROM answers
+        WHERE day BETWEEN DATE '{AS_OF}' - 7 AND DATE '{AS_OF}' GROUP BY 1),
+      d AS (SELECT learner_id, {COUNTS} FROM answers WHERE day BETWEEN DATE '{AS_OF}' - 15 AND DATE '{AS_OF}' - 8 GROUP BY 1)
+      SELECT w.learner_id, w.total, {ratio2_oracle("w.correct", "w.total")} AS week_accuracy,
+        coalesce({ratio2_oracle("d.correct", "d.total")}, 0) AS day_accuracy FROM w LEFT JOIN d USING (learner_id)"""),
+)
+def _(spark, sf):
+    return P.week_over_week(answers(spark, sf), AS_OF, whole_week=True)
+
+
 @query(
     "g07_parent_report",
     oracle(["answers"], f""", p AS (SELECT * FROM answers WHERE day BETWEEN DATE '{AS_OF}' - 7 AND DATE '{AS_OF}'),

@@ -142,6 +142,17 @@ def _(spark, sf):
     return V.staged_context(described(spark, sf, 10).withColumn("query_subject", F.expr(_QSUBJECT)))
 
 
+@query(
+    "t08_prefiltered_topk",
+    f"""WITH {_CENTRES}, {hits_sql(5, where=f"({_QSUBJECT}) = CASE label % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'physics' ELSE 'chemistry' END")}
+      SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM hit""",
+)
+def _(spark, sf):
+    asked = profiles(spark, sf).withColumn("subject", F.expr(_QSUBJECT))
+    meta = load(spark, sf, "embeddings").selectExpr("vec_id AS chunk_id", "embedding", *_META.split(",\n"))
+    return _shown(V.vector_topk(asked, meta, 5, within="subject"))
+
+
 @query(
     "t09_search_results",
     f"""WITH {_CENTRES}, {hits_sql(5)} SELECT query_id, rank, chunk_id, text[1:500] AS text, round(1 - least(distance, 1), 3) AS score

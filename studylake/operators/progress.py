@@ -366,12 +366,16 @@ def task_progress(reports: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return rows.select("report_id", "task_id", *[F.col(f"_{f}").alias(f) for f in fields])
 
 
-def week_over_week(answers: DataFrame, as_of: str) -> DataFrame:
-    """Accuracy of the last 7 days beside that of the single day 7 days ago, both as ratios."""
+def week_over_week(answers: DataFrame, as_of: str, whole_week: bool = False) -> DataFrame:
+    """Accuracy of the last 7 days beside that of the single day 7 days ago, both as ratios.
+
+    ``whole_week`` compares with the period of the same length just before instead.
+    """
     week = M.period_stats(answers, as_of, 7).select("learner_id", "total", F.col("accuracy").alias("week_accuracy"))
-    week_ago = (date.fromisoformat(as_of) - timedelta(days=7)).isoformat()
+    back, length = (8, 7) if whole_week else (7, 0)
+    before = (date.fromisoformat(as_of) - timedelta(days=back)).isoformat()
     day = (
-        M.in_period(answers, week_ago, 0)
+        M.in_period(answers, before, length)
         .groupBy("learner_id")
         .agg(F.count(_one()).alias("t"), F.count_if(M.right()).alias("c"))
         .select("learner_id", ratio2("c", "t").alias("day_accuracy"))

@@ -49,6 +49,7 @@ def _best(query_ids: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> p
             near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
         else:
             near = np.arange(len(d))
+        near = near[np.isfinite(d[near])]
         near = near[np.lexsort((ids[near], d[near]))][:k]
         rows.append(pd.DataFrame({"query_id": query, "chunk_id": ids[near], "distance": d[near]}))
     return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
@@ -63,6 +64,11 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _apart(queries: pd.Series, vectors: pd.Series, dist: np.ndarray) -> np.ndarray:
+    """Distances with pairs of unequal label put out of reach."""
+    return np.where(queries.to_numpy()[:, None] == vectors.to_numpy()[None, :], dist, np.inf)
+
+
 _HIT = "query_id long, chunk_id long, distance double"
 
 
@@ -74,20 +80,23 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
 
 
 def vector_topk(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2sq", max_queries: int = MAX_QUERIES
+    queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2sq", max_queries: int = MAX_QUERIES,
+    within: str | None = None,
 ) -> DataFrame:
     """Exact k nearest vectors of each query: (query_id, chunk_id, distance, rank).
 
     ``queries`` is (query_id, embedding), ``vectors`` (chunk_id, embedding).  Up to
     ``max_queries`` queries are sent to the tasks, which multiply them with each batch and keep k
     rows per query, so vectors are never shuffled.  More queries than that are never collected:
-    see ``blocked_topk``.
+    see ``blocked_topk``.  ``within`` names a column of both sides that must be equal, such as the
+    subject.
     """
-    q = queries.select(F.col("query_id").cast("long"), "embedding")
-    v = vectors.select(F.col("chunk_id").cast("long"), "embedding")
+    label = [within] if within else []
+    q = queries.select(F.col("query_id").cast("long"), "embedding", *label)
+    v = vectors.select(F.col("chunk_id").cast("long"), "embedding", *label)
     sample = q.limit(max_queries + 1).toPandas()
     if len(sample) > max_queries:
-        return blocked_topk(q, v, k, metric, max_queries)
+        return blocked_topk(q, v, k, metric, max_queries, within=within)
     if sample.empty:
         return v.sparkSession.createDataFrame([], _HIT + ", rank long")
     sample = sample.sort_values("query_id")
@@ -98,7 +107,10 @@ def vector_topk(
         for pdf in frames:
             if pdf.empty:
                 continue
-            found = _best(ids, pdf["chunk_id"].to_numpy(), _distances(matrix, _stack(pdf["embedding"]), metric), k)
+            dist = _distances(matrix, _stack(pdf["embedding"]), metric)
+            if within:
+                dist = _apart(sample[within], pdf[within], dist)
+            found = _best(ids, pdf["chunk_id"].to_numpy(), dist, k)
             kept = found if kept is None else _merge([kept, found], k)
         if kept is not None:
             yield kept
@@ -108,7 +120,7 @@ def vector_topk(
 
 def blocked_topk(
     queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", query_block: int = MAX_QUERIES,
-    vector_block: int = BLOCK_ROWS,
+    vector_block: int = BLOCK_ROWS, within: str | None = None,
 ) -> DataFrame:
     """The same for any number of queries: both sides are cut into hashed blocks of bounded size,
     and each pair of blocks is one task."""
@@ -126,6 +138,8 @@ def blocked_topk(
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
         dist = _distances(_stack(left["embedding"]), _stack(right["embedding"]), metric)
+        if within:
+            dist = _apart(left[within], right[within], dist)
         return _best(left["query_id"].to_numpy(), right["chunk_id"].to_numpy(), dist, k)
 
     hits = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(pair, _HIT)

@@ -135,6 +135,19 @@ def test_topk_forms_agree_with_brute_force(spark, metric):
         assert sorted((r.query_id, r.chunk_id) for r in df.collect()) == want
 
 
+def test_topk_within_a_subject(spark):
+    rng = np.random.default_rng(4)
+    vec, ask = rng.normal(size=(300, 4)), rng.normal(size=(4, 4))
+    v = spark.createDataFrame([(i, x.tolist(), f"s{i % 7}") for i, x in enumerate(vec)], "chunk_id long, embedding array<double>, subject string")
+    q = spark.createDataFrame([(i, x.tolist(), f"s{i * 3}") for i, x in enumerate(ask)], "query_id long, embedding array<double>, subject string")
+    d = ((ask[:, None] - vec[None]) ** 2).sum(2)
+    want = sorted((i, j) for i in range(4) for j in sorted((j for j in range(300) if j % 7 == i * 3), key=lambda j: d[i, j])[:5])
+    assert len(want) == 15  # nothing for the subject no vector has
+    for limit in (100, 1):
+        got = V.vector_topk(q, v, 5, max_queries=limit, within="subject").collect()
+        assert sorted((r.query_id, r.chunk_id) for r in got) == want
+
+
 def test_ann_is_a_subset_with_good_recall(spark, sf):
     e = load(spark, sf, "embeddings")
     q, v = V.profile_vectors(e), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
