@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import byte_bpe, decontaminate, minmax_dedup, shard_tree
+from studylake.llm import byte_bpe, decontaminate, language_bitmask, minmax_dedup, shard_tree
 from studylake.llm.common import settings
 from studylake.sources.tables import load
 
@@ -139,3 +139,11 @@ def encoded(docs: DataFrame) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
     both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
     return both.withColumns({"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("token_ids", "decoded")
+
+
+@query("op8_language_bitmask")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    out = language_bitmask.held_out(F.col("doc_id"), 3, 1)
+    fitted = language_bitmask.fit(docs.where(~out).select("doc_id", "text", "lang"))
+    return language_bitmask.predict(docs.select("doc_id", "text", out.alias("held_out")), fitted).drop("text")
