@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import byte_bpe, decontaminate, language_bitmask, minmax_dedup, shard_tree
+from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, shard_tree
 from studylake.llm.common import settings
 from studylake.sources.tables import load
 
@@ -147,3 +147,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_bitmask.held_out(F.col("doc_id"), 3, 1)
     fitted = language_bitmask.fit(docs.where(~out).select("doc_id", "text", "lang"))
     return language_bitmask.predict(docs.select("doc_id", "text", out.alias("held_out")), fitted).drop("text")
+
+
+@query("op10_lexicon_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    out = language_bitmask.held_out(F.col("doc_id"), 5, 0)
+    fitted = lexicon_toxicity.fit(docs.where(~out), labels.where(~out))
+    return lexicon_toxicity.score(docs.withColumn("held_out", out), fitted).drop("text")
