@@ -6,6 +6,7 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -109,3 +110,46 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     star = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return star.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def by_group(df: DataFrame, keys: list[str], new: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of ``df`` dealt and sorted by ``keys``, handed over as many whole groups at a time.
+
+    ``work(table, starts)`` gets a table of whole groups and the row at which each begins, and yields batches of
+    the columns ``new``. A group must fit in memory; a partition need not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def starts_of(table: pa.Table) -> np.ndarray:
+            change = np.zeros(max(0, table.num_rows - 1), bool)
+            for k in keys:
+                values = table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+                change |= values[1:] != values[:-1]
+            return np.concatenate(([0], np.flatnonzero(change) + 1))
+
+        for batch in batches:
+            rest.append(batch)
+            table = pa.Table.from_batches(rest).combine_chunks()
+            starts = starts_of(table)
+            last = int(starts[-1])
+            if last:  # the last group may go on in the next batch
+                yield from work(table.slice(0, last), starts[:-1])
+                rest = table.slice(last).to_batches()
+        if rest and (table := pa.Table.from_batches(rest).combine_chunks()).num_rows:
+            yield from work(table, starts_of(table))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, new)
+
+
+def paired_blocks(members: DataFrame, key: list[str], member: str, size: str, block: int) -> DataFrame:
+    """``members`` of groups of ``size`` rows, dealt to pairs of blocks of about ``block`` rows.
+
+    Adds i <= j, the block pair, and own, the row's block: any two members of a group meet in one pair of blocks, so
+    no task needs a whole group.
+    """
+    dealt = members.withColumn("_blocks", F.ceil(F.col(size) / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_blocks", "_other", size)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, shard_tree
+from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, shard_tree
 from studylake.llm.common import settings
 from studylake.sources.tables import load
 
@@ -87,6 +87,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+    vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS good FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id AND x.good AND y.good
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN counts USING (vec_id) GROUP BY vec_id"""
+
+
+@query("op3_pivot_dedup", VECTOR_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def _descend_sql(tree: list[shard_tree.Leaf]) -> str:
     """The shard of ``id`` in SQL: a common table expression's columns p1, p2, p3 descend level by level."""
 
