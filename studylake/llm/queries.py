@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, shard_tree
+from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, shard_tree, text_density
 from studylake.llm.common import settings
 from studylake.sources.tables import load
 
@@ -106,6 +106,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+@query("op5_text_density")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = text_density.main_text(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def _descend_sql(tree: list[shard_tree.Leaf]) -> str:
     """The shard of ``id`` in SQL: a common table expression's columns p1, p2, p3 descend level by level."""
 
