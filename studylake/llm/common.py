@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -153,3 +153,27 @@ def paired_blocks(members: DataFrame, key: list[str], member: str, size: str, bl
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.withColumns({"i": F.least("own", "_other"), "j": F.greatest("own", "_other")}).drop("_blocks", "_other", size)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often and wherever ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def prefix_sums(lengths: Column, chunk: int = 256) -> Column:
+    """For an array of integers, the sum of the elements before each (array<bigint>); '[]' for an empty one.
+
+    Works in two levels, so an array of n elements costs about n * chunk steps, not n * n.
+    """
+
+    def running(values: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("o"))
+        step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o"))
+        return F.aggregate(values, zero, step, lambda acc: acc["o"])
+
+    def chunked(a: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / chunk).cast("int") - 1), lambda c: F.slice(a, c * chunk + 1, chunk))
+        total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return bound(parts, lambda p: F.flatten(F.zip_with(p, running(F.transform(p, total), F.lit(0)), running)))
+
+    return bound(lengths, lambda a: F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(chunked(a)))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, shard_tree, text_density
+from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, reply_trees, shard_tree, text_density
 from studylake.llm.common import settings
 from studylake.sources.tables import load
 
@@ -106,6 +107,41 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS r,
+    length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS t FROM turns),
+joined AS (
+  SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(r + t + 20) AS chars
+  FROM sized GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS n_turns, sha256(whole) AS turns_sha256,
+  CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM joined"""
+
+
+@query("op4_reply_trees", CHAT_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is a tree in which every turn answers the one before."""
+    extra = spark.sql(
+        "SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    messages = turns.select(F.col("conv_id").alias("tree"), place.cast("long").alias("id"), "role", "text", F.lit(1.0).alias("score"))
+    messages = messages.withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1))
+    found = reply_trees.conversations(messages)
+    read = found.select("tree", "conversation", reply_trees.read_back(F.col("conversation")).alias("turns"), reply_trees.masked(F.col("conversation"), F.col("loss")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("conversation").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op5_text_density")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = text_density.main_text(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
