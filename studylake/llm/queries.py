@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from studylake.llm import byte_bpe, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, reply_trees, shard_tree, text_density
+from studylake.llm import (
+    byte_bpe, contextual_pii, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, reply_trees, shard_tree, text_density,
+)
 from studylake.llm.common import settings
 from studylake.sources.tables import load
 
@@ -210,6 +212,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_bitmask.predict(docs.select("doc_id", "text", out.alias("held_out")), fitted).drop("text")
 
 
+@query("op9_contextual_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextual_pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, contextual_pii.NAMES), F.sha2(contextual_pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        contextual_pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op10_lexicon_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
