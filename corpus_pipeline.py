@@ -1,20 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: from ``documents`` to encoded training text, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; between stages the documents are
+written and read again. Every stage reads the columns of ``documents`` only, whatever else there is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from studylake.llm import contextual_pii, decontaminate, language_bitmask, minmax_dedup
+from studylake.llm.common import settings, written
 from studylake.llm.queries import encoded
+from studylake.sources.tables import load
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document of which its best language holds fewer n-grams than this share is in none of the languages.
+LEAST_COVERAGE = 0.1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those in none of the learned languages; a missing ``lang`` is filled in."""
+    settings(spark)
+    docs = docs.select(COLUMNS)
+    fitted = language_bitmask.fit(docs.where(~language_bitmask.held_out(F.col("doc_id"), 3, 1)))
+    known = language_bitmask.predict(docs, fitted).where((F.col("lang_pred") != language_bitmask.UND) & (F.col("coverage") >= LEAST_COVERAGE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the one with the smallest id, of each group of near-duplicates."""
+    settings(spark)
+    docs = docs.select(COLUMNS)
+    copies = minmax_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a window of a benchmark item."""
+    settings(spark)
+    found = decontaminate.find(docs.select(COLUMNS), load(spark, sf_dir, "benchmark"))
+    return decontaminate.without_documents(found).select(COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind."""
+    settings(spark)
+    found = contextual_pii.find(docs.select(COLUMNS), keep_text=True)
+    text = contextual_pii.masked(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode the texts and decode them again: doc_id, lang, source, n_chars, n_tokens and digests of ids and bytes."""
+    settings(spark)
+    return encoded(docs.select(COLUMNS))
+
 
 STAGES = [
-    ("byte_bpe", lambda spark, docs, sf_dir: encoded(docs)),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("byte_bpe", byte_bpe),
 ]
-#: The stages are learned, iterative or need a tokenizer; tests/llm compares them with brute force.
+#: The first stage is learned and the fourth iterates, which SQL cannot give; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
