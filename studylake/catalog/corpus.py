@@ -102,7 +102,7 @@ def _(spark, sf):
 
 # --- chunks --------------------------------------------------------------------------------
 
-_PACK = f"""ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents),
+PACK = f"""ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents),
   w AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS cur, CAST(NULL AS VARCHAR) AS out FROM ls WHERE length(text) > 800
     UNION ALL
     SELECT doc_id, i + 1, CASE WHEN i >= len(ps) THEN '' WHEN fits THEN trim(concat(cur, chr(10), chr(10), p), {WS}) ELSE p END,
@@ -113,7 +113,7 @@ _PACK = f"""ls AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM d
           FROM w WHERE out IS NOT NULL),
   ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, text FROM big
     UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 800),
-  ids AS (SELECT ch.doc_id, concat(substr(sha256(d.text), 1, 16), '_', CAST(chunk_index AS VARCHAR)) AS chunk_id, chunk_index, ch.text
+  ids AS (SELECT ch.doc_id, concat(sha256(d.text), '_', CAST(chunk_index AS VARCHAR)) AS chunk_id, chunk_index, ch.text
           FROM ch JOIN documents d USING (doc_id))"""
 
 
@@ -121,20 +121,27 @@ def chunks(spark, sf):
     return K.chunk_rows(spread(load(spark, sf, "documents")).select("doc_id", "text"), separator="\n")
 
 
-@query("x01_pack_chunks", f"WITH RECURSIVE {_PACK} SELECT doc_id, chunk_id, chunk_index, text FROM ids")
+@query("x01_pack_chunks", f"WITH RECURSIVE {PACK} SELECT doc_id, chunk_id, chunk_index, text FROM ids")
 def _(spark, sf):
     return chunks(spark, sf)
 
 
 @query(
     "a06_upsert_chunks",
-    f"""WITH RECURSIVE {_PACK}, e AS (SELECT chunk_id FROM ids WHERE doc_id IN (SELECT doc_id FROM labels))
-      SELECT chunk_id, min(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, any_value(text) AS text FROM ids
-      WHERE chunk_id NOT IN (SELECT chunk_id FROM e) GROUP BY 1""",
+    f"""WITH RECURSIVE {PACK},
+      kb AS (SELECT ids.doc_id, concat('kb', CAST(ids.doc_id % 3 AS VARCHAR)) AS kb_name, chunk_index, ids.text, d.text AS whole
+             FROM ids JOIN documents d USING (doc_id)),
+      own AS (SELECT *, concat(sha256(concat(kb_name, chr(31), whole)), '_', CAST(chunk_index AS VARCHAR)) AS chunk_id FROM kb),
+      e AS (SELECT chunk_id FROM own WHERE doc_id IN (SELECT doc_id FROM labels))
+      SELECT chunk_id, kb_name, min(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, any_value(text) AS text FROM own
+      WHERE chunk_id NOT IN (SELECT chunk_id FROM e) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    stored = chunks(spark, sf).join(load(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    return K.new_chunks(chunks(spark, sf), stored)
+    """The same text in two knowledge bases is stored in both."""
+    kb = F.concat(F.lit("kb"), (F.col("doc_id") % 3).cast("string")).alias("kb_name")
+    every = K.chunk_rows(spread(load(spark, sf, "documents")).select("doc_id", kb, "text"), separator="\n")
+    stored = every.join(load(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return K.new_chunks(every, stored)
 
 
 def headed(spark, sf):
@@ -322,8 +329,8 @@ def _(spark, sf):
 
 @query(
     "a09_assemble_pages",
-    """SELECT conv_id AS doc_id, turn // 500 AS part, string_agg(concat('--- Page ', CAST(turn + 1 AS VARCHAR), ' ---', chr(10), text), chr(10) || chr(10) ORDER BY turn) AS text
-      FROM conversations GROUP BY 1, 2""",
+    """SELECT conv_id AS doc_id, CAST(0 AS BIGINT) AS part, string_agg(concat('--- Page ', CAST(turn + 1 AS VARCHAR), ' ---', chr(10), text), chr(10) || chr(10) ORDER BY turn) AS text
+      FROM conversations GROUP BY 1""",
 )
 def _(spark, sf):
     return K.assemble_pages(load(spark, sf, "conversations").selectExpr("conv_id AS doc_id", "turn AS page", "text"))
@@ -355,16 +362,16 @@ def _(spark, sf):
 
 @query(
     "c07_answer_leak",
-    """WITH q AS (SELECT doc_id * 2 AS question_id, doc_id AS learner_id, substr(text, 50, 100) AS question FROM documents UNION ALL
-        SELECT doc_id * 2 + 1, doc_id, concat('zz', substr(text, 1, 50)) FROM documents)
-      SELECT question_id, learner_id, length(substr(question, 1, 80)) > 5 AND contains(replace(replace(text, ' ', ''), chr(10), ''),
-        replace(replace(substr(question, 1, 80), ' ', ''), chr(10), '')) AS withheld FROM q JOIN documents ON doc_id = learner_id""",
+    """WITH q AS (SELECT doc_id * 2 AS question_id, doc_id AS learner_id, substr(text, 50) AS question FROM documents UNION ALL
+        SELECT doc_id * 2 + 1, doc_id, concat(text, 'zz') FROM documents)
+      SELECT question_id, learner_id, length(question) > 5 AND contains(replace(replace(text, ' ', ''), chr(10), ''),
+        replace(replace(question, ' ', ''), chr(10), '')) AS withheld FROM q JOIN documents ON doc_id = learner_id""",
 )
 def _(spark, sf):
     d = spread(load(spark, sf, "documents"))
     questions = d.selectExpr(
-        "doc_id AS learner_id", "inline(array(struct(doc_id * 2 AS question_id, substring(text, 50, 100) AS question), "
-        "struct(doc_id * 2 + 1 AS question_id, concat('zz', substring(text, 1, 50)) AS question)))")
+        "doc_id AS learner_id", "inline(array(struct(doc_id * 2 AS question_id, substring(text, 50) AS question), "
+        "struct(doc_id * 2 + 1 AS question_id, concat(text, 'zz') AS question)))")
     return K.answer_leak(questions, d.selectExpr("doc_id AS learner_id", "text AS context"))
 
 

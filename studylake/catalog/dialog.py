@@ -10,9 +10,9 @@ from studylake.sources.tables import load, oracle, view
 
 @query(
     "a08_export_conversation",
-    f"""SELECT conv_id, turn // 500 AS part, concat(CASE WHEN turn // 500 = 0 THEN concat('# Chat Session', chr(10), chr(10)) ELSE '' END,
+    f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, concat('# Chat Session', chr(10), chr(10),
       string_agg(rtrim(concat('## ', CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END, chr(10), chr(10), {strip_sql('text')})),
-        concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn), chr(10)) AS text FROM conversations GROUP BY conv_id, turn // 500""",
+        concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn), chr(10)) AS text FROM conversations GROUP BY conv_id""",
 )
 def _(spark, sf):
     return D.export_conversation(load(spark, sf, "conversations"))

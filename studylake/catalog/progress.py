@@ -299,9 +299,7 @@ def _(spark, sf):
     oracle(["answers"], f""", p AS (SELECT * FROM answers WHERE day BETWEEN DATE '{AS_OF}' - 7 AND DATE '{AS_OF}'),
       t AS (SELECT learner_id, {COUNTS}, coalesce(string_agg(DISTINCT kp_id, ',' ORDER BY kp_id) FILTER (score <= 0), '')
               AS weak_points FROM p GROUP BY 1),
-      h AS (SELECT * FROM (SELECT *, {_NEWEST.format(keys="learner_id")} AS rn FROM answers) x WHERE rn <= 200),
-      w AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY rn) AS k FROM h
-            WHERE score < 1 AND day BETWEEN DATE '{AS_OF}' - 7 AND DATE '{AS_OF}'),
+      w AS (SELECT *, {_NEWEST.format(keys="learner_id")} AS k FROM p WHERE score < 1),
       rw AS (SELECT learner_id, string_agg(question, ',' ORDER BY k) AS recent_wrong FROM w WHERE k <= 5 GROUP BY 1),
       mc AS (SELECT learner_id, count(DISTINCT kp_id) AS mastery_count FROM answers GROUP BY 1)
       SELECT t.learner_id, t.total AS total_questions, t.correct AS correct_count, t.wrong AS wrong_count,

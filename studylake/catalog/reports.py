@@ -4,9 +4,9 @@ from datetime import datetime
 
 
 from studylake.catalog import query
-from studylake.catalog.corpus import registered
+from studylake.catalog.corpus import PACK, registered
 from studylake.catalog.mastery import C_CTE, COUNTS, answers
-from studylake.catalog.text import REJECT_SQL, docs, matches_sql
+from studylake.catalog.text import GRADE_BAND_SQL, REJECT_SQL, SUBJECT_SQL, docs, matches_sql
 from studylake.functions import rules as R
 from studylake.functions.rounding import ratio2_oracle
 from studylake.plans import ingest as J
@@ -21,8 +21,7 @@ def _rows_sql(days: int, as_of: str = AS_OF) -> str:
     return f"""{C_CTE}, p AS (SELECT * FROM answers WHERE {inside}),
       t AS (SELECT learner_id, {COUNTS} FROM p GROUP BY 1),
       pc AS (SELECT *, CAST(round({ratio2_oracle('correct', 'total')} * 100) AS INT) AS percent FROM t),
-      h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY ts DESC, answer_id DESC) AS rn FROM answers) x WHERE rn <= 200),
-      w5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY rn) AS k FROM h WHERE score < 1 AND {inside}) y WHERE k <= 5),
+      w5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY ts DESC, answer_id DESC) AS k FROM p WHERE score < 1) y WHERE k <= 5),
       wr AS (SELECT learner_id, count(*) AS n, string_agg(concat('  ', CAST(k AS VARCHAR), '. ', question), {_NL} ORDER BY k) AS lines FROM w5 GROUP BY 1),
       dy AS (SELECT learner_id, day, count(*) AS t, round_even(count(*) FILTER (score >= 1) * 100 / count(*), 1) AS a FROM p GROUP BY 1, 2),
       wk AS (SELECT DISTINCT learner_id, kp_id FROM p WHERE score <= 0),
@@ -83,7 +82,7 @@ def _(spark, sf):
 
 
 _NOW = datetime(2024, 1, 29, 21, 0)
-_ID = "substr(sha256(concat_ws('/', CAST(learner_id AS VARCHAR), report_type, period, 'parent')), 1, 16)"
+_ID = "sha256(concat_ws('/', CAST(learner_id AS VARCHAR), report_type, period, 'parent'))"
 _DUE = f"""du AS (SELECT learner_id, 'daily' AS report_type, '2024-01-29' AS period FROM answers WHERE day BETWEEN DATE '2024-01-28' AND DATE '2024-01-29' GROUP BY 1
     UNION ALL SELECT learner_id, 'weekly', '2024-W05' FROM answers WHERE day BETWEEN DATE '2024-01-22' AND DATE '2024-01-29' GROUP BY 1),
   nt AS (SELECT {_ID} AS notification_id, learner_id, report_type, period, 'parent' AS target FROM du)"""
@@ -102,12 +101,18 @@ def _(spark, sf):
     return RP.scheduled_reports(a, _NOW, sent).select("notification_id", "learner_id", "report_type", "period", "target")
 
 
+_KEPT_CHUNKS = PACK.replace("FROM documents", "FROM kept").replace("JOIN documents d", "JOIN kept d").replace(
+    "sha256(d.text)", "sha256(concat(d.kb_name, chr(31), d.text))"
+)
+
+
 @query(
     "e02_ingest",
-    oracle(["docs"], f""", t AS (SELECT *, trim(text, chr(10) || ' ') AS c FROM docs WHERE {REJECT_SQL} = '' AND NOT {matches_sql('lower(filename)', R.SIDECAR_NAME)} AND kb_name <> 'kb2'),
-      k AS (SELECT min(doc_id) AS doc_id FROM t WHERE length(c) >= 10 GROUP BY c)
-      SELECT t.doc_id, filename, kb_name FROM t JOIN k USING (doc_id)"""),
+    oracle(["docs"], f"""RECURSIVE, t AS (SELECT *, trim(text, chr(10) || ' ') AS c FROM docs WHERE {REJECT_SQL} = '' AND NOT {matches_sql('lower(filename)', R.SIDECAR_NAME)} AND kb_name <> 'kb2'),
+      k AS (SELECT min(doc_id) AS doc_id FROM t WHERE length(c) >= 10 GROUP BY kb_name, c),
+      kept AS (SELECT *, {SUBJECT_SQL} AS subject, {GRADE_BAND_SQL} AS grade FROM (SELECT t.doc_id, filename, kb_name, c AS text FROM t JOIN k USING (doc_id)) x),
+      {_KEPT_CHUNKS}
+      SELECT doc_id, filename, kb_name, subject, grade, 'raw_ocr' AS type, chunk_id, chunk_index, ids.text FROM ids JOIN kept USING (doc_id)"""),
 )
 def _(spark, sf):
-    chunks = J.ingest(docs(spark, sf).select("doc_id", "filename", "size", "kb_name", "text"), registered(spark, sf), "\n", require_cjk=False)
-    return chunks.filter("chunk_index = 0").select("doc_id", "filename", "kb_name")
+    return J.ingest(docs(spark, sf).select("doc_id", "filename", "size", "kb_name", "text"), registered(spark, sf), "\n", require_cjk=False)

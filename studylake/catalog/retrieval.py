@@ -59,7 +59,24 @@ def _(spark, sf):
     return _shown(V.blocked_topk(q, vectors(spark, sf), 10, query_block=8, vector_block=5000))
 
 
-@query("t04_vector_topk_ann")
+def _planes_sql(dims: int = 64, tables: int = 8, bits: int = 4, seed: int = 7) -> str:
+    planes = V.hyperplanes(dims, tables * bits, seed)
+    rows = ", ".join(f"({n // bits}, {n % bits}, {planes[:, n].tolist()})" for n in range(tables * bits))
+    return f"planes AS (SELECT t, b, CAST(p AS DOUBLE[]) AS p FROM (VALUES {rows}) v(t, b, p))"
+
+
+def _signs_sql(name: str, key: str, vector: str, source: str) -> str:
+    return f"{name} AS (SELECT {key} AS k, t, string_agg(CASE WHEN list_inner_product({vector}, p) > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS s FROM {source}, planes GROUP BY 1, 2)"
+
+
+@query(
+    "t04_vector_topk_ann",
+    f"""WITH {_CENTRES}, {hits_sql(10)}, {_planes_sql()}, {_signs_sql("sq", "query_id", "q", "qs")},
+      {_signs_sql("sv", "vec_id", "CAST(embedding AS DOUBLE[])", "embeddings")},
+      near AS (SELECT DISTINCT sq.k AS query_id, sv.k AS chunk_id FROM sq JOIN sv ON sq.t = sv.t AND sq.s = sv.s),
+      best AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM hit_d JOIN near USING (query_id, chunk_id))
+      SELECT h.query_id, count(*) AS k, count(b.chunk_id) AS found FROM hit h LEFT JOIN best b ON b.query_id = h.query_id AND b.chunk_id = h.chunk_id AND b.r <= 10 GROUP BY 1""",
+)
 def _(spark, sf):
     q, v = profiles(spark, sf), vectors(spark, sf)
     return V.recall(V.vector_topk_ann(q, v, 10), V.vector_topk(q, v, 10))

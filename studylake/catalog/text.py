@@ -82,6 +82,8 @@ def _(spark, sf):
 
 
 _SUBJECT = bands_sql("text", R.TEXT_SUBJECTS, "math")
+SUBJECT_SQL = f"coalesce(nullif({first_sql('filename', R.FILENAME_SUBJECTS, '')}, ''), {_SUBJECT})"
+GRADE_BAND_SQL = bands_sql("text", R.GRADE_BANDS, "")
 
 
 @query(
@@ -448,21 +450,32 @@ def _(spark, sf):
     )
 
 
-_SHAPES = ["三角形", "circle", "圆", "矩形", "正方形", "平行", "垂直", "∠", "△", "▱", "□"]
 
 
 @query(
     "h17_fig_type",
-    oracle(["study_docs"], f"""SELECT doc_id, CASE WHEN {any_sql('lower(text)', _SHAPES)} THEN 'geometry'
+    oracle(["study_docs"], f"""SELECT doc_id, CASE WHEN {any_sql('lower(text)', R.FIGURE_SHAPES)} THEN 'geometry'
       WHEN regexp_matches(lower(text), '[=xysincostanlim]') AND regexp_matches(text, '[0-9]') THEN 'function_graph'
       WHEN regexp_matches(text, '[│|]\\s*[^│|]+\\s*[│|]') OR contains(lower(text), 'table') THEN 'table'
-      WHEN {any_sql('lower(text)', ["图", "diagram", "chart", "实验", "示意"])} THEN 'illustration' ELSE 'unknown' END AS fig_type
+      WHEN {any_sql('lower(text)', R.FIGURE_WORDS)} THEN 'illustration' ELSE 'unknown' END AS fig_type
       FROM study_docs"""),
 )
 def _(spark, sf):
     return study(spark, sf).select("doc_id", G.fig_type_from_text(F.col("text")).alias("fig_type"))
 
 
+@query(
+    "h17_fig_type_from_description",
+    """SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'unknown' WHEN p_partkey % 5 = 0 THEN 'geometry' WHEN p_partkey % 5 = 1 THEN 'function_graph'
+      WHEN p_size % 3 = 0 THEN 'table' ELSE 'illustration' END AS fig_type FROM part""",
+)
+def _(spark, sf):
+    keys = "CASE p_partkey % 5 WHEN 0 THEN array('type', 'figure_type') WHEN 1 THEN array('function_hint') WHEN 4 THEN NULL ELSE array('caption', 'type') END"
+    kind = "CASE WHEN p_size % 3 = 0 THEN 'Table' ELSE p_type END"
+    rows = load(spark, sf, "part").select("p_partkey", F.expr(keys).alias("keys"), F.expr(kind).alias("kind"))
+    return rows.select("p_partkey", G.fig_type_from_description(F.col("keys"), F.col("kind")).alias("fig_type"))
+
+
 @query(
     "h25_subject_of_kp",
     oracle(["kps"], """SELECT kp_id, CASE WHEN contains(kp_id, 'math') THEN 'math' WHEN contains(kp_id, 'physics') THEN 'physics'

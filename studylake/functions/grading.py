@@ -130,13 +130,11 @@ def concept_answer(correct: Column) -> Column:
 
 def fig_type_from_text(text: Column) -> Column:
     low = F.lower(text)
-    shapes = ["三角形", "circle", "圆", "矩形", "正方形", "平行", "垂直", "∠", "△", "▱", "□"]
-    other = ["图", "diagram", "chart", "实验", "示意"]
     return (
-        F.when(any_of(low, shapes), "geometry")
+        F.when(any_of(low, R.FIGURE_SHAPES), "geometry")
         .when(low.rlike("[=xysincostanlim]") & low.rlike(r"(?U)\d"), "function_graph")
         .when(text.rlike(r"(?U)[│|]\s*[^│|]+\s*[│|]") | low.contains("table"), "table")
-        .when(any_of(low, other), "illustration")
+        .when(any_of(low, R.FIGURE_WORDS), "illustration")
         .otherwise("unknown")
     )
 

@@ -189,3 +189,7 @@ DEVICE_WORDS = (
     "温度 多少度 烫 散热 发热 存储 空间 磁盘 硬盘 满了 还剩 ssd 寿命 磨损 固态 wifi wi-fi 网络 连网 无线 扫描wifi "
     "扫描网络 搜wifi 搜网络 搜无线 设备状态 系统状态 运行状态 ip 信号 清理 释放 腾空间 加孩子 绑定孩子 子网关"
 ).split()
+
+# Words of a text that tell the type of its figure.
+FIGURE_SHAPES = ("三角形", "circle", "圆", "矩形", "正方形", "平行", "垂直", "∠", "△", "▱", "□")
+FIGURE_WORDS = ("图", "diagram", "chart", "实验", "示意")

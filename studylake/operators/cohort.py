@@ -102,16 +102,16 @@ def coverage_growth(answers: DataFrame) -> DataFrame:
 SLO_P95 = {"ocr": 10.0, "first_reply": 15.0, "judge": 8.0, "practice": 30.0, "chat": 60.0}
 
 
-def latency_slo(calls: DataFrame, target: float | None = None) -> DataFrame:
+def latency_slo(calls: DataFrame, target: float | None = None, digits: int | None = None) -> DataFrame:
     """P50 and P95 per operation against the target.
 
-    ``calls`` is (operation, seconds).  Latencies are counted per distinct hundredth of a second
-    (map-side), so what the exact percentile holds is bounded by the range of latencies, not by
-    the number of calls.
+    ``calls`` is (operation, seconds).  Latencies are counted per distinct value (map-side) and the
+    percentiles are exact.  ``digits`` rounds the latencies first, which bounds the distinct values.
     """
+    seconds = F.col("seconds") if digits is None else F.round("seconds", digits)
     targets = F.create_map(*[F.lit(x) for kv in SLO_P95.items() for x in kv])
     goal = F.lit(target) if target is not None else F.try_element_at(targets, F.col("operation"))
-    histogram = calls.groupBy("operation", F.round("seconds", 2).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    histogram = calls.groupBy("operation", seconds.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     quantiles = histogram.groupBy("operation").agg(
         F.percentile("s", 0.5, F.col("n")).alias("p50"), F.percentile("s", 0.95, F.col("n")).alias("p95"),
         F.sum("n").alias("calls"),

@@ -8,6 +8,7 @@ document id or knowledge base.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from studylake.functions import rules as R
 from studylake.functions.text import infer_grade, strip
+from studylake.operators.scan import null_safe
 
 # Chunk sizes and overlaps in characters.
 CHUNK_SIZE = 800
@@ -62,8 +64,10 @@ def pack_chunks(text: Column, size: int = CHUNK_SIZE, separator: str = PARAGRAPH
 
 
 def chunk_rows(docs: DataFrame, size: int = CHUNK_SIZE, separator: str = PARAGRAPH) -> DataFrame:
-    """One row per chunk, with ids made from the content: equal texts get equal ids."""
-    key = F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16)
+    """One row per chunk, with ids made from the content: equal texts get equal ids, within a knowledge
+    base where the documents have a ``kb_name``."""
+    named = F.concat(F.coalesce("kb_name", F.lit("")), F.lit("\x1f"), F.col("text")) if "kb_name" in docs.columns else F.col("text")
+    key = F.sha2(named.cast("binary"), 256)
     others = [c for c in docs.columns if c != "text"]
     return docs.select(*others, key.alias("content_key"), F.posexplode(pack_chunks(F.col("text"), size, separator))).select(
         *others, F.concat("content_key", F.lit("_"), F.col("pos").cast("string")).alias("chunk_id"),
@@ -225,25 +229,27 @@ def content_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def redundant_copies(docs: DataFrame) -> DataFrame:
-    """Ids of documents whose text an earlier document already has.
+def redundant_copies(docs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Ids of documents whose text an earlier document already has, with equal columns ``within``.
 
     Texts are hashed where they are read.  Only groups with copies are joined back, so the list
     that meets the rows has one entry per repeated text, and a text with very many copies is an
     ordinary lookup.
     """
-    hashed = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    repeated = (
-        hashed.groupBy("content_hash").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    )
-    return hashed.join(repeated, "content_hash").filter("doc_id <> _first").select("doc_id")
+    key = ["content_hash", *within]
+    hashed = docs.select("doc_id", *within, F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    repeated = hashed.groupBy(*key).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return null_safe(hashed, repeated, key).filter("doc_id <> _first").select("doc_id")
 
 
 def new_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks to append: one row per id, ids already stored left out."""
-    payload = [c for c in chunks.columns if c != "chunk_id"]
-    once = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*payload), "doc_id").alias("c"))
-    return once.join(existing.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "c.*")
+    """Chunks to append: one row per id, of the smallest document; ids already stored left out.
+
+    The choice moves ids only; texts meet it once.
+    """
+    new = chunks.select("chunk_id", "doc_id").join(existing.select("chunk_id"), "chunk_id", "left_anti")
+    chosen = new.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
+    return chunks.join(chosen, ["chunk_id", "doc_id"], "left_semi").dropDuplicates(["chunk_id"])
 
 
 def augment_paths(originals: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -305,19 +311,19 @@ def resume_action(docs: DataFrame, page_checkpoints: DataFrame) -> DataFrame:
 
 
 def assemble(
-    parts: DataFrame, key: str, order: str, text: Column, separator: str, per_part: int = 500
+    parts: DataFrame, key: str, order: str, text: Column, separator: str, per_part: int | None = None
 ) -> DataFrame:
     """Join the pieces of a key in order: (key, part, text).
 
-    A part holds ``per_part`` consecutive positions, so no task ever gathers an unbounded key; a
-    key with fewer positions is one part, and longer ones are read part after part.
+    A key is one row, part 0.  With ``per_part``, a part holds so many consecutive positions, for keys
+    too long for one value; parts are then read one after the other.
     """
     piece = F.struct(F.col(order).alias("o"), text.alias("t"))
-    grouped = parts.groupBy(key, F.floor(F.col(order) / per_part).alias("part")).agg(F.array_sort(F.collect_list(piece)).alias("ps"))
+    grouped = parts.groupBy(key, (F.floor(F.col(order) / per_part) if per_part else F.lit(0).cast("long")).alias("part")).agg(F.array_sort(F.collect_list(piece)).alias("ps"))
     return grouped.select(key, "part", F.array_join(F.transform("ps", lambda p: p["t"]), separator).alias("text"))
 
 
-def assemble_pages(pages: DataFrame, per_part: int = 500) -> DataFrame:
+def assemble_pages(pages: DataFrame, per_part: int | None = None) -> DataFrame:
     """Page texts of a document in order, each under its ``--- Page n ---`` line."""
     text = F.concat(F.lit("--- Page "), (F.col("page") + 1).cast("string"), F.lit(" ---\n"), F.col("text"))
     return assemble(pages, "doc_id", "page", text, "\n\n", per_part)
@@ -353,8 +359,8 @@ def answer_leak(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     def solid(c: Column) -> Column:
         return F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
 
-    head = F.substring("question", 1, 80)
-    leak = (F.length(head) > 5) & solid(F.col("context")).contains(solid(head))
+    question = F.col("question")
+    leak = (F.length(question) > 5) & solid(F.col("context")).contains(solid(question))
     return questions.join(contexts, "learner_id", "left").select(
         "question_id", "learner_id", F.coalesce(leak, F.lit(False)).alias("withheld")
     )

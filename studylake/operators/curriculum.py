@@ -58,19 +58,17 @@ def prerequisite_chain(
     """Weak prerequisites of each wanted (learner_id, kp), nearest and weakest first.
 
     ``edges`` is (pre, kp).  Depth is unrolled: one equi-join per level from the points asked
-    for, so a point's ancestors are found once, not once per learner.
+    for, so a point's ancestors are found once, not once per learner.  The way up is carried along,
+    so each level is derived once.
     """
     points = wanted.select("kp").distinct()
-    frontier = points.select(F.col("kp").alias("root"), F.col("kp").alias("at"))
-    found = None
-    for depth in range(1, max_depth + 1):
-        frontier = (
-            frontier.join(edges.select("pre", F.col("kp").alias("at")), "at")
-            .select("root", F.col("pre").alias("at"))
-            .distinct()
-        )
-        step = frontier.withColumn("depth", F.lit(depth))
-        found = step if found is None else found.unionByName(step)
+    ways = points.select(F.col("kp").alias("root"), F.col("kp").alias("at"), F.array().cast("array<bigint>").alias("way"))
+    for _ in range(max_depth):
+        up = edges.select("pre", F.col("kp").alias("at"))
+        further = F.when(F.col("pre").isNull(), F.col("way")).otherwise(F.array_append("way", F.col("pre").cast("bigint")))
+        ways = ways.join(up, "at", "left").select("root", F.col("pre").alias("at"), further.alias("way"))
+    steps = ways.select("root", F.posexplode("way").alias("pos", "at"))
+    found = steps.select("root", F.col("at").cast(edges.schema["pre"].dataType).alias("at"), (F.col("pos") + 1).alias("depth"))
     nearest = found.filter("root <> at").groupBy("root", "at").agg(F.min("depth").cast("long").alias("depth"))
     chains = wanted.select("learner_id", F.col("kp").alias("root")).join(nearest, "root")
     known = levels.select("learner_id", F.col("kp").alias("at"), "level")

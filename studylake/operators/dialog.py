@@ -16,8 +16,8 @@ def role_heading(role: Column) -> Column:
     return F.when(role == "user", "User").when(role == "assistant", "Assistant").otherwise("System")
 
 
-def export_conversation(messages: DataFrame, title: str = "Chat Session", per_part: int = 500) -> DataFrame:
-    """Markdown of each conversation in parts of ``per_part`` turns; part 0 carries the heading."""
+def export_conversation(messages: DataFrame, title: str = "Chat Session", per_part: int | None = None) -> DataFrame:
+    """Markdown of each conversation, on demand in parts of ``per_part`` turns; part 0 carries the heading."""
     entry = F.concat(F.lit("## "), role_heading(F.col("role")), F.lit("\n\n"), strip(F.coalesce("text", F.lit(""))))
     parts = assemble(messages, "conv_id", "turn", F.rtrim(entry), SEPARATOR, per_part)
     head = F.when(F.col("part") == 0, f"# {title}\n\n").otherwise("")
@@ -44,7 +44,8 @@ def visible_path(messages: DataFrame, selected: DataFrame | None = None) -> Data
     Choosing a child needs only its siblings.  A message is shown when it and all its ancestors
     are chosen; that is followed by doubling: after round n every message knows its ancestor 2^n
     steps up, so the rounds grow with the log of the longest branch.  Each round is checkpointed
-    in the shared folder, which keeps the plan short and survives lost executors.
+    in the shared folder, which keeps the plan short and survives lost executors.  A round that
+    roots no further message is the last: what is left goes round a loop of parents and is not shown.
     """
     best = messages.groupBy("conv_id", "parent_id").agg(F.max("message_id").alias("newest"))
     if selected is not None:
@@ -58,7 +59,8 @@ def visible_path(messages: DataFrame, selected: DataFrame | None = None) -> Data
     links = chosen.select("conv_id", "message_id", F.col("parent_id").alias("up"), F.col("parent_id").isNull().alias("rooted"))
     checkpoint_dir(messages.sparkSession)
     links = links.checkpoint()
-    while not links.filter("NOT rooted AND up IS NOT NULL").isEmpty():
+    before, now = -1, links.filter("rooted").count()
+    while before < now and not links.filter("NOT rooted AND up IS NOT NULL").isEmpty():
         above = links.select(
             "conv_id", F.col("message_id").alias("up"), F.col("up").alias("up2"), F.col("rooted").alias("rooted2")
         )
@@ -66,6 +68,7 @@ def visible_path(messages: DataFrame, selected: DataFrame | None = None) -> Data
         links = links.join(above, ["conv_id", "up"], "left").select(
             "conv_id", "message_id", F.when(~rooted, F.col("up2")).alias("up"), rooted.alias("rooted")
         ).checkpoint()
+        before, now = now, links.filter("rooted").count()
     return chosen.join(links.filter("rooted").select("conv_id", "message_id"), ["conv_id", "message_id"], "left_semi")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.functions import rules as R
-from studylake.functions.grading import grade, match_answers, strip_options
+from studylake.functions.grading import grade, strip_options
 from studylake.functions.text import first_of, strip
 from studylake.operators.scan import Scan, by_heat
 
@@ -219,13 +219,14 @@ def regrade(evaluations: DataFrame, paper: DataFrame) -> DataFrame:
     keys = paper.select("paper_id", "index", F.col("answer_key").alias("_key"))
     rows = evaluations.join(keys, ["paper_id", "index"], "left")
     keyed = F.coalesce(F.col("_key"), F.lit("")) != ""
+    # Graded once: an answer matches exactly if its grade is 1.
+    rows = rows.withColumns({"keyed": keyed, "_grade": F.when(keyed, grade(F.col("student_answer"), F.col("_key")))})
     return rows.withColumns(
         {
-            "is_correct": F.when(keyed, match_answers(F.col("student_answer"), F.col("_key"))).otherwise(F.col("is_correct")),
-            "score": F.when(keyed, grade(F.col("student_answer"), F.col("_key"))).otherwise(F.col("score")),
-            "keyed": keyed,
+            "is_correct": F.when(F.col("keyed"), F.col("_grade") == 1.0).otherwise(F.col("is_correct")),
+            "score": F.when(F.col("keyed"), F.col("_grade")).otherwise(F.col("score")),
         }
-    ).drop("_key")
+    ).drop("_key", "_grade")
 
 
 def paper_kp_summary(results: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ def _counts() -> list[Column]:
     ]
 
 
-def mastery(answers: DataFrame) -> DataFrame:
-    """Per (learner, knowledge point): ternary counts and the level.  Partial sums map-side."""
-    return answers.groupBy("learner_id", "kp_id").agg(*_counts()).withColumn("level", level())
+def mastery(answers: DataFrame, *more: Column) -> DataFrame:
+    """Per (learner, knowledge point): ternary counts, ``more`` aggregates and the level.  Partial sums map-side."""
+    return answers.groupBy("learner_id", "kp_id").agg(*_counts(), *more).withColumn("level", level())
 
 
 def mastery_summary(levels: DataFrame) -> DataFrame:

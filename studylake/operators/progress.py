@@ -383,25 +383,39 @@ def week_over_week(answers: DataFrame, as_of: str, whole_week: bool = False) ->
     return week.join(day, "learner_id", "left").na.fill(0.0, ["day_accuracy"])
 
 
-def parent_report(answers: DataFrame, as_of: str, days: int = 7, history: int = 200, wrong: int = 5) -> DataFrame:
-    """Totals of the period, its weak points, the newest misses and the points ever touched."""
-    totals = M.period_stats(answers, as_of, days).select(
-        "learner_id", F.col("total").alias("total_questions"), F.col("correct").alias("correct_count"),
-        F.col("wrong").alias("wrong_count"), "accuracy",
+def period_points(answers: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Per (learner, point): counts and level of all answers, and counts of the period (``p_total``, ``p_correct``,
+    ``p_wrong``), in one scan of the answers."""
+    end = date.fromisoformat(as_of)
+    inside = F.col("day").between(F.lit(end - timedelta(days=days)), F.lit(end))
+    period = [
+        F.count_if(inside).alias("p_total"), F.count_if(inside & M.right()).alias("p_correct"), F.count_if(inside & M.wrong()).alias("p_wrong"),
+    ]
+    return M.mastery(answers, *period)
+
+
+def parent_report(answers: DataFrame, as_of: str, days: int = 7, wrong: int = 5, points: Column | None = None) -> DataFrame:
+    """Totals of the period, its weak points, its newest ``wrong`` misses and the points ever touched.
+
+    One scan of all answers and one of the period.  ``points`` is what the list of weak points shows of each.
+    """
+    shown = F.col("kp_id") if points is None else points
+    weak = F.array_sort(F.collect_list(F.when((F.col("p_wrong") > 0) & F.col("kp_id").isNotNull(), shown)))
+    totals = (
+        period_points(answers, as_of, days)
+        .groupBy("learner_id")
+        .agg(
+            F.sum("p_total").alias("total_questions"), F.sum("p_correct").alias("correct_count"), F.sum("p_wrong").alias("wrong_count"),
+            weak.alias("weak_points"), F.count("kp_id").alias("mastery_count"),
+        )
+        .filter("total_questions > 0")
+        .withColumn("accuracy", ratio2("correct_count", "total_questions"))
     )
-    weak = M.weak_union(answers, as_of, days)
-    recent = M.in_period(answer_history(answers, history), as_of, days).filter(~M.right())
-    recent = _newest(recent.drop("rn"), LEARNER, wrong)
+    recent = _newest(M.in_period(answers, as_of, days).filter(~M.right()), LEARNER, wrong)
     recent = recent.groupBy("learner_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "question"))), lambda s: s["question"]).alias("recent_wrong")
     )
-    touched = answers.groupBy("learner_id").agg(F.countDistinct("kp_id").alias("mastery_count"))
-    empty = F.array().cast("array<string>")
-    return (
-        totals.join(weak, "learner_id", "left")
-        .join(recent, "learner_id", "left")
-        .join(touched, "learner_id")
-        .withColumns(
-            {"weak_points": F.coalesce("weak_points", empty), "recent_wrong": F.coalesce("recent_wrong", empty)}
-        )
+    rows = totals.join(recent, "learner_id", "left").withColumn("recent_wrong", F.coalesce("recent_wrong", F.array().cast("array<string>")))
+    return rows.select(
+        "learner_id", "total_questions", "correct_count", "wrong_count", "accuracy", "weak_points", "recent_wrong", "mastery_count"
     )

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 # Queries sent to every task at once; more are joined block by block.
 MAX_QUERIES = 4096
-# Rows of one vector block when queries are too many to send.
-BLOCK_ROWS = 50_000
+# Rows of one vector block: with MAX_QUERIES queries, a matrix of 128 MB.
+BLOCK_ROWS = 4096
 # Digits that decide rank; equal distances are ordered by id.
 RANK_DIGITS = 9
 
@@ -69,6 +69,13 @@ def _apart(queries: pd.Series, vectors: pd.Series, dist: np.ndarray) -> np.ndarr
     return np.where(queries.to_numpy()[:, None] == vectors.to_numpy()[None, :], dist, np.inf)
 
 
+def _short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` in pieces of at most ``BLOCK_ROWS``."""
+    for pdf in frames:
+        for at in range(0, len(pdf), BLOCK_ROWS):
+            yield pdf.iloc[at : at + BLOCK_ROWS]
+
+
 _HIT = "query_id long, chunk_id long, distance double"
 
 
@@ -104,9 +111,7 @@ def vector_topk(
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
-        for pdf in frames:
-            if pdf.empty:
-                continue
+        for pdf in _short(frames):
             dist = _distances(matrix, _stack(pdf["embedding"]), metric)
             if within:
                 dist = _apart(sample[within], pdf[within], dist)
@@ -126,7 +131,7 @@ def blocked_topk(
     and each pair of blocks is one task."""
     n_q = max(1, -(-queries.count() // query_block))
     n_v = max(1, -(-vectors.count() // vector_block))
-    all_q, all_v = (F.array(*[F.lit(i) for i in range(n)]) for n in (n_q, n_v))
+    all_q, all_v = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (n_q, n_v))
     q = queries.select(
         "*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(all_v).alias("vb")
     )
@@ -146,24 +151,36 @@ def blocked_topk(
     return _rank(hits, k)
 
 
+def hyperplanes(dims: int, number: int, seed: int) -> np.ndarray:
+    """Random planes, one a column."""
+    return np.random.default_rng(seed).normal(size=(dims, number))
+
+
 def vector_topk_ann(
     queries: DataFrame, vectors: DataFrame, k: int = 5, bits: int = 4, tables: int = 8, seed: int = 7,
     max_queries: int = MAX_QUERIES,
 ) -> DataFrame:
     """Approximate nearest vectors: only vectors sharing a random-hyperplane signature with the
     query in one of ``tables`` tables are measured.  Planes come from the seed, so reruns agree.
-    More than ``max_queries`` queries take the exact blocked search.
+    Queries are sent to the tasks in blocks of about ``max_queries``, so an answer does not depend
+    on how many are asked together.
     """
     v = vectors.select(F.col("chunk_id").cast("long"), "embedding")
     asked = queries.select(F.col("query_id").cast("long"), "embedding")
-    q = asked.limit(max_queries + 1).toPandas()
-    if len(q) > max_queries:
-        return blocked_topk(asked, v, k, "l2sq", max_queries)
-    if q.empty:
-        return v.sparkSession.createDataFrame([], _HIT + ", rank long")
+    blocks = 1 + asked.count() // max_queries
+    hits = None
+    for block in range(blocks):
+        q = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        if len(q):
+            found = _ann_block(q, v, k, bits, tables, seed)
+            hits = found if hits is None else hits.unionByName(found)
+    return v.sparkSession.createDataFrame([], _HIT + ", rank long") if hits is None else _rank(hits, k)
+
+
+def _ann_block(q: pd.DataFrame, v: DataFrame, k: int, bits: int, tables: int, seed: int) -> DataFrame:
     q = q.sort_values("query_id")
     ids, matrix = q["query_id"].to_numpy(), _stack(q["embedding"])
-    planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], tables * bits))
+    planes = hyperplanes(matrix.shape[1], tables * bits, seed)
     weights = 1 << np.arange(bits)
 
     def signature(x: np.ndarray) -> np.ndarray:
@@ -173,9 +190,7 @@ def vector_topk_ann(
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
-        for pdf in frames:
-            if pdf.empty:
-                continue
+        for pdf in _short(frames):
             vecs, cids = _stack(pdf["embedding"]), pdf["chunk_id"].to_numpy()
             have = signature(vecs)
             for i, query in enumerate(ids):
@@ -187,7 +202,7 @@ def vector_topk_ann(
                 kept = [_merge(kept, k)]
         yield from kept
 
-    return _rank(v.mapInPandas(scan, _HIT), k)
+    return v.mapInPandas(scan, _HIT)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ the two kinds apart:
   ``prev_max`` is ``max`` over the rows before the current one (the previous value of anything
   that only grows).
 
-Hot keys are found by one aggregation over the key column alone.  The largest ``MAX_HOT_KEYS`` of
-them are treated as hot, which bounds what is collected and broadcast whatever the data; a key
-left out then holds at most ``rows / MAX_HOT_KEYS`` rows.  Where there is no hot key, the plan is
-just the window plan.
+Hot keys are found by one aggregation over the key column alone; they stay a DataFrame, sent to the
+tasks up to ``BROADCAST_KEYS`` of them and joined by shuffle beyond.  Where there is no hot key, the
+plan is just the window plan.  All joins are null-safe: a null key is a key like any other, and a row
+without a time belongs to the first slice of its key, as nulls sort first.
 """
 
 from __future__ import annotations
@@ -26,10 +26,19 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SLICE_SECONDS = 3600
-MAX_HOT_KEYS = 50_000
+BROADCAST_KEYS = 50_000
 
 Agg = tuple[str, Column]
 
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` in which null keys match each other; the keys are the left ones."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
 _FUNCS = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "prev_max": F.max}
 _UP_TO = {"prev_max": -1}
 
@@ -72,7 +81,7 @@ class SlicedScan:
             *at, *[merge[f](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (f, _) in aggs.items()]
         )
         rows = df.select("*", *_over(Window.partitionBy(*at).orderBy(*self.order), aggs, "_l_"))
-        out = rows.join(before, at)
+        out = null_safe(rows, before, at)
         for name, (func, _) in aggs.items():
             here, base = F.col(f"_l_{name}"), F.col(f"_b_{name}")
             if func in ("count", "sum"):
@@ -97,11 +106,13 @@ def clock_slice(at_s: str, seconds: int = SLICE_SECONDS) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """The largest keys of more than ``hot_rows`` rows, or None where there are none."""
-    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    counted = counted.orderBy(F.desc("count"), *keys).limit(MAX_HOT_KEYS).select(*keys)
-    rows = counted.collect()
-    return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
+    """The keys of more than ``hot_rows`` rows, or None where there are none."""
+    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys).persist()
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        hot.unpersist()
+        return None
+    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
 
 
 def by_heat(
@@ -120,7 +131,6 @@ def by_heat(
     hot = hot_keys(df, keys, HOT_ROWS if hot_rows is None else hot_rows)
     if hot is None:
         return body(df, PlainScan(order))
-    hot = F.broadcast(hot)
-    cold = body(df.join(hot, list(keys), "left_anti"), PlainScan(order))
-    warm = body(df.join(hot, list(keys), "left_semi"), SlicedScan(order, slice_))
+    cold = body(null_safe(df, hot, keys, "left_anti"), PlainScan(order))
+    warm = body(null_safe(df, hot, keys, "left_semi"), SlicedScan(order, slice_))
     return cold.unionByName(warm)

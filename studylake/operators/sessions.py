@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylake.functions.text import strip
+
 # Guards of session creation and the life of a session, in seconds.
 COOLDOWN_S = 30
 MAX_PENDING = 5
@@ -45,6 +47,11 @@ class GuardState:
         return True
 
 
+def guard_title(title: Column) -> Column:
+    """Title as the guards compare it: lower case, without blanks of any script around it."""
+    return F.lower(strip(F.coalesce(title, F.lit(""))))
+
+
 def thin_attempts(attempts: DataFrame, max_pending: int = MAX_PENDING) -> DataFrame:
     """Drop attempts that cannot succeed whatever came before.
 
@@ -54,7 +61,7 @@ def thin_attempts(attempts: DataFrame, max_pending: int = MAX_PENDING) -> DataFr
     """
     norm = attempts.select(
         "attempt_id", "learner_id", F.col("at_s").cast("long").alias("at_s"),
-        F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("title"), "source",
+        guard_title(F.col("title")).alias("title"), "source",
     )
     first = norm.groupBy("learner_id", "at_s", "title", "source").agg(F.min("attempt_id").alias("attempt_id"))
     # Untitled attempts are never blocked by title, so the first of them stands for all.

@@ -14,6 +14,8 @@ from which it may accept again, and that moment lies within ``gap`` of the slice
    last accepted row), by pointer doubling over sorted times;
 2. per key the tables are chained in slice order, carrying one number;
 3. every slice marks its accepted rows from its now known entry moment.
+
+A null key is a key like any other, in both forms; an event without a time is never accepted.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studylake.operators.scan import null_safe
+
 _NEVER = -(2**62)
 
 
@@ -60,6 +65,7 @@ def throttle(
     ``at`` is an integer clock.  ``strict`` asks for more than ``gap``.  ``sliced`` is for hot keys.
     """
     keys = list(keys)
+    events = events.filter(F.col(at).isNotNull())
     first = events.groupBy(*keys, F.col(at).cast("long").alias("_at")).agg(F.min(event_id).alias("_id"))
     if sliced:
         picked = _in_slices(first, keys, gap, max(slice_width or 16 * gap, gap), strict)
@@ -71,41 +77,40 @@ def throttle(
 def _streamed(first: DataFrame, keys: list[str], gap: int, strict: bool) -> DataFrame:
     step = gap + (1 if strict else 0)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, free_from = None, _NEVER
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            times = pdf["_at"].to_numpy()
-            fresh = np.zeros(len(pdf), dtype=bool)
-            for name in keys:
-                values = pdf[name].to_numpy()
-                fresh[1:] |= values[1:] != values[:-1]
+            times = batch.column("_at").to_numpy()
+            names = batch.column("_key").to_numpy(zero_copy_only=False)
+            fresh = np.append(False, names[1:] != names[:-1])
             run = np.cumsum(fresh)
             span = int(times.max() - times.min()) + step + 1
             place = run * span + (times - times.min())
             nxt = np.searchsorted(place, place + step)
             # A search may not leave the run: cap at the start of the next one.
-            starts = np.append(np.flatnonzero(fresh), len(pdf))
+            starts = np.append(np.flatnonzero(fresh), len(times))
             nxt = np.minimum(nxt, starts[run])
             row = 0
-            if tuple(pdf[keys].iloc[0]) == open_key:
+            if names[0] == open_key:
                 row = min(int(np.searchsorted(times[: starts[0]], free_from)), int(starts[0]))
             picked = []
             while row < len(times):
                 picked.append(row)
                 row = int(nxt[row])
-            key = tuple(pdf[keys].iloc[-1])
             last = [i for i in picked[-1:] if run[i] == run[-1]]
             if last:
                 free_from = int(times[last[0]]) + step
-            elif key != open_key:
+            elif names[-1] != open_key:
                 free_from = _NEVER
-            open_key = key
-            yield pdf.iloc[picked]
+            open_key = names[-1]
+            yield batch.take(pa.array(picked, pa.int64()))
 
-    sorted_rows = first.repartition(*keys).sortWithinPartitions(*keys, "_at")
-    return sorted_rows.mapInPandas(fold, first.schema)
+    # Keys are compared by their text in Spark and travel as Arrow values, so nulls and large numbers stay exact.
+    named = first.withColumn("_key", F.to_json(F.struct(*keys)))
+    sorted_rows = named.repartition("_key").sortWithinPartitions("_key", "_at")
+    return sorted_rows.mapInArrow(fold, named.schema).drop("_key")
 
 
 def _in_slices(first: DataFrame, keys: list[str], gap: int, width: int, strict: bool) -> DataFrame:
@@ -170,7 +175,7 @@ def _in_slices(first: DataFrame, keys: list[str], gap: int, width: int, strict:
         return pdf.iloc[picked][[*keys, "_at", "_id"]]
 
     return (
-        first.join(opens, group)
+        null_safe(first, opens, group)
         .groupBy(*group)
         .applyInPandas(mark, T.StructType([*key_fields, T.StructField("_at", long), T.StructField("_id", id_type)]))
     )

@@ -13,7 +13,9 @@ from studylake.operators import retrieval as V
 def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH, require_cjk: bool = True) -> DataFrame:
     """Chunks of admitted documents, ready for ``upsert_chunks``.
 
-    ``docs`` is (doc_id, filename, size, kb_name, text).  Admission, cleaning, classification and
+    ``docs`` is (doc_id, filename, size, kb_name, text), with ``summary`` where a teaching summary may be
+    indexed in place of the text, and ``learner_id``, ``source`` and ``trace_id`` where chunks are to carry
+    them.  Admission, cleaning, classification and
     chunking are narrow.  Dedup moves hashes and ids; what then meets the texts is the list of
     redundant copies, which Spark sends to the texts while it is small and joins by id otherwise.
     """
@@ -23,13 +25,13 @@ def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH,
     admitted, _ = K.require_kb(admitted, registered)
     # Cleaned and judged in one generator, so a text is cleaned once and not again for the filter.
     usable = F.filter(F.array(T.strip_ole(F.col("text"))), lambda t: ~T.is_garbled(t, require_cjk))
-    clean = admitted.select("doc_id", "filename", "kb_name", F.explode(usable).alias("text"))
-    clean = clean.join(K.redundant_copies(clean), "doc_id", "left_anti")
+    extra = [c for c in ("learner_id", "source", "trace_id", "summary") if c in admitted.columns]
+    clean = admitted.select("doc_id", "filename", "kb_name", *extra, F.explode(usable).alias("text"))
+    clean = clean.join(K.redundant_copies(clean, ["kb_name"]), "doc_id", "left_anti")
     subject = T.detect_subject(F.col("text"), F.col("filename"))
-    described = clean.select(
-        "doc_id", "filename", "kb_name", "text", subject.alias("subject"), T.infer_grade(F.col("text")).alias("grade"),
-        F.lit("raw_ocr").alias("type"),
-    )
+    clean = clean.withColumn("subject", subject)
+    summary = F.col("summary") if "summary" in extra else F.lit(None).cast("string")
+    described = clean.withColumns(K.ingest_metadata(F.col("text"), summary, F.col("subject"))).drop("summary")
     return K.chunk_rows(described, separator=separator)
 
 

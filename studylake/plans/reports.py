@@ -28,17 +28,8 @@ def report_rows(answers: DataFrame, as_of: str, days: int) -> DataFrame:
         .groupBy("learner_id")
         .agg(F.array_sort(F.collect_list(F.struct("day", "t", "c"))).alias("per_day"))
     )
-    weak = period.filter(M.wrong()).select("learner_id", "kp_id").distinct()
-    weak = weak.join(M.mastery(answers).select("learner_id", "kp_id", "level", "total"), ["learner_id", "kp_id"])
-    weak = weak.groupBy("learner_id").agg(F.array_sort(F.collect_list(F.struct("kp_id", "level", "total"))).alias("weak"))
-    base = parent_report(answers, as_of, days).drop("weak_points")
-    empty = F.array().cast("array<struct<kp_id:string,level:double,total:bigint>>")
-    return (
-        base.join(per_day, "learner_id")
-        .join(weak, "learner_id", "left")
-        .withColumn("weak", F.coalesce("weak", empty))
-        .withColumn("percent", F.round(F.col("accuracy") * 100).cast("int"))
-    )
+    base = parent_report(answers, as_of, days, points=F.struct("kp_id", "level", "total")).withColumnRenamed("weak_points", "weak")
+    return base.join(per_day, "learner_id").withColumn("percent", F.round(F.col("accuracy") * 100).cast("int"))
 
 
 def _day_percent(d: Column) -> Column:

@@ -23,7 +23,7 @@ def notifications(reports: DataFrame, target: str = "parent") -> DataFrame:
     """Notification rows (learner_id, report_type, period, content) with a repeatable id."""
     key = F.concat_ws("/", F.col("learner_id").cast("string"), "report_type", F.col("period").cast("string"), F.lit(target))
     return reports.select(
-        F.substring(F.sha2(key, 256), 1, 16).alias("notification_id"), F.lit("report_push").alias("type"),
+        F.sha2(key, 256).alias("notification_id"), F.lit("report_push").alias("type"),
         "learner_id", "report_type", "period", "content", F.lit(target).alias("target"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from studylake.operators.sessions import GuardState
+from studylake.operators.sessions import GuardState, guard_title
 from studylake.streaming.runs import use_rocksdb
 
 
@@ -182,7 +182,7 @@ class GuardProcessor(StatefulProcessor):
         if self.state.exists():
             doc = json.loads(self.state.get()[0])
             guards.last, guards.live = doc["last"], [tuple(s) for s in doc["live"]]
-        offers = zip(pdf["at_s"].tolist(), pdf["title"].str.strip().str.lower().tolist(), pdf["source"].tolist())
+        offers = zip(pdf["at_s"].tolist(), pdf["guard_title"].tolist(), pdf["source"].tolist())
         taken = [i for i, (at, title, source) in enumerate(offers) if guards.offer(int(at), title, source)]
         self.state.update((json.dumps({"last": guards.last, "live": guards.live}),))
         yield pdf.iloc[taken]
@@ -193,8 +193,8 @@ class GuardProcessor(StatefulProcessor):
 
 def stream_guarded_sessions(attempts: DataFrame, ttl_s: int) -> DataFrame:
     use_rocksdb(attempts.sparkSession)
-    rows = attempts.select("learner_id", "attempt_id", "at_s", "title", "source")
-    return rows.groupBy("learner_id").transformWithStateInPandas(GuardProcessor(ttl_s), rows.schema, "Append", "None")
+    rows = attempts.select("learner_id", "attempt_id", "at_s", "title", "source", guard_title(F.col("title")).alias("guard_title"))
+    return rows.groupBy("learner_id").transformWithStateInPandas(GuardProcessor(ttl_s), rows.schema, "Append", "None").drop("guard_title")
 
 
 class DeadlineProcessor(StatefulProcessor):

@@ -134,6 +134,8 @@ def test_upsert_is_idempotent(spark, tmp_path):
     sinks.upsert_chunks(chunks, path)
     stored = spark.read.parquet(path)
     assert stored.count() == first == stored.select("chunk_id").distinct().count()
+    texts = {kb: {r.text for r in stored.filter(F.col("kb_name") == kb).collect()} for kb in ("kb0", "kb1")}
+    assert texts["kb0"] == texts["kb1"] != set()
 
 
 def test_notifications_are_written_once(spark, tmp_path):

@@ -23,6 +23,16 @@ def answers(spark, sf):
     return a.withColumn("learner_id", F.when(F.col("answer_id") % 3 == 0, 7).otherwise(F.col("learner_id"))).cache()
 
 
+@pytest.fixture(scope="module")
+def gaps(answers):
+    """The same with nulls in every key and in the time, and a crowded null learner."""
+    i = F.col("answer_id")
+    return answers.withColumns({
+        "learner_id": F.when(i % 7 == 2, None).otherwise(F.col("learner_id")), "kp_id": F.when(i % 4 == 1, None).otherwise(F.col("kp_id")),
+        "question": F.when(i % 5 == 3, None).otherwise(F.col("question")), "ts": F.when(i % 97 == 5, None).otherwise(F.col("ts")),
+    }).cache()
+
+
 HOT = 40  # the crowded learner, and some others, count as hot
 
 
@@ -38,6 +48,23 @@ def test_sliced_equals_plain(answers, operator):
     assert rows(sliced)
 
 
+@pytest.mark.parametrize("operator", [P.running_levels, P.answer_runs, P.adaptive_action, P.hint_level, P.achievements, P.review_history, P.fatigue_flag])
+def test_nulls_do_not_depend_on_size(gaps, operator):
+    assert gaps.filter("learner_id IS NULL").count() > HOT
+    plain, sliced = operator(gaps, hot_rows=10**9), operator(gaps, hot_rows=HOT)
+    assert rows(sliced) == rows(plain) and rows(sliced)
+
+
+def test_throttle_takes_null_as_a_key(spark):
+    big = 2**60
+    events = [(k, 5 * i, 10 * i + n) for i in range(60) for n, k in enumerate((None, big, big + 1))] + [(None, None, 999)]
+    df = spark.createDataFrame(events, "k long, at long, id long")
+    want = greedy([(-1 if k is None else k, at, i) for k, at, i in events if at is not None], 17, False)
+    for kwargs in ({}, {"sliced": True}, {"sliced": True, "slice_width": 17}):
+        got = sorted((-1 if r.k is None else r.k, r["at"], r.id) for r in throttle(df, ["k"], "at", "id", 17, **kwargs).collect())
+        assert got == want, kwargs
+
+
 def test_consecutive_practice(answers):
     plain, sliced = (P.practice_trigger(answers, consecutive=True, hot_rows=h) for h in (10**9, HOT))
     assert rows(plain) == rows(sliced)
@@ -153,3 +180,4 @@ def test_ann_is_a_subset_with_good_recall(spark, sf):
     q, v = V.profile_vectors(e), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
     got = V.recall(V.vector_topk_ann(q, v, 10), V.vector_topk(q, v, 10)).agg(F.sum("k"), F.sum("found")).first()
     assert got[1] / got[0] > 0.5
+    assert rows(V.vector_topk_ann(q, v, 10, max_queries=3)) == rows(V.vector_topk_ann(q, v, 10))

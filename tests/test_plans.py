@@ -12,7 +12,7 @@ from tests.conftest import SF
 
 QUERIES = entry.queries()
 # Queries that run jobs while they are built (streams, checkpoints) are checked through their operators.
-EAGER = {n for n in QUERIES if re.match(r"s\d\d_stream|s05", n)}
+EAGER = {n for n in QUERIES if re.match(r"s\d\d_stream|s05|op\d|pipeline", n)}
 
 
 def plan(df):
@@ -44,3 +44,9 @@ def test_counts_are_combined_before_the_shuffle(spark, sf):
 def test_last_n_is_cut_before_the_shuffle(spark, sf):
     physical = plan(QUERIES["w07_wrong_book"](spark, sf)).split("== Physical Plan ==")[1]
     assert "WindowGroupLimit" in physical
+
+
+@pytest.mark.parametrize("name, most", [("g07_parent_report", 2), ("h24_report_text_weekly", 3), ("c10_prerequisite_chain", 8)])
+def test_scans_of_the_facts(spark, sf, name, most):
+    physical = plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[1]
+    assert len(re.findall(r"FileScan parquet", physical)) <= most
