@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,14 +18,6 @@ from studylake.session import checkpoint_dir
 ROWS = 256
 
 
-def by_value(name: str) -> None:
-    """Send the functions of module ``name`` to the executors by value: they need no copy of this package."""
-    cloudpickle.register_pickle_by_value(sys.modules[name])
-
-
-by_value(__name__)
-
-
 def settings(spark: SparkSession) -> None:
     """Keep Arrow batches small, as texts may be long."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -78,7 +68,7 @@ def append(
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): rows (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps until nothing changes; each step is aggregated before
+    Alternates large-star and small-star steps until every part is a star; each step is aggregated before
     its shuffle and written to the shared folder, so a node may touch any share of the edges.
     Nodes without an edge are not listed.
     """
@@ -86,28 +76,23 @@ def components(edges: DataFrame) -> DataFrame:
     def smallest(e: DataFrame, node: str, other: str) -> DataFrame:
         return written(e.groupBy(F.col(node).alias("node")).agg(F.min(other).alias("low")))
 
-    def mark(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
+    def unfinished(e: DataFrame) -> bool:
+        """Whether some node is not yet either a smallest one or linked with one smallest node only."""
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("low")), F.struct(F.col("b").alias("node"), F.lit(0).alias("low"))))
+        roles = e.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("low").alias("up"), F.min("low").alias("is_low"))
+        return not roles.where("up > 1 OR (up = 1 AND is_low = 0)").isEmpty()
 
-    pair = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = written(edges.where("a <> b").select(*pair).distinct())
-    before = mark(edges)
-    while before[0]:
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while unfinished(edges):
         both = edges.union(edges.select("b", "a"))
         low = smallest(both, "a", "b")
         large = both.where("b > a").join(low, both.a == low.node).select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
         large = written(large.where("a <> b").distinct())
         low = smallest(large, "a", "b")
         small = large.join(low, large.a == low.node)
-        edges = written(
-            small.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("low").alias("y")), F.struct(F.col("b").alias("x"), F.col("low").alias("y")))).alias("e"))
-            .select(F.greatest("e.x", "e.y").alias("a"), F.least("e.x", "e.y").alias("b")).where("a <> b").distinct()
-        )
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+        pairs = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("low").alias("y")), F.struct(F.col("b").alias("x"), F.col("low").alias("y"))))
+        small = small.select(pairs.alias("e")).where("e.x <> e.y").select(F.greatest("e.x", "e.y").alias("a"), F.least("e.x", "e.y").alias("b"))
+        edges = written(small.distinct())
     star = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return star.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -140,7 +125,9 @@ def by_group(df: DataFrame, keys: list[str], new: str, work: Callable[[pa.Table,
         if rest and (table := pa.Table.from_batches(rest).combine_chunks()).num_rows:
             yield from work(table, starts_of(table))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, new)
+    # As many tasks as a shuffle has, however few bytes they read: the work is in the comparisons.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, new)
 
 
 def paired_blocks(members: DataFrame, key: list[str], member: str, size: str, block: int) -> DataFrame:

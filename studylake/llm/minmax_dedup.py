@@ -7,9 +7,9 @@ of Jaccard similarity 0.85 share none of the 24 bands with probability 2e-8.
 
 1. Documents with equal sets form a class, named by its smallest id. Only classes go on.
 2. Members of a band's bucket are paired with the bucket's smallest member and compared on full sets.
-3. Where a bucket still holds several components, its members' signatures are compared block by block;
-   pairs of different components that may reach the threshold are compared on full sets: first
-   the best pair of each two components, then, with the components merged, every pair left.
+3. Where a bucket still holds several components, its members are compared block by block: every pair of
+   different components, in the first band it shares, by signature and, if that may reach the threshold, on full
+   sets. Only links that join components leave the task.
 Inside a component nothing is left to find, so no group is expanded into pairs.
 
 Null, empty and blank texts have no shingles (n_shingles 0) and are linked with nothing. A null id is never
@@ -20,15 +20,12 @@ is. An empty table gives an empty result. Columns other than id and text are not
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import append, by_value, components, written
-
-by_value(__name__)
+from studylake.llm.common import append, by_group, components, paired_blocks, written
 
 WIDTH = 5
 PERMUTATIONS = 48
@@ -37,7 +34,9 @@ ROWS_A_BAND = 4
 BLOCK = 512
 #: Pairs whose signatures agree on less than this share of values are not compared on full sets: six
 #: standard deviations below 0.85.
-LEAST_ESTIMATE = 0.6
+LEAST_ESTIMATE = 0.63
+#: Bits of a band key below its band's number.
+KEY_BITS = 58
 _RANDOM = np.random.Generator(np.random.PCG64(20240))
 _ODD = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RANDOM.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,8 +75,9 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def bands(sign: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band; keys of different bands differ by their multipliers."""
-    return _finish((sign.reshape(_BAND.shape) * _BAND).sum(axis=1, dtype=np.uint64)).view(np.int64)
+    """One key a band: the band's number, then a hash of its values."""
+    h = _finish((sign.reshape(_BAND.shape) * _BAND).sum(axis=1, dtype=np.uint64)) >> np.uint64(64 - KEY_BITS)
+    return h.view(np.int64) + (np.arange(len(h), dtype=np.int64) << KEY_BITS)
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -119,43 +119,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return written(both.where(100 * F.col("common") >= per_cent * (F.col("total") - F.col("common"))).select("a", "b").distinct())
 
 
-def _close(best: bool):
-    """Of a block pair's members, the pairs of different components whose signatures are close enough; ``best``:
-    only the closest of each two components."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows.block == key[1]]
-        other = rows[rows.block == key[2]]
-        x, y = (np.frombuffer(b"".join(r.sketch), "<u4").reshape(len(r), -1) for r in (own, other))
-        same = np.zeros((len(x), len(y)), np.uint8)
-        for k in range(x.shape[1] if len(x) and len(y) else 0):
-            same += x[:, k, None] == y[None, :, k]
-        i, j = np.nonzero((same >= LEAST_ESTIMATE * 2 * PERMUTATIONS) & (own.component.values[:, None] != other.component.values[None, :]))
-        a, b = own.rep.values[i], other.rep.values[j]
-        ca, cb = own.component.values[i], other.component.values[j]
-        found = pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "same": same[i, j], "c": np.maximum(ca, cb), "d": np.minimum(ca, cb)})
-        if best:
-            found = found.sort_values(["same", "a", "b"], ascending=[False, True, True]).drop_duplicates(["c", "d"])
-        return found[["a", "b"]].drop_duplicates()
-
-    return run
-
-
-def _left_over(members: DataFrame, reps: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) still to be compared in buckets of several components."""
+def _joining(groups: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) between different components of a block pair's members, enough to join them."""
+
+    def work(table: pa.Table, starts: np.ndarray):
+        column = {c: table.column(c).combine_chunks() for c in table.column_names}
+        own, i_of, j_of, rep, component, keys = (column[c].to_numpy() for c in ("own", "i", "j", "rep", "component", "key"))
+        sketch = np.frombuffer(b"".join(column["sketch"].to_pylist()), "<u4").reshape(table.num_rows, -1)
+        band = column["bands"].flatten().to_numpy().reshape(table.num_rows, -1)
+        values, offsets = column["shingles"].flatten().to_numpy().view(np.uint64), column["shingles"].offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        sizes = np.diff(offsets)
+        least = LEAST_ESTIMATE * sketch.shape[1]
+        found: list[tuple[int, int]] = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+            label = component[start:end].copy()
+            if end - start < 2 or (label == label[0]).all():
+                continue
+            same_block = i_of[start] == j_of[start]
+            right = np.arange(end - start) if same_block else np.flatnonzero(own[start:end] == j_of[start])
+            earlier = int(keys[start] >> KEY_BITS)
+            for x in range(end - start) if same_block else np.flatnonzero(own[start:end] == i_of[start]).tolist():
+                other = right[(label[right] != label[x]) & ((right > x) | (not same_block))]
+                if not len(other):
+                    continue
+                other = other[(sketch[start + other] == sketch[start + x]).sum(axis=1) >= least]
+                other = other[~(band[start + other, :earlier] == band[start + x, :earlier]).any(axis=1)]
+                small, large = np.minimum(sizes[start + other], sizes[start + x]), np.maximum(sizes[start + other], sizes[start + x])
+                other = other[100 * small >= per_cent * large]
+                if not len(other):
+                    continue
+                mine = values[offsets[start + x] : offsets[start + x + 1]]
+                theirs = np.concatenate([values[offsets[start + y] : offsets[start + y + 1]] for y in other.tolist()])
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                n = sizes[start + other]
+                common = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
+                linked = other[100 * common >= per_cent * (n + len(mine) - common)]
+                parts, first = np.unique(label[linked], return_index=True)
+                found += [(int(rep[start + x]), int(rep[start + y])) for y in linked[first].tolist()]
+                label[np.isin(label, parts)] = label[x]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return by_group(groups, ["key", "i", "j"], "a long, b long", work)
+
+
+def _left_over(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that join components in buckets that hold several."""
     named = members.join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
         F.expr("bit_xor(xxhash64(rep))").alias("f"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(38,0)")).alias("g"),
     ).where("lo <> hi")
-    # Buckets of the same members, from several bands, are one.
+    # Buckets of the same members are one, that of the first band.
     mixed = written(mixed.groupBy("n", "f", "g").agg(F.min("key").alias("key")).select("key", "n"))
-    inside = named.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    inside = inside.join(reps.select("rep", "sketch"), "rep")
-    dealt = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "component", "sketch")
-    return groups.groupBy("key", "i", "j").applyInPandas(_close(best), "a long, b long").distinct()
+    inside = written(named.join(mixed, "key"))
+    inside = inside.join(reps, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return written(_joining(paired_blocks(inside, ["key"], "rep", "n", BLOCK), per_cent).distinct())
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per_cent: int = 85) -> DataFrame:
@@ -175,12 +194,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     nodes = written(members.select(F.col("rep").alias("id")).distinct())
     sets = written(_sets(docs.join(nodes, "id", "left_semi"), "_text").distinct())
     links = _verified(members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), sets, per_cent)
-    for best in (True, False):
-        labels = written(components(links))
-        more = _verified(_left_over(members, reps, labels, best), sets, per_cent)
-        links = links.union(more)
+    links = links.union(_left_over(members, reps, sets, written(components(links)), per_cent))
     labels = components(links)
     named = classes.join(labels, classes.rep == labels.node, "left").where("copies > 1 OR component IS NOT NULL")
     named = written(named.select("digest", F.coalesce("component", "rep").alias("component_id")))
-    out = rows.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
