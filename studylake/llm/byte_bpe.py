@@ -18,9 +18,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from studylake.llm.common import append, by_value
-
-by_value(__name__)
+from studylake.llm.common import append
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 1 << 16

@@ -19,9 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import append, by_value, written
-
-by_value(__name__)
+from studylake.llm.common import append, written
 
 WINDOW = 10
 #: Bytes of item texts that are sent to the tasks at once. A larger benchmark is taken in blocks.

@@ -17,9 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import append, by_value
-
-by_value(__name__)
+from studylake.llm.common import append
 
 UND = "und"
 ORDERS = (3, 4)

@@ -24,9 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import append, by_value
-
-by_value(__name__)
+from studylake.llm.common import append
 
 #: Labelled documents, about, that the lexicon and the weights are fitted on, chosen by a hash of their id. Copies of
 #: one text count once.
@@ -234,10 +232,10 @@ def _fit(sample: DataFrame) -> Lexicon:
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from 0.5 on)."""
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)
+    shared = df.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.model, lexicon.bias))
 
     def make():
-        known = shared.value
+        known = Lexicon(*shared.value)
         table, automaton = fold_table(), known.automaton()
 
         def one(value: str | None) -> float:

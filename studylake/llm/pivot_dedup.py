@@ -24,9 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import append, by_group, by_value, components, paired_blocks, written
-
-by_value(__name__)
+from studylake.llm.common import append, by_group, components, paired_blocks, written
 
 PIVOTS, NEAREST, SHARED = 1024, 9, 3
 SAMPLE = 8192
@@ -125,9 +123,10 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
     def pairs(near: np.ndarray, other: np.ndarray, listed: np.ndarray) -> np.ndarray:
         """Whether the shared pivots up to the list's last are the list's own: else another list has the pair."""
         both = np.zeros(np.broadcast_shapes(near.shape[:-1], other.shape[:-1]), np.int16)
+        near = np.where(near <= listed, near, -1)
         for p in range(near.shape[-1]):
             for q in range(other.shape[-1]):
-                both += (near[..., p] == other[..., q]) & (near[..., p] <= listed)
+                both += near[..., p] == other[..., q]
         return both
 
     def work(table: pa.Table, starts: np.ndarray):
@@ -138,8 +137,23 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
         digests, raws = column["digest"].to_pylist(), column["raw"].to_pylist()
         nears = column["near"].to_pylist()
         out: dict[str, list] = {"digest": [], "linked": [], "a": [], "b": []}
+        # Lists of two, by far the most, all at once; a dimension has one number of pivots.
+        first = starts[(ends - starts == 2) & (i[starts] == j[starts])]
+        for dims in np.unique(size[first]).tolist():
+            one = first[size[first] == dims]
+            x, y = (_unit(np.frombuffer(b"".join([raws[k] for k in at.tolist()]), "<f8").reshape(len(at), -1)) for at in (one, one + 1))
+            link = (x * y).sum(axis=1) >= least
+            one = one[link]
+            p, q = (np.array([nears[k] for k in at.tolist()], np.int32).reshape(len(at), -1) for at in (one, one + 1))
+            if p.shape[1]:
+                one = one[pairs(p, q, (lists[one] % PIVOTS)[:, None]) == min(SHARED, p.shape[1])]
+            for k in one.tolist():
+                out["digest"] += [digests[k], digests[k + 1], None]
+                out["linked"] += [int(copies[k + 1]), int(copies[k]), None]
+                out["a"] += [None, None, int(rep[k])]
+                out["b"] += [None, None, int(rep[k + 1])]
         for start, end in zip(starts.tolist(), ends.tolist()):
-            if end - start < 2:
+            if end - start < 2 or end - start == 2 and i[start] == j[start]:
                 continue
             x = _unit(np.frombuffer(b"".join(raws[start:end]), "<f8").reshape(end - start, -1))
             near = np.array([sorted(n) for n in nears[start:end]], np.int32).reshape(end - start, -1)

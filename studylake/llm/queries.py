@@ -174,14 +174,19 @@ SHARD_SQL = f"""
 WITH ids AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
 old AS ({_descend_sql(shard_tree.tree_of(SHARDS))}),
 new AS ({_descend_sql(shard_tree.tree_of(SHARDS + 1))}),
-docs AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, coalesce(strlen(text), 0) + 1 AS size, encode(coalesce(text, '')) AS raw FROM documents)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, old.shard AS shard,
-  row_number() OVER (PARTITION BY old.shard ORDER BY CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % {shard_tree.BUCKETS}, doc_id) - 1 AS slot,
+raw AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+docs AS (
+  SELECT doc_id, id, len(bytes) + 1 AS size, CAST(xor(list_reduce(bytes,
+    lambda c, x: list_reduce([xor(c, x), 1, 1, 1, 1, 1, 1, 1, 1], lambda a, k: xor(a >> 1, 3988292384 * (a & 1))), 4294967295), 4294967295) AS BIGINT) AS text_crc32 FROM raw)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, old.shard AS shard,
+  row_number() OVER (PARTITION BY old.shard ORDER BY CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % {shard_tree.BUCKETS}, doc_id, text_crc32, size) - 1 AS slot,
   new.shard AS grown_shard
 FROM docs JOIN old USING (id) JOIN new USING (id)"""
 
 
-@query("op6_hash_tree_shards")
+@query("op6_hash_tree_shards", SHARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = load(spark, sf_dir, "documents").select(

@@ -21,9 +21,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from studylake.llm.common import append, by_value
-
-by_value(__name__)
+from studylake.llm.common import append
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
