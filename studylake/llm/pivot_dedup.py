@@ -144,6 +144,8 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
             x, y = (_unit(np.frombuffer(b"".join([raws[k] for k in at.tolist()]), "<f8").reshape(len(at), -1)) for at in (one, one + 1))
             link = (x * y).sum(axis=1) >= least
             one = one[link]
+            if not len(one):
+                continue
             p, q = (np.array([nears[k] for k in at.tolist()], np.int32).reshape(len(at), -1) for at in (one, one + 1))
             if p.shape[1]:
                 one = one[pairs(p, q, (lists[one] % PIVOTS)[:, None]) == min(SHARED, p.shape[1])]
