@@ -116,7 +116,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     x, y = (sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
     both = pairs.join(x, "a").join(y, "b").where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * per_cent)
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return written(both.where(100 * F.col("common") >= per_cent * (F.col("total") - F.col("common"))).select("a", "b").distinct())
+    # No aggregation here: it would tie the rows of a hot leader together, and Spark could not split them.
+    return written(both.where(100 * F.col("common") >= per_cent * (F.col("total") - F.col("common"))).select("a", "b"))
 
 
 def _joining(groups: DataFrame, per_cent: int) -> DataFrame:
