@@ -33,8 +33,9 @@ TRAIN_DOCS = 20_000
 STEMS = range(4, 9)
 #: Least log odds of a term and least likelihood ratio statistic (chance alone: one in a billion).
 LEAST_WEIGHT, LEAST_RATIO = 3.0, 40.0
-#: An exception phrase has a term, but log odds under this one, at least so unlikely by chance.
-EXCEPT_BELOW, EXCEPT_RATIO = 0.0, 15.0
+#: An exception phrase has a term, but is no more toxic than documents are; against other documents with a term
+#: that is at least so unlikely by chance.
+EXCEPT_RATIO = 15.0
 # Look-alike letters and digits, as pairs: what is read, what it stands for.
 _ALIKE = dict(zip(
     "013457@$!|аеорсухікмтнвԁѕјгαεοριτυνκηβ",
@@ -203,14 +204,17 @@ def _fit(sample: DataFrame) -> Lexicon:
 
         def of(value: str | None) -> set[str]:
             folded = fold(value, table)
-            return {p for start in matches(folded, automaton) for p in phrases(folded, start)} - {""}
+            # Where there is a term, '' stands for any phrase: it counts the documents with a term.
+            return {p for start in matches(folded, automaton) for p in (*phrases(folded, start), "")}
 
         return of
 
     # A phrase that passes is in several clean documents; phrases of toxic ones alone stay behind.
-    rows = _counted(sample, contexts).where("clean >= 3").toPandas()
-    weight, ratio = _odds(rows, both)
-    lexicon.exceptions = frozenset(rows.term[(weight < EXCEPT_BELOW) & (ratio >= EXCEPT_RATIO)])
+    rows = _counted(sample, contexts).where("clean >= 3 OR term = ''").toPandas()
+    hit = rows[rows.term == ""]
+    weight, ratio = _odds(rows, (int(hit.toxic.sum()), int(hit.clean.sum())))
+    harmless = rows.toxic * both[1] <= rows.clean * both[0]
+    lexicon.exceptions = frozenset(rows.term[harmless & (weight < 0) & (ratio >= EXCEPT_RATIO) & (rows.term != "")])
 
     def measured(batches):
         table, automaton = fold_table(), lexicon.automaton()

@@ -25,9 +25,9 @@ def test_held_out_accuracy(spark):
 
 def trained(spark):
     docs, labels = [], []
-    for i in range(120):
-        bad = i % 3 == 0
-        word = "" if not bad and i % 4 else "nitwit" if bad else "holy nitwit"
+    for i in range(300):
+        bad = i % 5 == 0
+        word = "nitwit" if bad else "holy nitwit" if i % 8 == 1 else ""
         docs.append((i, f"{prose(i, 12)} {word} {prose(500 + i, 12)}"))
         labels.append((i, int(bad)))
     labels += [(0, 0), (1, None), (2, 7), (None, 1), (999, 1)]
