@@ -67,12 +67,17 @@ class Windows:
         return np.cumsum(hit[:-1]) > 0, items
 
 
+def _code_points(raw: bytes) -> np.ndarray:
+    """How many code points begin before each byte of an encoded text."""
+    return np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+
+
 def _spans(raw: bytes, hit: np.ndarray) -> list[dict]:
     """Runs of hit words as code point offsets."""
     places = [m.span() for m in WORD.finditer(raw)]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    at = lambda b: len(raw[:b].decode())
-    return [{"start": at(places[i][0]), "end": at(places[j - 1][1])} for i, j in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    chars = _code_points(raw)
+    return [{"start": int(chars[places[i][0]]), "end": int(chars[places[j - 1][1]])} for i, j in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
 def _scan(df: DataFrame, items: list[tuple[str | None, str | None]], size: int, text: str) -> DataFrame:
@@ -137,7 +142,7 @@ def find(
                 words = [m.span() for m in WORD.finditer(raw)]
                 hit = np.zeros(len(words) + 1, np.int32)
                 if spans:
-                    chars = np.cumsum([0] + [(b & 0xC0) != 0x80 for b in raw])
+                    chars = _code_points(raw)
                     first = {int(chars[a]): i for i, (a, _) in enumerate(words)}
                     last = {int(chars[b]): i for i, (_, b) in enumerate(words)}
                     for s in spans:
