@@ -65,3 +65,13 @@ def test_recall_at_the_threshold(spark):
     rows += [(1000 + i, r.normal(size=64).tolist(), 0, None) for i in range(1500)]
     got = P.near_duplicates(spark.createDataFrame(rows, SCHEMA)).where("n_links > 0").collect()
     assert len(got) >= 0.9 * 800 and all(r.vec_id < 800 and r.component_id == r.vec_id // 2 * 2 for r in got)
+
+
+def test_a_third_are_near_copies(spark):
+    """A dense group must not take the pivots: each of its vectors is linked with all others."""
+    r = np.random.default_rng(9)
+    centre = r.normal(size=32)
+    rows = [(i, (centre + 0.05 * r.normal(size=32)).tolist(), 0, None) for i in range(300)]
+    rows += [(1000 + i, r.normal(size=32).tolist(), 0, None) for i in range(600)]
+    got = {v.vec_id: (v.n_links, v.component_id) for v in P.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == (299, 0) for i in range(300))
