@@ -51,6 +51,16 @@ def _encoding(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _packed(coder: tiktoken.Encoding, value: str | None) -> bytes:
+    parts = (coder.encode_to_numpy(p, disallowed_special=()) for p in pieces(value or ""))
+    return b"".join(p.astype("<u4", copy=False).tobytes() for p in parts)
+
+
+def _raw(coder: tiktoken.Encoding, packed: bytes | None) -> bytes:
+    values = np.frombuffer(packed or b"", "<u4")
+    return b"".join(coder.decode_bytes(values[at : at + PIECE].tolist()) for at in range(0, len(values), PIECE))
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` with ``n_tokens`` and ``token_ids`` (packed ids) for its column ``text``."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
@@ -58,12 +68,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def make():
         coder = _encoding(shared.value, pattern)
 
-        def packed(value: str | None) -> bytes:
-            parts = (coder.encode_to_numpy(p, disallowed_special=()) for p in pieces(value or ""))
-            return b"".join(p.astype("<u4", copy=False).tobytes() for p in parts)
-
         def work(batch: pa.RecordBatch) -> list[list]:
-            ids = [packed(v) for v in batch.column(text).to_pylist()]
+            ids = [_packed(coder, v) for v in batch.column(text).to_pylist()]
             return [[len(b) // 4 for b in ids], ids]
 
         return work
@@ -77,11 +83,22 @@ def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "tok
 
     def make():
         coder = _encoding(shared.value, pattern)
+        return lambda batch: [[_raw(coder, v) for v in batch.column(ids).to_pylist()]]
 
-        def raw(packed: bytes | None) -> bytes:
-            values = np.frombuffer(packed or b"", "<u4")
-            return b"".join(coder.decode_bytes(values[at : at + PIECE].tolist()) for at in range(0, len(values), PIECE))
+    return append(df, "decoded binary", make)
 
-        return lambda batch: [[raw(v) for v in batch.column(ids).to_pylist()]]
 
-    return append(df, "decoded binary", make)
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and then ``decode``, without the text, in one Python worker a task."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def make():
+        coder = _encoding(shared.value, pattern)
+
+        def work(batch: pa.RecordBatch) -> list[list]:
+            ids = [_packed(coder, v) for v in batch.column(text).to_pylist()]
+            return [[len(b) // 4 for b in ids], ids, [_raw(coder, b) for b in ids]]
+
+        return work
+
+    return append(df, "n_tokens long, token_ids binary, decoded binary", make, drop=(text,))

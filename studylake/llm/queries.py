@@ -205,7 +205,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with n_tokens, ids_sha256 and decoded_sha256."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
-    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return both.withColumns({"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("token_ids", "decoded")
 
 

@@ -19,6 +19,8 @@ def test_edges_round_trip(spark):
     for r in got:
         want = CODER.encode_ordinary(r.text or "")
         assert list(struct.unpack(f"<{r.n_tokens}I", r.token_ids)) == want and bytes(r.decoded) == (r.text or "").encode()
+    both = B.round_trip(df, RANKS, public_tokenizers.PATTERN).select("token_ids", "decoded").collect()
+    assert sorted((bytes(r.token_ids), bytes(r.decoded)) for r in both) == sorted((bytes(r.token_ids), bytes(r.decoded)) for r in got)
     assert B.encode(empty(spark), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
