@@ -17,6 +17,8 @@ from studylake.sources.tables import load
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document of which its best language holds fewer n-grams than this share is in none of the languages.
 LEAST_COVERAGE = 0.1
+#: Documents are near-duplicates from this similarity of their five-word shingles on, in per cent.
+NEAR_PER_CENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of near-duplicates."""
+    """Keep one document, the one with the smallest id, of each group of near-duplicates (similarity 0.8 or more)."""
     settings(spark)
     docs = docs.select(COLUMNS)
-    copies = minmax_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    copies = minmax_dedup.near_duplicates(docs, per_cent=NEAR_PER_CENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct ``WIDTH``-word shingles. Each permutation of the hash
 space yields two signature values, the smallest and the largest element, so ``PERMUTATIONS`` evaluations
 give twice as many values. Mins and maxes are banded apart, each band over ``ROWS_A_BAND`` permutations. Two sets
-of Jaccard similarity 0.85 share none of the 24 bands with probability 2e-8.
+of Jaccard similarity 0.85 share none of the 24 bands with probability 2e-8, of 0.80 with 3e-6; lower thresholds are refused.
 
 1. Documents with equal sets form a class, named by its smallest id. Only classes go on.
 2. Members of a band's bucket are paired with the bucket's smallest member and compared on full sets.
@@ -32,9 +32,8 @@ PERMUTATIONS = 48
 ROWS_A_BAND = 4
 #: Members of a bucket whose signatures one task compares with those of another block.
 BLOCK = 512
-#: Pairs whose signatures agree on less than this share of values are not compared on full sets: six
-#: standard deviations below 0.85.
-LEAST_ESTIMATE = 0.63
+#: The least threshold, in per cent, that the bands serve.
+LEAST_PER_CENT = 80
 #: Bits of a band key below its band's number.
 KEY_BITS = 58
 _RANDOM = np.random.Generator(np.random.PCG64(20240))
@@ -44,6 +43,13 @@ _BAND = _RANDOM.integers(0, 1 << 63, (2 * PERMUTATIONS // ROWS_A_BAND, ROWS_A_BA
 _CHUNK = 8192
 
 
+def least_estimate(per_cent: int) -> float:
+    """Pairs whose signatures agree on less than this share of values are not compared on full sets: six standard
+    deviations below the threshold."""
+    j = per_cent / 100
+    return j - 6 * (j * (1 - j) / (2 * PERMUTATIONS)) ** 0.5
+
+
 def _finish(h: np.ndarray) -> np.ndarray:
     """Mix all bits of 64-bit sums."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -131,7 +137,7 @@ def _joining(groups: DataFrame, per_cent: int) -> DataFrame:
         values, offsets = column["shingles"].flatten().to_numpy().view(np.uint64), column["shingles"].offsets.to_numpy()
         offsets = offsets - offsets[0]
         sizes = np.diff(offsets)
-        least = LEAST_ESTIMATE * sketch.shape[1]
+        least = least_estimate(per_cent) * sketch.shape[1]
         found: list[tuple[int, int]] = []
         for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
             label = component[start:end].copy()
@@ -183,6 +189,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     Linked are documents with 100 * intersection >= ``per_cent`` * union of their shingle sets.
     """
+    if not LEAST_PER_CENT <= per_cent <= 100:
+        raise ValueError(f"per_cent {per_cent}; the bands serve {LEAST_PER_CENT} to 100")
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("_text"))
     rows = written(features(docs, "_text"))
     full = rows.where("id IS NOT NULL AND n_shingles > 0")
