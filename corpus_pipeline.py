@@ -15,19 +15,21 @@ from studylake.llm.queries import encoded
 from studylake.sources.tables import load
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document of which its best language holds fewer n-grams than this share is in none of the languages.
-LEAST_COVERAGE = 0.1
 #: Documents are near-duplicates from this similarity of their five-word shingles on, in per cent.
 NEAR_PER_CENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those in none of the learned languages; a missing ``lang`` is filled in."""
+    """Drop documents without a letter, and those only: how many of a text's n-grams are known says how much was learned
+    of its language. A missing ``lang`` is filled in, with ``und`` if none of the n-grams is known."""
     settings(spark)
     docs = docs.select(COLUMNS)
-    fitted = language_bitmask.fit(docs.where(~language_bitmask.held_out(F.col("doc_id"), 3, 1)))
-    known = language_bitmask.predict(docs, fitted).where((F.col("lang_pred") != language_bitmask.UND) & (F.col("coverage") >= LEAST_COVERAGE))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+    fitted = language_bitmask.fit(docs.where(F.col("lang") != language_bitmask.UND))
+    known = language_bitmask.predict(docs, fitted)
+    # With no language learned, every text is predicted ``und``.
+    letters = F.col("lang_pred") != language_bitmask.UND if fitted.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    said = F.when(F.col("coverage") > 0, F.col("lang_pred")).otherwise(language_bitmask.UND)
+    return known.where(letters).withColumn("lang", F.coalesce("lang", said)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

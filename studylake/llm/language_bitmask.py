@@ -25,8 +25,9 @@ ORDERS = (3, 4)
 BITS, DRAWS = 22, 3
 #: Labelled documents of one language that the filter is fitted on, about, chosen by a hash of their id.
 TRAIN_DOCS = 5000
-#: An n-gram belongs to a language if this share of its documents, and two at least, have it.
-LEAST_SHARE = 0.005
+#: An n-gram belongs to a language if this share of its documents, and two at least, have it; with fewer documents
+#: than ``FEW``, one is enough.
+LEAST_SHARE, FEW = 0.005, 20
 #: Languages that a filter of this many positions may hold (one byte a position for each eight).
 MAX_LANGUAGES = 512
 _RANDOM = np.random.Generator(np.random.PCG64(7))
@@ -93,6 +94,11 @@ class Filter:
         return np.maximum(0.0, (raw - len(h) * self.false) / (1 - self.false))
 
 
+def _least(docs: int) -> int:
+    """How many of a language's ``docs`` documents must have an n-gram."""
+    return 1 if docs < FEW else max(2, int(LEAST_SHARE * min(docs, TRAIN_DOCS)))
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filter:
     """The filter of the languages in ``labelled``; rows with null language are left out."""
     spark = labelled.sparkSession
@@ -105,7 +111,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not languages:
         return Filter(languages, masks)
     number = spark.createDataFrame(
-        [(name, i, int(min(1.0, TRAIN_DOCS / docs[name]) * (1 << 30)), max(2, int(LEAST_SHARE * min(docs[name], TRAIN_DOCS)))) for i, name in enumerate(languages)],
+        [(name, i, int(min(1.0, TRAIN_DOCS / docs[name]) * (1 << 30)), _least(docs[name])) for i, name in enumerate(languages)],
         "_lang string, _n int, _rate long, _least long",
     )
     drawn = F.pmod(F.xxhash64(key), F.lit(1 << 30))
