@@ -4,7 +4,9 @@ Every DOM node gets its link-adjusted characters per tag; a node's density sum i
 the largest sum is content; the least density on its path to the body is the threshold that other subtrees must reach,
 each of which then gives its own largest-sum node. What all these have in common below the body, or
 the article around it, is the main text. Parts that say they are something else (menus, adverts, forms, comments ...)
-by tag, role, class or id are taken out first and belong to no text.
+by tag, role, class or id are taken out first and belong to no text. Tag and role decide alone. A class or id does not
+where it names a topic (ids of headings and of parts of an article), states a layout (no-, has-, with-), or where its node
+holds most of a page without an article, at a density that reaches the threshold.
 
 Null and empty pages, and pages without text, give the empty text. Broken markup is closed as browsers do, a tag cut
 off at the end is dropped. Pages are independent: repeated rows repeat, ties go to the first node in page order, an
@@ -54,6 +56,10 @@ DROP_WORDS = frozenset(
 )
 #: Of these, the ones that hold for an article too.
 DROP_ARTICLES = frozenset("ad ads advert advertisement sponsored promo related recommended teaser comment comments reply".split())
+#: Words that, with those above, make a name that is no topic; words after which a name states the layout.
+NEUTRAL_WORDS = frozenset("section list area container box wrapper wrap block bar form content main inner outer the of and".split())
+LAYOUT_WORDS = frozenset("no not has have with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -115,8 +121,39 @@ class Page(HTMLParser):
         self.pieces.append((self.stack[-1], data))
 
 
-def _says(attrs: dict[str, str]) -> set[str]:
-    return {w.lower() for w in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+def _says(names: str) -> set[str]:
+    """The words of class names or ids, less those that a layout modifier stands before."""
+    out = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        out.update(w for before, w in zip(["", *words], words) if before not in LAYOUT_WORDS)
+    return out
+
+
+def _names(tag: str, attrs: dict[str, str], in_article: bool, listing: bool) -> set[str]:
+    """The words by which a node may be taken out; ``listing``: its text is mostly links."""
+    words, own = _says(attrs.get("class", "")), _says(attrs.get("id", ""))
+    if tag in HEADINGS or in_article and tag == "p":
+        return words  # such an id is an anchor, made of the text
+    topic = any(w not in DROP_WORDS and w not in NEUTRAL_WORDS and len(w) > 1 and not w.isdigit() for w in own)
+    return words if in_article and topic and not listing else words | own
+
+
+def _plain(page: Page, gone: list[bool]) -> tuple[list[int], list[int]]:
+    """Characters of each node, and those outside links."""
+    n = len(page.tags)
+    linked, chars, plain = [False] * n, [0] * n, [0] * n
+    for i in range(1, n):
+        linked[i] = page.tags[i] == "a" or linked[page.parents[i]]
+    for piece in page.pieces:
+        if piece and not gone[piece[0]]:
+            size = len("".join(piece[1].split()))
+            chars[piece[0]] += size
+            plain[piece[0]] += size * (not linked[piece[0]])
+    for i in range(n - 1, 0, -1):
+        chars[page.parents[i]] += chars[i]
+        plain[page.parents[i]] += plain[i]
+    return chars, plain
 
 
 def dropped(page: Page) -> list[bool]:
@@ -126,16 +163,32 @@ def dropped(page: Page) -> list[bool]:
     for i in range(n - 1, 0, -1):
         if page.tags[i] in ("article", "main") or holds[i]:
             holds[page.parents[i]] = True
-    out, in_article = [False] * n, [False] * n
+    hard, in_article = [False] * n, [False] * n
     for i in range(1, n):
         tag, attrs, up = page.tags[i], page.attrs[i], page.parents[i]
         in_article[i] = in_article[up] or tag in ("article", "main")
-        gone = out[up] or tag in DROP_TAGS or tag == "header" and not in_article[i]
-        if not gone and attrs:
-            gone = attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-            if not gone and not holds[i] and tag not in ("html", "body", "main"):
-                gone = bool(_says(attrs) & (DROP_ARTICLES if tag == "article" else DROP_WORDS))
-        out[i] = gone
+        hard[i] = hard[up] or tag in DROP_TAGS or tag == "header" and not in_article[i]
+        if not hard[i] and attrs:
+            hard[i] = attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    chars, plain = _plain(page, hard)
+    named: dict[int, set[str]] = {}
+    for i in range(1, n):
+        tag, attrs = page.tags[i], page.attrs[i]
+        if not hard[i] and attrs and not holds[i] and tag not in ("html", "body", "main"):
+            words = _names(tag, attrs, in_article[page.parents[i]], 2 * plain[i] < chars[i])
+            words &= DROP_ARTICLES if tag == "article" else DROP_WORDS
+            if words:
+                named[i] = words
+    articles = any(tag in ("article", "main") and chars[i] and not hard[i] and i not in named for i, tag in enumerate(page.tags))
+    if not articles and any(2 * plain[i] > plain[0] for i in named):
+        density, _, threshold = _path(page, hard)
+        for i in [i for i in named if 2 * plain[i] > plain[0] and density[i] >= threshold]:
+            # Adverts and comments may be longer than the text: they are the text only of a page that has no other.
+            if not named[i] & DROP_ARTICLES or plain[i] == plain[0]:
+                del named[i]
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = hard[i] or out[page.parents[i]] or i in named
     return out
 
 
@@ -171,21 +224,32 @@ def densities(page: Page, gone: list[bool]) -> tuple[list[float], list[float]]:
     return density, [s if k else d for s, k, d in zip(total, children, density)]
 
 
-def content_of(page: Page, gone: list[bool]) -> list[bool]:
-    """Whether each node is main text."""
+def _path(page: Page, gone: list[bool]) -> tuple[list[float], list[int], float]:
+    """Densities, the node of the largest sum in each subtree, and the least density from the page's one to the body."""
     n = len(page.tags)
     density, total = densities(page, gone)
-    body = page.tags.index("body") if "body" in page.tags else 0
-    best = list(range(n))  # of each subtree, the node with the largest sum
+    body = _body(page)
+    best = list(range(n))
     for i in range(n - 1, 0, -1):
         up = page.parents[i]
         if not gone[i] and (total[best[i]], -best[i]) > (total[best[up]], -best[up]):
             best[up] = best[i]
-    top = best[0]
-    threshold, at = density[top], top
+    threshold, at = density[best[0]], best[0]
     while at > 0:
         threshold = min(threshold, density[at])
         at = page.parents[at] if at != body else -1
+    return density, best, threshold
+
+
+def _body(page: Page) -> int:
+    return page.tags.index("body") if "body" in page.tags else 0
+
+
+def content_of(page: Page, gone: list[bool]) -> list[bool]:
+    """Whether each node is main text."""
+    n, body = len(page.tags), _body(page)
+    density, best, threshold = _path(page, gone)
+    top = best[0]
     marked = {top} | {best[i] for i in range(body + 1, n) if not gone[i] and density[i] >= threshold > 0}
     # What the marked nodes have in common.
     inside = [0] * n
