@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylake.llm.common import append
-from studylake.llm.minmax_dedup import shingles
+from studylake.llm.minmax_dedup import near_duplicates
 
-#: Labelled documents, about, that the lexicon and the weights are fitted on, chosen by a hash of their id. Of those
-#: with the same smallest shingle hash, as copies and most near copies have, one counts: edits of one text are one witness.
+#: Labelled documents, about, that the lexicon and the weights are fitted on, chosen by a hash of their id. Of near
+#: copies with one label one counts: edits of one text are one witness of each class. Texts that share a passage are not.
 TRAIN_DOCS = 20_000
 #: Lengths of word beginnings that may become terms.
 STEMS = range(4, 9)
@@ -166,20 +166,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not size:
         return Lexicon({})
     drawn = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, train_docs / size) * (1 << 30))
-    sample = docs.select(key, F.col(text).alias("text")).where(drawn).join(known.where(drawn), key).select("text", "label")
-    one = append(sample, "_witness long", _witness).groupBy("_witness").agg(F.min(F.struct("label", "text")).alias("s"))
-    sample = one.select("s.text", "s.label").persist()
+    sample = docs.select(key, F.col(text).alias("text")).where(drawn).join(known.where(drawn), key)
+    # Rows with the same id and text are one document, whatever the type of the id.
+    sample = sample.select(F.xxhash64(key, "text").alias("id"), "text", "label").persist()
     try:
-        return _fit(sample)
+        copies = near_duplicates(sample, "id").select(F.col("doc_id").alias("id"), "component_id").distinct()
+        witnesses = sample.join(copies, "id").groupBy("component_id", "label").agg(F.min("text").alias("text")).select("text", "label").persist()
+        try:
+            return _fit(witnesses)
+        finally:
+            witnesses.unpersist()
     finally:
         sample.unpersist()
 
 
-def _witness():
-    first = lambda raw: next(iter(shingles(raw).view(np.int64).tolist()), None)
-    return lambda batch: [[first(raw) for raw in batch.column("text").cast(pa.binary()).to_pylist()]]
-
-
 def _fit(sample: DataFrame) -> Lexicon:
     total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     both = total.get(1, 0), total.get(0, 0)
