@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from studylake.llm.common import bound, prefix_sums, written
 
-#: Distinct seeds of one kind that a pattern needs, its least confidence, what a candidate of unknown nature counts
-#: against it, and the rounds.
-LEAST_SEEDS, LEAST_CONFIDENCE, UNKNOWN, ROUNDS = 5, 0.8, 0.2, 3
+#: Distinct identifiers of one kind, seeds or discovered before with the least confidence, that a pattern needs; its
+#: least confidence, what a candidate of unknown nature counts against it, and the rounds.
+LEAST_SUPPORT, LEAST_CONFIDENCE, UNKNOWN, ROUNDS = 5, 0.8, 0.2, 3
 #: Code points beside a span that its patterns are taken from.
 CONTEXT = 48
 
@@ -145,10 +145,10 @@ def discovered(instances: DataFrame) -> DataFrame:
         scores = seeds if new is None else seeds.unionByName(new.join(seeds.drop("score"), ["kind", "value"], "left_anti"))
         rated = edges.join(written(scores), ["kind", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         sums = [F.sum(F.when(F.col("kind") == n, F.col("score"))).alias(f"s{n}") for n in range(len(KINDS))]
-        seen = [F.count(F.when((F.col("kind") == n) & F.col("seed"), 1)).alias(f"n{n}") for n in range(len(KINDS))]
+        seen = [F.count(F.when((F.col("kind") == n) & (F.col("score") >= LEAST_CONFIDENCE), 1)).alias(f"n{n}") for n in range(len(KINDS))]
         rated = rated.groupBy("pattern").agg(*sums, *seen, F.sum("score").alias("all"), F.sum(1 - F.col("score")).alias("unknown"))
-        each = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.coalesce(f"s{n}", F.lit(0.0)).alias("own"), F.col(f"n{n}").alias("seeds")) for n in range(len(KINDS))]))
-        good = rated.select("pattern", "all", "unknown", each.alias("k")).where(F.col("k.seeds") >= LEAST_SEEDS)
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.coalesce(f"s{n}", F.lit(0.0)).alias("own"), F.col(f"n{n}").alias("support")) for n in range(len(KINDS))]))
+        good = rated.select("pattern", "all", "unknown", each.alias("k")).where(F.col("k.support") >= LEAST_SUPPORT)
         good = good.select("pattern", "k.kind", (F.col("k.own") / (F.col("all") + UNKNOWN * F.col("unknown"))).alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE)
         held = edges.where("NOT seed").join(written(good), ["pattern", "kind"])
         new = written(held.groupBy("kind", "value").agg(F.max("confidence").alias("score")))
