@@ -395,15 +395,16 @@ def filename_hits(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
 
 def federated_search(hits: DataFrame, by_name: DataFrame, k: int = 5) -> DataFrame:
     """Vector hits, then file name hits (score 0.9), one entry per file or text, first k."""
+    named = F.nullif(F.col("filename"), F.lit(""))
     first = hits.select(
-        "query_id", F.lit("vector").alias("origin"), F.col("rank").alias("place"), "filename", F.substring("text", 1, 500).alias("text"), "score"
+        "query_id", F.lit("vector").alias("origin"), F.col("rank").alias("place"), "filename", F.substring("text", 1, 500).alias("text"), "score",
+        F.coalesce(named, F.sha2(F.col("text").cast("binary"), 256)).alias("_key"),  # of the whole text
     )
     second = by_name.select(
         "query_id", F.lit("filename").alias("origin"), (F.col("place") + 1_000_000).cast("long").alias("place"), "filename",
-        F.concat(F.lit("文件: "), "filename").alias("text"), F.lit(0.9).alias("score"),
+        F.concat(F.lit("文件: "), "filename").alias("text"), F.lit(0.9).alias("score"), F.coalesce(named, F.lit("")).alias("_key"),
     )
-    key = F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.substring("text", 1, 100))
-    rows = first.unionByName(second).withColumn("_key", key)
+    rows = first.unionByName(second)
     one = Window.partitionBy("query_id", "_key").orderBy("place")
     best = Window.partitionBy("query_id").orderBy("place")
     return (
