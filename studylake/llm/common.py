@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,6 +37,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(shared: Broadcast, make: Callable):
+    """``make(*shared.value)``, kept beside the value for the later tasks of a Python worker that runs several."""
+    if not hasattr(shared, "made"):
+        shared.made = make(*shared.value)
+    return shared.made
+
+
 def append(
     df: DataFrame,
     new: str | StructType,

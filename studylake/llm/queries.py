@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from studylake.llm import (
     byte_bpe, contextual_pii, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, reply_trees, shard_tree, text_density,
+    token_alignment,
 )
-from studylake.llm.common import settings
+from studylake.llm.common import settings, written
 from studylake.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ ORACLES: dict[str, str] = {}
 #: Production parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 8
+ALIGNED_FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -233,3 +235,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_bitmask.held_out(F.col("doc_id"), 5, 0)
     fitted = lexicon_toxicity.fit(docs.where(~out), labels.where(~out))
     return lexicon_toxicity.score(docs.withColumn("held_out", out), fitted).drop("text")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw_a, raw_b = (token_alignment.read_file(public_tokenizers.path(name)) for name in ALIGNED_FILES)
+    aligned = token_alignment.align(load(spark, sf_dir, "documents").select("doc_id", "text"), raw_a, raw_b)
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    aligned = written(aligned.withColumns({"groups_sha256": digest, "row": F.monotonically_increasing_id()}).drop("groups"))
+    return token_alignment.scored(aligned, token_alignment.pieced(raw_b).size)
