@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from studylake.llm import (
-    byte_bpe, contextual_pii, decontaminate, language_bitmask, lexicon_toxicity, minmax_dedup, pivot_dedup, reply_trees, shard_tree, text_density,
+    byte_bpe, contextual_pii, decontaminate, language_bitmask, lexicon_toxicity, means_tree, minmax_dedup, pivot_dedup, prefix_trie, reply_trees, shard_tree, text_density,
     token_alignment,
 )
 from studylake.llm.common import settings, written
@@ -237,6 +237,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_toxicity.score(docs.withColumn("held_out", out), fitted).drop("text")
 
 
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tok) AS place, tok, size FROM (
+    SELECT conv_id, turn, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS tok,
+      octet_length(encode(coalesce(text, ''))) AS size FROM conversations WHERE conv_id IS NOT NULL)),
+lens AS (SELECT conv_id, max(place) AS len, list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, len, conv_id - conv_id % 5 AS source, CAST(xor(list_reduce(bytes,
+    lambda c, x: list_reduce([xor(c, x), 1, 1, 1, 1, 1, 1, 1, 1], lambda a, k: xor(a >> 1, 3988292384 * (a & 1))), 4294967295), 4294967295) AS BIGINT) % 9 AS h FROM lens),
+convs AS (SELECT c.conv_id, c.source, c.h, least(c.h, coalesce(g.len, 0)) AS base, least(c.h, coalesce(g.len, 0)) + greatest(c.len - c.h, 0) AS n FROM heads c LEFT JOIN heads g ON g.conv_id = c.source),
+rebuilt AS (
+  SELECT c.conv_id, base + place - h AS depth, tok, size FROM turns t JOIN convs c ON t.conv_id = c.conv_id WHERE place > h
+  UNION ALL SELECT c.conv_id, place, tok, size FROM turns t JOIN convs c ON t.conv_id = c.source WHERE place <= h),
+whole AS (SELECT conv_id, list(tok ORDER BY depth) AS toks, list(size ORDER BY depth) AS sizes FROM rebuilt GROUP BY conv_id),
+prefixes AS (
+  SELECT conv_id, d AS depth, CASE WHEN d = 0 THEN '' ELSE md5(array_to_string(toks[1:d], ',')) END AS key, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = n AS at_end
+  FROM (SELECT c.conv_id, n, toks, sizes, unnest(range(0, n + 1)) AS d FROM convs c LEFT JOIN whole w ON w.conv_id = c.conv_id)),
+nodes AS (
+  SELECT key, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE at_end), '') AS ends FROM prefixes GROUP BY key),
+steps AS (SELECT n.key, p.key AS parent FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+children AS (SELECT parent AS key, count(*) AS n FROM steps GROUP BY parent),
+under AS (
+  SELECT p.key, sum((u.n_convs - 1) * u.size) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM nodes u JOIN prefixes p ON p.conv_id = u.conv_id AND p.depth <= u.depth LEFT JOIN children c ON c.key = u.key GROUP BY p.key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN under USING (key) LEFT JOIN children c ON c.key = n.key LEFT JOIN steps s ON s.key = n.key LEFT JOIN nodes p ON p.key = s.parent"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*rebuilt(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns (conv_id, n, depth, digest, size) of the rebuilt conversations, and the ids of those without turns.
+
+    The first h turns of conversation c are those of conversation c - c % 5 (there are up to five such c), the others its own.
+    """
+    turns = written(prefix_trie.numbered(conversations))
+    lens = turns.groupBy("conv_id").agg(F.max("place").alias("len"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    heads = lens.withColumns({"source": F.col("conv_id") - F.col("conv_id") % 5, "h": h})
+    base = F.least("h", F.coalesce("there", F.lit(0).cast("long")))
+    convs = heads.join(lens.select(F.col("conv_id").alias("source"), F.col("len").alias("there")), "source", "left")
+    convs = written(convs.select("conv_id", "source", "h", base.alias("base"), (base + F.greatest(F.col("len") - F.col("h"), F.lit(0))).alias("n")))
+    own = turns.join(convs, "conv_id").where("place > h").withColumn("depth", F.col("base") + F.col("place") - F.col("h"))
+    heads = turns.where("place <= 8").withColumnRenamed("conv_id", "source")
+    lent = heads.join(convs, "source").where("place <= h").withColumn("depth", F.col("place"))
+    columns = ["conv_id", "n", "depth", "digest", "size"]
+    return own.select(columns).unionByName(lent.select(columns)), convs.where("n = 0").select("conv_id")
+
+
+@query("op12_means_tree")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return means_tree.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw_a, raw_b = (token_alignment.read_file(public_tokenizers.path(name)) for name in ALIGNED_FILES)
