@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studylake.operators.mastery import WEAK_BELOW
+from studylake.session import checkpoint_dir
 
 
 def kp_by_importance(kps: DataFrame, importance: str) -> DataFrame:
@@ -52,25 +53,32 @@ def weak_with_wrongs(weak: DataFrame, recent: DataFrame, weak_cap: int = 8, wron
     return weak.join(recent.withColumnRenamed("kp_id", "wrong_kp").drop("ts"), ["learner_id", "subject"])
 
 
+def closure(edges: DataFrame, max_depth: int) -> DataFrame:
+    """Ancestors (root, at, depth) of every point within ``max_depth`` steps of ``edges`` (pre, kp), at their least depth.
+
+    Each level joins the ancestors so far with the edges and, to keep them, with a step that stays; both come back as one row per
+    (root, at), so ways that meet and cycles add nothing. Edges are cut off from their derivation once, ids keep their type.
+    """
+    checkpoint_dir(edges.sparkSession)
+    edges = edges.select("kp", "pre").where("kp IS NOT NULL AND pre IS NOT NULL").distinct().checkpoint()
+    stay = edges.select("kp", F.col("kp").alias("pre"), F.lit(0).cast("long").alias("step")).distinct()
+    steps = edges.withColumn("step", F.lit(1).cast("long")).unionByName(stay).withColumnRenamed("kp", "at")
+    found = stay.select(F.col("kp").alias("root"), F.col("kp").alias("at"), F.col("step").alias("depth"))
+    for _ in range(max_depth):
+        further = found.join(steps, "at", "left")
+        found = further.select("root", F.coalesce("pre", "at").alias("at"), (F.col("depth") + F.coalesce("step", F.lit(0))).alias("depth"))
+        found = found.groupBy("root", "at").agg(F.min("depth").alias("depth"))
+    return found.filter("root <> at")
+
+
 def prerequisite_chain(
     wanted: DataFrame, edges: DataFrame, levels: DataFrame, max_depth: int = 2, limit: int = 5
 ) -> DataFrame:
     """Weak prerequisites of each wanted (learner_id, kp), nearest and weakest first.
 
-    ``edges`` is (pre, kp).  Depth is unrolled: one equi-join per level from the points asked
-    for, so a point's ancestors are found once, not once per learner.  The way up is carried along,
-    so each level is derived once.
+    ``edges`` is (pre, kp).  A point's ancestors are found once, not once per learner.
     """
-    points = wanted.select("kp").distinct()
-    ways = points.select(F.col("kp").alias("root"), F.col("kp").alias("at"), F.array().cast("array<bigint>").alias("way"))
-    for _ in range(max_depth):
-        up = edges.select("pre", F.col("kp").alias("at"))
-        further = F.when(F.col("pre").isNull(), F.col("way")).otherwise(F.array_append("way", F.col("pre").cast("bigint")))
-        ways = ways.join(up, "at", "left").select("root", F.col("pre").alias("at"), further.alias("way"))
-    steps = ways.select("root", F.posexplode("way").alias("pos", "at"))
-    found = steps.select("root", F.col("at").cast(edges.schema["pre"].dataType).alias("at"), (F.col("pos") + 1).alias("depth"))
-    nearest = found.filter("root <> at").groupBy("root", "at").agg(F.min("depth").cast("long").alias("depth"))
-    chains = wanted.select("learner_id", F.col("kp").alias("root")).join(nearest, "root")
+    chains = wanted.select("learner_id", F.col("kp").alias("root")).join(closure(edges, max_depth), "root")
     known = levels.select("learner_id", F.col("kp").alias("at"), "level")
     chains = chains.join(known, ["learner_id", "at"], "left").na.fill(0.0, ["level"])
     order = Window.partitionBy("learner_id", "root").orderBy("depth", "level", "at")

@@ -46,7 +46,7 @@ def test_last_n_is_cut_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in physical
 
 
-@pytest.mark.parametrize("name, most", [("g07_parent_report", 2), ("h24_report_text_weekly", 3), ("c10_prerequisite_chain", 11)])
+@pytest.mark.parametrize("name, most", [("g07_parent_report", 2), ("h24_report_text_weekly", 3), ("c10_prerequisite_chain", 4)])
 def test_scans_of_the_facts(spark, sf, name, most):
     physical = plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[1]
     assert len(re.findall(r"FileScan parquet", physical)) <= most

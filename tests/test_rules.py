@@ -157,6 +157,24 @@ def test_prerequisites(spark):
     assert [(r.pre, r.depth) for r in got] == [("相反数", 1), ("正数和负数", 2)]
 
 
+def test_prerequisites_deep_and_cyclic(spark):
+    """Six steps up a chain of string ids, a diamond and a cycle: every ancestor once, at its least depth."""
+    pairs = [(f"k{i + 1}", f"k{i}") for i in range(7)] + [("k3", "k0"), ("k0", "k4"), (None, "k1"), ("k5", None)]
+    edges = spark.createDataFrame(pairs, "pre string, kp string")
+    levels = spark.createDataFrame([(1, "k3", 0.9)], "learner_id long, kp string, level double")
+    got = U.prerequisite_chain(spark.createDataFrame([(1, "k0")], "learner_id long, kp string"), edges, levels, max_depth=6, limit=99)
+    assert {(r.pre, r.depth) for r in got.collect()} == {("k1", 1), ("k2", 2), ("k4", 2), ("k5", 3), ("k6", 4), ("k7", 5)}
+
+
+def test_prerequisites_of_the_curriculum(spark):
+    """Ids as the curriculum loader makes them."""
+    path = "math/g7s1/ch01/"
+    edges = spark.createDataFrame([(path + "a", path + "b"), (path + "b", path + "c")], "pre string, kp string")
+    levels = spark.createDataFrame([(1, path + "c", 0.1)], "learner_id long, kp string, level double")
+    got = U.prerequisite_chain(levels.select("learner_id", "kp"), edges, levels).orderBy("rn").collect()
+    assert [(r.pre, r.level, r.depth, r.rn) for r in got] == [(path + "b", 0.0, 1, 1), (path + "a", 0.0, 2, 2)]
+
+
 def test_model_replies(spark):
     good = '{"question": {"index": 1, "total": 3, "question_type": "choice", "content": "q\\nA. 1", "answer_key": "A", "explanation": "e", "options": {"A": "1"}}}'
     cases = [
