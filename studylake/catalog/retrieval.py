@@ -6,8 +6,12 @@ Vector queries are the mean vectors of the labels, lexical queries the benchmark
 from pyspark.sql import functions as F
 
 from studylake.catalog import query
+from studylake.operators import lexical_index as L
 from studylake.operators import retrieval as V
+from studylake.operators import vector_index as I
+from studylake.plans.ingest import context
 from studylake.sources.tables import VIEWS, load, spread, view
+from studylake.streaming.runs import scratch
 
 _CENTRES = """mean AS (SELECT CAST(label AS BIGINT) AS query_id, i AS dim, avg(CAST(x AS DOUBLE)) AS x FROM (
     SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) c GROUP BY 1, 2),
@@ -69,8 +73,30 @@ def _signs_sql(name: str, key: str, vector: str, source: str) -> str:
     return f"{name} AS (SELECT {key} AS k, t, string_agg(CASE WHEN list_inner_product({vector}, p) > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS s FROM {source}, planes GROUP BY 1, 2)"
 
 
+def stored_vectors(spark, sf):
+    path = scratch(spark, "vectors")
+    I.build(vectors(spark, sf), path)
+    return path
+
+
+# At least nine of the ten nearest of every query.
+@query("t04_vector_topk_ann", f"WITH {_CENTRES} SELECT query_id, CAST(10 AS BIGINT) AS k, TRUE AS enough FROM qs")
+def _(spark, sf):
+    q = profiles(spark, sf)
+    found = V.recall(I.search(q, stored_vectors(spark, sf), 10), V.vector_topk(q, vectors(spark, sf), 10))
+    return found.select("query_id", "k", (F.col("found") >= 0.9 * F.col("k")).alias("enough"))
+
+
+@query(
+    "t04_vector_topk_certain",
+    f"WITH {_CENTRES}, {hits_sql(10)} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM hit",
+)
+def _(spark, sf):
+    return _shown(I.nearest(profiles(spark, sf), stored_vectors(spark, sf), 10))
+
+
 @query(
-    "t04_vector_topk_ann",
+    "t04_vector_topk_signatures",
     f"""WITH {_CENTRES}, {hits_sql(10)}, {_planes_sql()}, {_signs_sql("sq", "query_id", "q", "qs")},
       {_signs_sql("sv", "vec_id", "CAST(embedding AS DOUBLE[])", "embeddings")},
       near AS (SELECT DISTINCT sq.k AS query_id, sv.k AS chunk_id FROM sq JOIN sv ON sq.t = sv.t AND sq.s = sv.s),
@@ -120,6 +146,41 @@ def _(spark, sf):
     return lexical(spark, sf).withColumn("score", F.round("score", 6))
 
 
+def stored_words(spark, sf):
+    path = scratch(spark, "words")
+    L.build(spread(load(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "text"), path)
+    return path
+
+
+@query("t06_bm25_topk_indexed", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex")
+def _(spark, sf):
+    queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return L.search(queries, stored_words(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+# The whole job from stored indexes: vector and lexical hits of the labels' first texts, fused, with their chunks.
+_ASKED = "SELECT CAST(label AS BIGINT) AS query_id, min(vec_id) AS doc_id FROM embeddings GROUP BY 1"
+
+
+@query(
+    "e03_context",
+    f"""WITH {_CENTRES}, {hits_sql(10)}, aq AS ({_ASKED}),
+      {_BM25.replace("FROM benchmark", "FROM (SELECT query_id AS item_id, text FROM aq JOIN documents USING (doc_id))")},
+      u AS (SELECT query_id, chunk_id, rank FROM hit UNION ALL SELECT query_id, chunk_id, rank FROM lex),
+      s AS (SELECT query_id, chunk_id, round(sum(1 / CAST(60 + rank AS DOUBLE)), 12) AS score FROM u GROUP BY 1, 2)
+      SELECT query_id, chunk_id, round(score, 9) AS score, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) x
+      JOIN documents ON doc_id = chunk_id WHERE rank <= 5""",
+)
+def _(spark, sf):
+    chunks = spread(load(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = load(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min("vec_id").alias("chunk_id"))
+    hits = context(
+        asked.join(chunks, "chunk_id").select("query_id", "text"), profiles(spark, sf), chunks, vectors(spark, sf),
+        words=stored_words(spark, sf), near=stored_vectors(spark, sf),
+    )
+    return hits.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", "text")
+
+
 @query(
     "t07_rrf_fuse",
     f"""WITH {_CENTRES}, {hits_sql(10)}, {_BM25},

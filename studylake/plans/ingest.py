@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions import text as T
 from studylake.operators import corpus as K
+from studylake.operators import lexical_index, vector_index
 from studylake.operators import retrieval as V
 
 
@@ -35,8 +36,13 @@ def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH,
     return K.chunk_rows(described, separator=separator)
 
 
-def context(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Fused vector and lexical hits of a batch of queries, with their chunks."""
-    by_vector = V.vector_topk(query_vectors, vectors, 2 * k)
-    by_words = V.bm25_topk(queries, chunks, 2 * k)
+def context(
+    queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, words: str | None = None, near: str | None = None
+) -> DataFrame:
+    """Fused vector and lexical hits of a batch of queries, with their chunks.
+
+    ``words`` and ``near`` are the paths of stored indexes of the chunks and vectors; without one, the table is scanned.
+    """
+    by_vector = vector_index.nearest(query_vectors, near, 2 * k) if near else V.vector_topk(query_vectors, vectors, 2 * k)
+    by_words = lexical_index.search(queries, words, 2 * k) if words else V.bm25_topk(queries, chunks, 2 * k)
     return V.rrf_fuse([by_vector, by_words], k).join(chunks, "chunk_id")
