@@ -3,9 +3,11 @@
 Every DOM node gets its link-adjusted characters per tag; a node's density sum is that of its children. The node of
 the largest sum is content; the least density on its path to the body is the threshold that other subtrees must reach,
 each of which then gives its own largest-sum node. What all these have in common below the body, or
-the article around it, is the main text. Parts that say they are something else (menus, adverts, forms, comments ...)
-by tag, role, class or id are taken out first and belong to no text. Tag and role decide alone. A class or id does not
-where it names a topic (ids of headings and of parts of an article), states a layout (no-, has-, with-), or where its node
+the article around it, is the main text. Without an article, headings, paragraphs and plain lists that stand beside it or beside one of
+its ancestors are part of it, however short. Parts that say they are something else (menus, adverts, forms, comments ...)
+by tag, role, class or id are taken out first and belong to no text. Tag and role decide alone, but a form or fieldset around most of a
+page's text stays, and a label goes only with a control. A class or id does not
+where it names a topic (ids of headings, names in an article), states a layout (no-, has-, with-), or where its node
 holds most of a page without an article, at a density that reaches the threshold.
 
 Null and empty pages, and pages without text, give the empty text. Broken markup is closed as browsers do, a tag cut
@@ -44,9 +46,16 @@ CLOSES = {
 }
 #: Tags and roles that are never main text, and words of class or id that say so.
 DROP_TAGS = frozenset(
-    "head script style noscript template nav aside footer form button select textarea iframe object svg canvas audio video "
-    "dialog menu map input label fieldset".split()
+    "head script style noscript template nav aside footer button select textarea iframe object svg canvas audio video "
+    "dialog menu map input".split()
 )
+FORMS = frozenset({"form", "fieldset"})
+CONTROLS = frozenset("input select textarea button".split())
+#: Characters outside links for each control from which a form around most of the text is a page in a form.
+FORM_TEXT = 80
+#: Elements that, beside the main text, are part of it; those of the second kind only without links.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+BESIDE_PLAIN = frozenset("ul ol dl".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -57,7 +66,11 @@ DROP_WORDS = frozenset(
 #: Of these, the ones that hold for an article too.
 DROP_ARTICLES = frozenset("ad ads advert advertisement sponsored promo related recommended teaser comment comments reply".split())
 #: Words that, with those above, make a name that is no topic; words after which a name states the layout.
-NEUTRAL_WORDS = frozenset("section list area container box wrapper wrap block bar form content main inner outer the of and".split())
+NEUTRAL_WORDS = frozenset(
+    "section list area container box wrapper wrap block bar form content main inner outer the of and article articles post posts page site "
+    "body link links slot item items card text title header head left right top bottom module unit group row col column panel feed "
+    "thread user users button buttons icon icons label msg message js css wp id div".split()
+)
 LAYOUT_WORDS = frozenset("no not has have with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -106,7 +119,7 @@ class Page(HTMLParser):
             self.pieces.append((self.stack[-1], " "))
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
-        self.attrs.append({k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")})
+        self.attrs.append({k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "for")})
         if tag not in VOID:
             self.stack.append(len(self.tags) - 1)
             self.open[tag] += 1
@@ -121,22 +134,24 @@ class Page(HTMLParser):
         self.pieces.append((self.stack[-1], data))
 
 
-def _says(names: str) -> set[str]:
-    """The words of class names or ids, less those that a layout modifier stands before."""
-    out = set()
-    for name in names.split():
-        words = [w.lower() for w in _WORD.findall(name)]
-        out.update(w for before, w in zip(["", *words], words) if before not in LAYOUT_WORDS)
-    return out
+def _says(name: str) -> set[str]:
+    """The words of a class name or id, less those that a layout modifier stands before."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    return {w for before, w in zip(["", *words], words) if before not in LAYOUT_WORDS}
+
+
+def _topic(words: set[str]) -> bool:
+    """Whether a name says what its text is about."""
+    return any(w not in DROP_WORDS and w not in NEUTRAL_WORDS and len(w) > 1 and not w.isdigit() for w in words)
 
 
 def _names(tag: str, attrs: dict[str, str], in_article: bool, listing: bool) -> set[str]:
     """The words by which a node may be taken out; ``listing``: its text is mostly links."""
-    words, own = _says(attrs.get("class", "")), _says(attrs.get("id", ""))
-    if tag in HEADINGS or in_article and tag == "p":
-        return words  # such an id is an anchor, made of the text
-    topic = any(w not in DROP_WORDS and w not in NEUTRAL_WORDS and len(w) > 1 and not w.isdigit() for w in own)
-    return words if in_article and topic and not listing else words | own
+    names = attrs.get("class", "").split()
+    if not (tag in HEADINGS or in_article and tag == "p"):  # there, an id is an anchor, made of the text
+        names += attrs.get("id", "").split()
+    said = [_says(name) for name in names]
+    return set().union(*(words for words in said if not in_article or listing or not _topic(words)))
 
 
 def _plain(page: Page, gone: list[bool]) -> tuple[list[int], list[int]]:
@@ -163,13 +178,23 @@ def dropped(page: Page) -> list[bool]:
     for i in range(n - 1, 0, -1):
         if page.tags[i] in ("article", "main") or holds[i]:
             holds[page.parents[i]] = True
-    hard, in_article = [False] * n, [False] * n
+    hard, in_article, controls, beside = [False] * n, [False] * n, [0] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        beside[page.parents[i]] |= page.tags[i] in CONTROLS
+        controls[i] += page.tags[i] in CONTROLS
+        controls[page.parents[i]] += controls[i]
     for i in range(1, n):
         tag, attrs, up = page.tags[i], page.attrs[i], page.parents[i]
         in_article[i] = in_article[up] or tag in ("article", "main")
         hard[i] = hard[up] or tag in DROP_TAGS or tag == "header" and not in_article[i]
+        hard[i] |= tag == "label" and ("for" in attrs or controls[i] > 0 or beside[up])
         if not hard[i] and attrs:
             hard[i] = attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    if not FORMS.isdisjoint(page.tags):
+        _, plain = _plain(page, hard)
+        for i in range(1, n):
+            whole = holds[i] or 2 * plain[i] > plain[0] and plain[i] >= FORM_TEXT * controls[i]
+            hard[i] = hard[i] or hard[page.parents[i]] or page.tags[i] in FORMS and not whole
     chars, plain = _plain(page, hard)
     named: dict[int, set[str]] = {}
     for i in range(1, n):
@@ -245,6 +270,34 @@ def _body(page: Page) -> int:
     return page.tags.index("body") if "body" in page.tags else 0
 
 
+def _beside(page: Page, gone: list[bool], roots: set[int], body: int) -> set[int]:
+    """Headings, paragraphs and lists beside the ``roots`` or beside one of their ancestors, up to the body.
+
+    A heading stays out where the text has one of its own of the same rank or above.
+    """
+    n = len(page.tags)
+    chars, plain = _plain(page, gone)
+    inside, parents = [False] * n, set()
+    for i in range(1, n):
+        inside[i] = inside[page.parents[i]] or i in roots
+    ranks = [int(page.tags[i][1]) for i in range(1, n) if inside[i] and page.tags[i] in HEADINGS and chars[i]]
+    for at in roots:
+        while at > body:
+            at = page.parents[at]
+            parents.add(at)
+    out = set()
+    for i in range(1, n):
+        tag = page.tags[i]
+        if page.parents[i] in parents and not inside[i] and not gone[i] and chars[i]:
+            if tag in HEADINGS:
+                ok = int(tag[1]) < min(ranks, default=7) and 2 * plain[i] > chars[i]
+            else:
+                ok = tag in BESIDE and 2 * plain[i] > chars[i] or tag in BESIDE_PLAIN and plain[i] == chars[i]
+            if ok:
+                out.add(i)
+    return out
+
+
 def content_of(page: Page, gone: list[bool]) -> list[bool]:
     """Whether each node is main text."""
     n, body = len(page.tags), _body(page)
@@ -271,6 +324,8 @@ def content_of(page: Page, gone: list[bool]) -> list[bool]:
             while at > body and page.tags[at] not in ("article", "main"):
                 at = page.parents[at]
             roots.add(at if at > body else i)
+    if not any(page.tags[i] in ("article", "main") for i in roots):
+        roots |= _beside(page, gone, roots, body)
     out = [False] * n
     for i in range(n):
         out[i] = not gone[i] and (i in roots or i > 0 and out[page.parents[i]])
