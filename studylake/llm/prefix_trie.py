@@ -149,8 +149,10 @@ class Paths:
     def read(self, df: DataFrame, seq: str, depth: Column, **named: str) -> DataFrame:
         """``df`` with columns of the prefix at ``depth`` of sequence ``seq`` under new names; null where there is none."""
         there = self.rows.select(F.col("seq").alias("_seq"), F.col("depth").alias("_depth"), *(F.col(c).alias(new) for new, c in named.items()))
-        asked = df.withColumn("_at", depth)
-        return asked.join(there, (F.col(seq) == F.col("_seq")) & (F.col("_at") == F.col("_depth")), "left").drop("_seq", "_depth", "_at")
+        # Rows that ask nothing ask for depths below zero, so that they do not meet in one task.
+        nowhere, asks = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)), F.col(seq).isNotNull() & depth.isNotNull()
+        asked = df.withColumns({"_of": F.when(asks, F.col(seq)).otherwise(nowhere), "_at": F.when(asks, depth).otherwise(nowhere)})
+        return asked.join(there, (F.col("_of") == F.col("_seq")) & (F.col("_at") == F.col("_depth")), "left").drop("_seq", "_depth", "_of", "_at")
 
 
 NODE = "key binary, low long, high long, rep long, first binary, parent binary, handle binary"
