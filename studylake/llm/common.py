@@ -67,7 +67,7 @@ def append(
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                made = [pa.array(values, type=kind) for values, kind in zip(work(batch), types)]
+                made = [values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind) for values, kind in zip(work(batch), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names=labels)
 
     return df.mapInArrow(run, StructType(kept + fields))

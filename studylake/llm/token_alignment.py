@@ -119,7 +119,7 @@ def aligner(raw_a: bytes, raw_b: bytes) -> Callable[[str | None], tuple]:
         """Indices of the last tokens of each group, in A and in B."""
         at_a = dict(zip(ends_a.tolist(), range(len(ends_a))))
         at_b = dict(zip(ends_b.tolist(), range(len(ends_b))))
-        common = sorted(at_a.keys() & at_b.keys())
+        common = list(filter(at_b.__contains__, at_a))  # sorted, as ends ascend
         return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
 
     def links(ends_a: np.ndarray, ends_b: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,16 +231,18 @@ def scored(aligned: DataFrame, size_b: int, hot: int = HOT_PAIRS) -> DataFrame:
     def make():
         keys, n, best = shared.value
 
-        def look(pairs: list[int], times: list[int]) -> tuple:
-            p, t = np.array(pairs, np.int64), np.array(times, np.int64)
+        def work(batch: pa.RecordBatch) -> list[list]:
+            # All rows of a batch at once, from the lists' flat values; sums of a row are differences of running sums.
+            pairs, times = batch.column("pairs"), batch.column("times")
+            ends = np.cumsum(np.concatenate(([0], pairs.value_lengths().to_numpy())))
+            p, t = pairs.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
             at = np.minimum(np.searchsorted(keys, p), max(len(keys) - 1, 0))
             known = keys[at] == p if len(keys) else np.zeros(len(p), bool)
-            at, seen = at[known], t[known]
-            return int(seen @ best[at]), int(seen @ n[at]), p[~known], t[~known]
-
-        def work(batch: pa.RecordBatch) -> list[list]:
-            rows = [look(*r) for r in zip(batch.column("pairs").to_pylist(), batch.column("times").to_pylist())]
-            return [list(column) for column in zip(*rows)]
+            seen = np.where(known, t, 0)
+            sums = [np.concatenate(([0], np.cumsum(seen * (of[at] if len(keys) else 0))))[ends] for of in (best, n)]
+            cut = np.concatenate(([0], np.cumsum(~known)))[ends].astype(np.int32)
+            rare = [pa.ListArray.from_arrays(cut, pa.array(v[~known])) for v in (p, t.astype(np.int32))]
+            return [np.diff(sums[0]), np.diff(sums[1]), *rare]
 
         return work
 
