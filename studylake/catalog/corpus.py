@@ -1,5 +1,8 @@
 """Intake, chunking, dedup, curriculum."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylake.catalog import query
@@ -32,12 +35,47 @@ def _(spark, sf):
     return readers.read_answers(view(spark, sf, "quiz_raw"))[1].select("answer_id", "learner_id", "reason")
 
 
-@query("a02_explode_learner_docs", oracle(["answers"], f""", {C_CTE} SELECT CAST(learner_id AS VARCHAR) AS learner_id, kp_id, level, total, correct, partial, wrong FROM m"""))
+_DUE_DAYS = "CASE WHEN level < 0.3 THEN 1 WHEN level < 0.6 THEN 3 WHEN level < 0.8 THEN 7 WHEN level < 0.9 THEN 14 ELSE 30 END"
+
+
+# All four tables of the documents, one under the other.
+@query(
+    "a02_explode_learner_docs",
+    oracle(["answers"], f""", {C_CTE}, ld AS (SELECT learner_id, kp_id, max(day) AS d FROM answers GROUP BY 1, 2)
+      SELECT 'mastery' AS name, CAST(learner_id AS VARCHAR) AS learner_id, kp_id AS key, total, correct, partial, wrong, level, NULL AS detail FROM m
+      UNION ALL SELECT 'daily', CAST(learner_id AS VARCHAR), CAST(day AS VARCHAR), count(*), count(*) FILTER (score >= 1), count(*) FILTER (score > 0 AND score < 1),
+        count(*) FILTER (score <= 0), NULL, coalesce(string_agg(DISTINCT kp_id, ',' ORDER BY kp_id) FILTER (score <= 0), '') FROM answers GROUP BY learner_id, day
+      UNION ALL SELECT 'wrong_answers', CAST(learner_id AS VARCHAR), kp_id, 0, 0, 0, 0, NULL, concat(question, ' ', CAST(epoch_us(ts) // 1000 AS VARCHAR)) FROM answers WHERE score < 0.5
+      UNION ALL SELECT 'reviews', CAST(learner_id AS VARCHAR), kp_id, 0, 0, 0, 0, NULL, CAST(d + ({_DUE_DAYS}) AS VARCHAR) FROM m JOIN ld USING (learner_id, kp_id)"""),
+)
 def _(spark, sf):
-    entry = F.struct("kp_id", F.struct("level", "total", "correct", "partial", "wrong"))
-    doc = F.to_json(F.struct(F.col("learner_id").cast("string").alias("learner_id"), F.col("mastery")))
-    stored = levels(spark, sf).groupBy("learner_id").agg(F.map_from_entries(F.collect_list(entry)).alias("mastery")).select(doc.alias("doc"))
-    return readers.explode_learner_docs(stored)["mastery"]
+    a = answers(spark, sf)
+    as_map = lambda df, key, *value: df.groupBy("learner_id").agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct(*value) if len(value) > 1 else value[0]))).alias("v"))
+    counts = ("total", "correct", "partial", "wrong")
+    parts = {
+        "mastery": as_map(levels(spark, sf), "kp_id", "level", *counts),
+        "daily_stats": as_map(M.daily_stats(a).withColumn("day", F.col("day").cast("string")), "day", *counts, "weak_points"),
+        "wrong_answers": a.filter("score < 0.5").groupBy("learner_id").agg(
+            F.collect_list(F.struct("kp_id", "question", (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("ts"))).alias("v")
+        ),
+        "review_schedule": as_map(M.review_schedule(a).withColumn("due", F.col("due").cast("string")), "kp_id", "due"),
+    }
+    whole = None
+    for name, part in parts.items():
+        part = part.withColumnRenamed("v", name)
+        whole = part if whole is None else whole.join(part, "learner_id", "full")
+    stored = whole.select(F.to_json(F.struct(F.col("learner_id").cast("string").alias("learner_id"), *parts)).alias("doc"))
+    tables = readers.explode_learner_docs(stored)
+    none = [F.lit(0).cast("long").alias(c) for c in counts]
+    level = F.lit(None).cast("double").alias("level")
+    wrong = F.concat_ws(" ", "question", F.round(F.col("ts") * 1000).cast("long").cast("string"))
+    shown = [
+        tables["mastery"].select(F.lit("mastery").alias("name"), "learner_id", F.col("kp_id").alias("key"), *counts, "level", F.lit(None).cast("string").alias("detail")),
+        tables["daily"].select(F.lit("daily").alias("name"), "learner_id", F.col("day").cast("string").alias("key"), *counts, level, F.array_join("weak_points", ",").alias("detail")),
+        tables["wrong_answers"].select(F.lit("wrong_answers").alias("name"), "learner_id", F.col("kp_id").alias("key"), *none, level, wrong.alias("detail")),
+        tables["reviews"].select(F.lit("reviews").alias("name"), "learner_id", F.col("kp_id").alias("key"), *none, level, F.col("due").cast("string").alias("detail")),
+    ]
+    return functools.reduce(DataFrame.unionByName, shown)
 
 
 def trees(spark, sf):
@@ -423,7 +461,10 @@ def _(spark, sf):
 
 @query("c02_knowledge_graph_edges", KP_EDGES_ORACLE)
 def _(spark, sf):
-    return kp_edges(spark, sf)
+    part = load(spark, sf, "part").select(F.col("p_partkey").alias("kp_id"))
+    pre = F.array_append(F.array(F.expr("kp_id div 2")), F.when(F.expr("kp_id % 3 = 1"), F.col("kp_id") - 1))
+    kps = part.withColumn("prerequisites", F.when(F.col("kp_id") > 0, F.array_compact(pre)))
+    return U.knowledge_edges(kps).select(F.col("pre").alias("pre_kp"), "kp")
 
 
 _BK = """bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY ts DESC, answer_id DESC) AS rn

@@ -22,7 +22,8 @@ def now(at: str = NOW):
 _LIVE = f"status IN ('pending', 'active') AND TIMESTAMP '{NOW}' <= expires_at"
 
 
-ORACLE_GUARDS = oracle(["create_attempts"], """RECURSIVE, n AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY at_s, attempt_id) AS rn
+def guards_oracle(judged: str = "TRUE") -> str:
+    return oracle(["create_attempts"], """RECURSIVE, n AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY at_s, attempt_id) AS rn
         FROM create_attempts),
       f AS (SELECT DISTINCT learner_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(a BIGINT, t VARCHAR, s VARCHAR)[]) AS acc,
           CAST(-1000000 AS BIGINT) AS last, FALSE AS ok, CAST(-1 AS BIGINT) AS attempt_id FROM create_attempts
@@ -34,10 +35,10 @@ ORACLE_GUARDS = oracle(["create_attempts"], """RECURSIVE, n AS (SELECT *, row_nu
             n.at_s - f.last >= 30 AND len(list_filter(f.acc, lambda x: n.at_s - x.a <= 2000)) < 5
               AND len(list_filter(f.acc, lambda x: n.at_s - x.a <= 2000 AND x.t = n.title AND x.s = n.source AND n.at_s - x.a < 300)) = 0 AS ok
           FROM f JOIN n ON n.learner_id = f.learner_id AND n.rn = f.rn + 1) z)
-      SELECT c.attempt_id, c.learner_id, c.at_s, c.title, c.source FROM f JOIN create_attempts c USING (attempt_id) WHERE f.ok""")
+      SELECT c.attempt_id, c.learner_id, c.at_s, c.title, c.source FROM f JOIN create_attempts c USING (attempt_id) WHERE f.ok AND """ + judged)
 
 
-@query("w16_guarded_sessions", ORACLE_GUARDS)
+@query("w16_guarded_sessions", guards_oracle())
 def _(spark, sf):
     return S.guarded_sessions(view(spark, sf, "create_attempts"), ttl_s=2000).select(
         "attempt_id", "learner_id", "at_s", "title", "source"

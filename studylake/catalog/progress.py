@@ -177,26 +177,34 @@ def _(spark, sf):
     return _show(P.recent_of(P.answer_history(answers(spark, sf)), 20))
 
 
-ORACLE_PRACTICE = oracle(["answers"], "RECURSIVE" + f""", ms AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY ts, answer_id) AS no
+def before_watermark(delay_s: int) -> str:
+    """What a stream of answers has judged when it is drained: the rows up to the last watermark."""
+    return f"epoch_us(ts) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 FROM answers) - {delay_s * 1000}"
+
+
+def practice_oracle(judged: str = "TRUE") -> str:
+    return oracle(["answers"], "RECURSIVE" + f""", ms AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY ts, answer_id) AS no
     FROM answers WHERE score < 0.5),
   pv AS (SELECT *, lag(no) OVER (PARTITION BY learner_id, kp_id ORDER BY ts, answer_id) AS prev,
     CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM ms),
-  rd AS (SELECT * FROM pv WHERE no - prev < 50), """ + greedy("rd", "learner_id, kp_id", "at_s", "answer_id", 21600))
+  rd AS (SELECT * FROM pv WHERE prev IS NOT NULL AND {judged}), """ + greedy("rd", "learner_id, kp_id", "at_s", "answer_id", 21600))
+
 
-ORACLE_EXAM = oracle(["answers"], "RECURSIVE" + f""", {RUNNING},
+def exam_oracle(judged: str = "TRUE") -> str:
+    return oracle(["answers"], "RECURSIVE" + f""", {RUNNING},
   ch AS (SELECT answer_id, learner_id, ts, split_part(kp_id, '/', 1) AS subject, CAST(level < 0.6 AS INT)
     - coalesce(CAST(level_before < 0.6 AS INT), 0) AS d FROM r),
   wk AS (SELECT *, sum(d) OVER (PARTITION BY learner_id, subject ORDER BY ts, answer_id ROWS UNBOUNDED PRECEDING) AS weak,
     CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM ch),
-  rd AS (SELECT * FROM wk WHERE weak >= 3), """ + greedy("rd", "learner_id", "at_s", "answer_id", 86400))
+  rd AS (SELECT * FROM wk WHERE weak >= 3 AND {judged}), """ + greedy("rd", "learner_id", "at_s", "answer_id", 86400))
 
 
-@query("w09_practice_trigger", ORACLE_PRACTICE)
+@query("w09_practice_trigger", practice_oracle())
 def _(spark, sf):
     return P.practice_trigger(answers(spark, sf))
 
 
-@query("w10_exam_trigger", ORACLE_EXAM)
+@query("w10_exam_trigger", exam_oracle())
 def _(spark, sf):
     return P.exam_trigger(answers(spark, sf))
 

@@ -1,7 +1,6 @@
 """Report texts, scheduled notifications and the ingest job."""
 
-from datetime import datetime
-
+from datetime import datetime, timezone
 
 from studylake.catalog import query
 from studylake.catalog.corpus import PACK, registered
@@ -11,7 +10,9 @@ from studylake.functions import rules as R
 from studylake.functions.rounding import ratio2_oracle
 from studylake.plans import ingest as J
 from studylake.plans import reports as RP
+from studylake.sources.sinks import read_notifications, write_notifications
 from studylake.sources.tables import AS_OF, oracle
+from studylake.streaming.runs import scratch
 
 _NL = "chr(10)"
 
@@ -33,7 +34,8 @@ def _join(*parts: str) -> str:
     return "concat_ws(chr(10), " + ", ".join(parts) + ")"
 
 
-_WEEK = f"""{_rows_sql(7)},
+def _week(as_of: str) -> str:
+    return f"""{_rows_sql(7, as_of)},
   d AS (SELECT learner_id, string_agg(concat('  ', CASE WHEN a >= 80 THEN '✅' WHEN a >= 60 THEN '📖' ELSE '⚠️' END, ' ', strftime(day, '%m-%d'), ': ',
     CAST(t AS VARCHAR), '题 ', CAST(a AS VARCHAR), '%'), {_NL} ORDER BY day) AS lines FROM dy GROUP BY 1),
   k AS (SELECT learner_id, string_agg(concat('  • ', kp_id, ' (掌握度 ', CAST(lv AS VARCHAR), '%)'), {_NL} ORDER BY kp_id) AS lines FROM wl GROUP BY 1)
@@ -45,7 +47,7 @@ _WEEK = f"""{_rows_sql(7)},
   FROM pc JOIN d USING (learner_id) LEFT JOIN k USING (learner_id) LEFT JOIN wr USING (learner_id)"""
 
 
-@query("h24_report_text_weekly", oracle(["answers"], ", " + _WEEK))
+@query("h24_report_text_weekly", oracle(["answers"], ", " + _week(AS_OF)))
 def _(spark, sf):
     return RP.report_text(answers(spark, sf), "weekly", AS_OF)
 
@@ -69,36 +71,54 @@ def _(spark, sf):
     return RP.report_text(answers(spark, sf), "monthly", AS_OF)
 
 
-_DAY = f"""{_rows_sql(1)}, k AS (SELECT learner_id, count(*) AS n FROM wl GROUP BY 1)
-  SELECT pc.learner_id, {_join(f"'📚 学习日报 ({AS_OF})'", f"'{'─' * 20}'", "concat('累计答题: ', CAST(total AS VARCHAR), ' 题')", "concat('正确率: ', CAST(percent AS VARCHAR), '%')",
+def _day(as_of: str) -> str:
+    """As the parents' weekly text, of a day and the day before."""
+    return f"""{_rows_sql(1, as_of)}, k AS (SELECT learner_id, count(*) AS n FROM wl GROUP BY 1)
+  SELECT pc.learner_id, {_join(f"'📚 学习日报 ({as_of})'", f"'{'─' * 20}'", "concat('累计答题: ', CAST(total AS VARCHAR), ' 题')", "concat('正确率: ', CAST(percent AS VARCHAR), '%')",
     "concat('知识点覆盖: ', CAST(kps AS VARCHAR), ' 个')", "concat('薄弱点: ', CAST(coalesce(k.n, 0) AS VARCHAR), ' 个')",
     "CASE WHEN wrong > 0 THEN concat_ws(chr(10), concat('今日错题: ', CAST(wrong AS VARCHAR), ' 道'), '', '📝 今日错题:', wr.lines) END", "''", "'💪 继续加油！'")} AS content
   FROM pc JOIN mc USING (learner_id) LEFT JOIN k USING (learner_id) LEFT JOIN wr USING (learner_id)"""
 
 
-@query("h24_report_text_daily", oracle(["answers"], ", " + _DAY))
+@query("h24_report_text_daily", oracle(["answers"], ", " + _day(AS_OF)))
 def _(spark, sf):
     return RP.report_text(answers(spark, sf), "daily", AS_OF)
 
 
-_NOW = datetime(2024, 1, 29, 21, 0)
-_ID = "sha256(concat_ws('/', CAST(learner_id AS VARCHAR), report_type, period, 'parent'))"
-_DUE = f"""du AS (SELECT learner_id, 'daily' AS report_type, '2024-01-29' AS period FROM answers WHERE day BETWEEN DATE '2024-01-28' AND DATE '2024-01-29' GROUP BY 1
-    UNION ALL SELECT learner_id, 'weekly', '2024-W05' FROM answers WHERE day BETWEEN DATE '2024-01-22' AND DATE '2024-01-29' GROUP BY 1),
-  nt AS (SELECT {_ID} AS notification_id, learner_id, report_type, period, 'parent' AS target FROM du)"""
+# 21:00 in the report zone, a Monday.
+_NOW = datetime(2024, 1, 29, 13, 0, tzinfo=timezone.utc)
+
+
+def _due(kinds: str) -> str:
+    """Notifications with their texts: each text is a query of its own with the names of the others."""
+    one = lambda name, body: f"{name} AS (WITH {body})"
+    ident = "sha256(concat_ws('/', CAST(learner_id AS VARCHAR), report_type, period, target))"
+    return f""", {one("dtx", _day("2024-01-29"))}, {one("wtx", _week("2024-01-29"))},
+      etx AS (WITH {C_CTE}, s AS (SELECT learner_id, split_part(kp_id, '/', 1) AS subject, count(*) AS n FROM m WHERE level < 0.6 GROUP BY 1, 2),
+        r AS (SELECT *, sum(n) OVER (PARTITION BY learner_id) AS whole, row_number() OVER (PARTITION BY learner_id ORDER BY n DESC, subject) AS rn FROM s)
+        SELECT learner_id, concat('📝 强化训练', chr(10), '{'─' * 20}', chr(10), '覆盖 ', CAST(n AS VARCHAR), ' 个薄弱知识点，共 10 道题') AS content FROM r WHERE rn = 1 AND whole >= 3),
+      al AS (SELECT learner_id, 'daily' AS report_type, '2024-01-29' AS period, 'parent' AS target, content FROM dtx
+        UNION ALL SELECT learner_id, 'weekly', '2024-W05', 'parent', content FROM wtx UNION ALL SELECT learner_id, 'exam', '2024-01-29', 'child', content FROM etx)
+      SELECT {ident} AS notification_id, learner_id, report_type, period, target, content FROM al WHERE report_type IN ({kinds})"""
+
+
+_SHOWN = ["notification_id", "learner_id", "report_type", "period", "target", "content"]
 
 
-@query("a07_write_notifications", oracle(["answers"], f", {_DUE} SELECT * FROM nt"))
+@query("a07_write_notifications", oracle(["answers"], _due("'daily', 'weekly', 'exam'")))
 def _(spark, sf):
-    return RP.scheduled_reports(answers(spark, sf), _NOW).select("notification_id", "learner_id", "report_type", "period", "target")
+    """Written twice, as by a job that is run again."""
+    due, path = RP.scheduled_reports(answers(spark, sf), _NOW), scratch(spark, "notifications")
+    for _ in range(2):
+        write_notifications(due, path)
+    return read_notifications(spark, path).select(_SHOWN)
 
 
-@query("s10_scheduled_reports", oracle(["answers"], f", {_DUE} SELECT * FROM nt WHERE report_type <> 'daily'"))
+@query("s10_scheduled_reports", oracle(["answers"], _due("'weekly', 'exam'")))
 def _(spark, sf):
     a = answers(spark, sf)
-    due = RP.scheduled_reports(a, _NOW)
-    sent = due.filter("report_type = 'daily'").select("notification_id")
-    return RP.scheduled_reports(a, _NOW, sent).select("notification_id", "learner_id", "report_type", "period", "target")
+    sent = RP.scheduled_reports(a, _NOW).filter("report_type = 'daily'").select("notification_id")
+    return RP.scheduled_reports(a, _NOW, sent).select(_SHOWN)
 
 
 _KEPT_CHUNKS = PACK.replace("FROM documents", "FROM kept").replace("JOIN documents d", "JOIN kept d").replace(

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from studylake.catalog import query
 from studylake.catalog.mastery import C_CTE, COUNTS
-from studylake.catalog.ops import ORACLE_GUARDS
-from studylake.catalog.progress import ORACLE_EXAM, ORACLE_PRACTICE, greedy
+from studylake.catalog.ops import guards_oracle
+from studylake.catalog.progress import before_watermark, exam_oracle, greedy, practice_oracle
 from studylake.streaming import aggregates as A
 from studylake.streaming import stateful as S
 from studylake.streaming.runs import drain, latest, scratch, view_stream
@@ -20,8 +20,8 @@ _DUE = "CASE WHEN level < 0.3 THEN 1 WHEN level < 0.6 THEN 3 WHEN level < 0.8 TH
       SELECT m.*, CAST(d + ({_DUE}) AS VARCHAR) AS due FROM m JOIN ld USING (learner_id, kp_id)"""),
 )
 def _(spark, sf):
-    emitted = drain(A.stream_mastery(view_stream(spark, sf, "answers")), "mastery", "update")
-    return latest(emitted, ["learner_id", "kp_id"]).withColumn("due", F.col("due").cast("string"))
+    store = A.sync_mastery(view_stream(spark, sf, "answers"), scratch(spark, "mastery"), scratch(spark, "mastery-checkpoint"), buckets=8)
+    return store.read().withColumn("due", F.col("due").cast("string"))
 
 
 @query("s02_stream_daily", oracle(["answers"], f"SELECT learner_id, CAST(day AS VARCHAR) AS day, {COUNTS} FROM answers GROUP BY learner_id, day"))
@@ -43,7 +43,7 @@ def _(spark, sf):
     return emitted.select("learner_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "answers", "score")
 
 
-@query("s04_stream_dedup", oracle(["uploads"], "RECURSIVE, " + greedy("uploads", "learner_id, file_hash", "at_s", "upload_id", 1800)))
+@query("s04_stream_dedup", oracle(["uploads"], "RECURSIVE, up AS (SELECT * FROM uploads WHERE at_s <= (SELECT max(at_s) FROM uploads) - 600), " + greedy("up", "learner_id, file_hash", "at_s", "upload_id", 1800)))
 def _(spark, sf):
     return drain(S.stream_dedup(view_stream(spark, sf, "uploads")), "dedup", "append").drop("batch")
 
@@ -59,6 +59,16 @@ def _(spark, sf):
     return spark.read.parquet(out).drop("batch")
 
 
+@query(
+    "s05_quiz_sync_counters",
+    oracle(["quiz_raw"], """SELECT count(DISTINCT answer_id) FILTER (kp_id <> '' OR domain <> '') AS synced, count(*) FILTER (kp_id = '' AND domain = '') AS errors
+      FROM quiz_raw"""),
+)
+def _(spark, sf):
+    runs = A.sync_quiz_batches(view_stream(spark, sf, "quiz_raw"), scratch(spark, "quiz"), scratch(spark, "quiz-checkpoint"))
+    return spark.createDataFrame(runs, "batch long, synced long, errors long").agg(F.sum("synced").alias("synced"), F.sum("errors").alias("errors"))
+
+
 @query(
     "s06_stream_orphans",
     oracle(["ingest_stages"], """, l AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC, event_id DESC) AS rn FROM ingest_stages)
@@ -106,18 +116,18 @@ def _(spark, sf):
     return drain(A.stream_alerts(view_stream(spark, sf, "telemetry")), "alerts", "append").drop("batch", "ts")
 
 
-@query("s11_stream_practice", ORACLE_PRACTICE)
+@query("s11_stream_practice", practice_oracle(before_watermark(3600)))
 def _(spark, sf):
     fired = drain(S.stream_triggers(view_stream(spark, sf, "answers")), "triggers", "append")
     return fired.filter("trigger = 'practice'").select("learner_id", F.col("target").alias("kp_id"), "at_s", "answer_id")
 
 
-@query("s11_stream_exam", ORACLE_EXAM)
+@query("s11_stream_exam", exam_oracle(before_watermark(3600)))
 def _(spark, sf):
     fired = drain(S.stream_triggers(view_stream(spark, sf, "answers")), "triggers", "append")
     return fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")
 
 
-@query("s13_stream_guarded_sessions", ORACLE_GUARDS)
+@query("s13_stream_guarded_sessions", guards_oracle("c.at_s <= (SELECT max(at_s) FROM create_attempts) - 600"))
 def _(spark, sf):
     return drain(S.stream_guarded_sessions(view_stream(spark, sf, "create_attempts"), 2000), "guards", "append").drop("batch")

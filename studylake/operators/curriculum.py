@@ -36,6 +36,12 @@ def knowledge_graph(kps: DataFrame, levels: DataFrame) -> DataFrame:
     return nodes.join(levels, "kp_id", "left").na.fill(0, ["level", "total", "correct"])
 
 
+def knowledge_edges(kps: DataFrame) -> DataFrame:
+    """Each (pre, kp) of the points' prerequisites once; prerequisites that are no points of the graph are left out."""
+    edges = kps.select(F.explode("prerequisites").alias("pre"), F.col("kp_id").alias("kp")).distinct()
+    return edges.join(kps.select(F.col("kp_id").alias("pre")).distinct(), "pre", "left_semi")
+
+
 def weak_with_wrongs(weak: DataFrame, recent: DataFrame, weak_cap: int = 8, wrong_cap: int = 10) -> DataFrame:
     """Weakest points per learner and subject beside its newest misses in the same subject.
 

@@ -281,10 +281,10 @@ def _at_s(df: DataFrame) -> DataFrame:
 
 
 def practice_trigger(
-    answers: DataFrame, book: int = 50, throttle_s: int = 21600, consecutive: bool = False, hot_rows: int | None = None
+    answers: DataFrame, book: int | None = None, throttle_s: int = 21600, consecutive: bool = False, hot_rows: int | None = None
 ) -> DataFrame:
-    """Misses that start a practice set: the point already has a miss in the book, at most one
-    start per (learner, point) in ``throttle_s``.  ``consecutive`` asks for two answers in a row
+    """Misses that start a practice set: the point already has a miss in the book (the learner's last ``book`` misses;
+    by default all), at most one start per (learner, point) in ``throttle_s``.  ``consecutive`` asks for two answers in a row
     that were not right instead."""
 
     def in_a_row(df: DataFrame, scan: Scan) -> DataFrame:
@@ -296,9 +296,12 @@ def practice_trigger(
         return _by_learner(answers.select("answer_id", "learner_id", "kp_id", "ts", "score"), in_a_row, hot_rows)
 
     def body(df: DataFrame, scan: Scan) -> DataFrame:
-        df = scan(df, LEARNER, {"_no": ("count", _one())})
-        df = scan(df, LEARNER_KP, {"_prev": ("prev_max", F.col("_no"))})
-        ready = _at_s(df.filter(F.col("_no") - F.col("_prev") < book))
+        if book is None:
+            ready = _at_s(scan(df, LEARNER_KP, {"_n": ("count", _one())}).filter("_n > 1"))
+        else:
+            df = scan(df, LEARNER, {"_no": ("count", _one())})
+            df = scan(df, LEARNER_KP, {"_prev": ("prev_max", F.col("_no"))})
+            ready = _at_s(df.filter(F.col("_no") - F.col("_prev") < book))
         return throttle(ready, LEARNER_KP, "at_s", "answer_id", throttle_s, scan.sliced)
 
     missed = answers.filter(_missed()).select("answer_id", "learner_id", "kp_id", "ts")

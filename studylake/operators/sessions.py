@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +63,8 @@ def thin_attempts(attempts: DataFrame, max_pending: int = MAX_PENDING) -> DataFr
         "attempt_id", "learner_id", F.col("at_s").cast("long").alias("at_s"),
         guard_title(F.col("title")).alias("title"), "source",
     )
-    first = norm.groupBy("learner_id", "at_s", "title", "source").agg(F.min("attempt_id").alias("attempt_id"))
+    # An attempt without a time is never accepted.
+    first = norm.filter("at_s IS NOT NULL").groupBy("learner_id", "at_s", "title", "source").agg(F.min("attempt_id").alias("attempt_id"))
     # Untitled attempts are never blocked by title, so the first of them stands for all.
     order = Window.partitionBy("learner_id", "at_s").orderBy("attempt_id")
     return first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_pending + 1).drop("_rn")
@@ -75,19 +76,20 @@ def guarded_sessions(attempts: DataFrame, ttl_s: int = SESSION_TTL_S) -> DataFra
     Partitions are sorted by learner and time and streamed through one fold, so memory does not
     grow with a learner; the fold jumps over attempts made before the guards reopen.
     """
-    thin = thin_attempts(attempts).repartition("learner_id").sortWithinPartitions("learner_id", "at_s", "attempt_id")
+    # Learners are compared by their text in Spark and travel as Arrow values, so nulls and large numbers stay exact.
+    thin = thin_attempts(attempts).withColumn("_key", F.to_json(F.struct("learner_id")))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, state = None, GuardState(ttl_s)
-        for pdf in batches:
-            ids = pdf["learner_id"].to_numpy()
-            at = pdf["at_s"].to_numpy()
-            titles, sources = pdf["title"].tolist(), pdf["source"].tolist()
-            ends = np.append(np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)) if len(ids) else []
+        for batch in batches:
+            names = batch.column("_key").to_numpy(zero_copy_only=False)
+            at = batch.column("at_s").to_numpy()
+            titles, sources = batch.column("title").to_pylist(), batch.column("source").to_pylist()
+            ends = np.append(np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)) if len(names) else []
             taken, start = [], 0
             for end in ends:
-                if learner is None or ids[start] != learner:
-                    learner, state = ids[start], GuardState(ttl_s)
+                if names[start] != learner:
+                    learner, state = names[start], GuardState(ttl_s)
                 row = start
                 while row < end:
                     if state.offer(int(at[row]), titles[row], sources[row]):
@@ -97,9 +99,9 @@ def guarded_sessions(attempts: DataFrame, ttl_s: int = SESSION_TTL_S) -> DataFra
                     if free is not None and row < end and at[row] < free:
                         row += int(np.searchsorted(at[row:end], free))
                 start = end
-            yield pdf.iloc[taken]
+            yield batch.take(pa.array(taken, pa.int64()))
 
-    return thin.mapInPandas(fold, thin.schema)
+    return thin.repartition("_key").sortWithinPartitions("_key", "at_s", "attempt_id").mapInArrow(fold, thin.schema).drop("_key")
 
 
 def live(as_of: Column) -> Column:

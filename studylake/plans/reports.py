@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,12 +154,22 @@ def due_kinds(now_local) -> list[str]:
     return kinds
 
 
-def scheduled_reports(answers: DataFrame, now_local, sent: DataFrame | None = None) -> DataFrame:
-    """Notifications due now and not sent yet.
+#: Fixed value: weak points from which a learner is sent a drill exam.
+EXAM_WEAK = 3
+
+
+def exam_text(questions: int = 10) -> Column:
+    """Text of a drill exam for the learner; ``n`` weak points of a subject are covered."""
+    return _lines(F.lit("📝 强化训练"), F.lit("─" * 20), F.concat(F.lit("覆盖 "), _text(F.col("n")), F.lit(f" 个薄弱知识点，共 {questions} 道题")))
+
+
+def scheduled_reports(answers: DataFrame, now, sent: DataFrame | None = None, zone: str = ZONE) -> DataFrame:
+    """Notifications due now and not sent yet: reports to parents, and once a day drill exams to learners with enough weak points.
 
-    ``now_local`` is the job's clock in the report zone, ``sent`` the ids already written; a
-    second run in the same period adds nothing.
+    ``now`` is the job's clock: with a time zone it is turned into ``zone``, without one it is taken to be there. ``sent`` is
+    the ids already written; a second run in the same period adds nothing.
     """
+    now_local = now.astimezone(ZoneInfo(zone)) if now.tzinfo else now
     as_of = now_local.strftime("%Y-%m-%d")
     out = None
     for kind in due_kinds(now_local):
@@ -170,5 +182,7 @@ def scheduled_reports(answers: DataFrame, now_local, sent: DataFrame | None = No
         return answers.sparkSession.createDataFrame(
             [], "notification_id string, type string, learner_id long, report_type string, period string, content string, target string"
         )
-    out = notifications(out)
+    weak = M.dominant_weak_subject(M.weak_points(M.mastery(answers)), EXAM_WEAK)
+    exams = weak.select("learner_id", F.lit("exam").alias("report_type"), F.lit(as_of).alias("period"), exam_text().alias("content"))
+    out = notifications(out).unionByName(notifications(exams, "child"))
     return out if sent is None else out.join(sent.select("notification_id"), "notification_id", "left_anti")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylake.operators.corpus import new_chunks
@@ -28,6 +28,13 @@ def notifications(reports: DataFrame, target: str = "parent") -> DataFrame:
     )
 
 
+NOTIFICATION = "notification_id string, type string, learner_id long, report_type string, period string, content string, target string"
+
+
+def read_notifications(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NOTIFICATION).json(path)
+
+
 def write_notifications(rows: DataFrame, path: str) -> None:
     """JSON files by target; ids already written are left out."""
     spark = rows.sparkSession

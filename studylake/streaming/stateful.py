@@ -1,8 +1,10 @@
 """Streams with state of their own per key, on ``transformWithStateInPandas``.
 
-Each processor keeps a small, bounded state.  Rows of a key within a micro-batch are put in event
-order first; how many there can be is bounded by the source's admission limit
-(``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``).
+Throttles, triggers and session guards depend on the order of events. Their rows wait in the state until the watermark has passed
+them and are then handed over in event order, so files may come in any order within ``delay``; what comes later than that is
+dropped by the watermark and counted in the query's progress. A timer per key fires at its earliest waiting row, or
+when what the key remembers cannot matter any more and is cleared. Keys, rows and results travel as JSON, so nulls and large
+numbers stay exact. A key's rows of one ``delay`` are in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,40 +25,120 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by)
 
 
-class ThrottleProcessor(StatefulProcessor):
-    """Accept an event when ``gap`` has passed since the last accepted one of the key."""
+class OrderedProcessor(StatefulProcessor):
+    """Holds rows back until the watermark has passed them; ``steps`` says what happens then."""
 
-    def __init__(self, keys: list[str], at: str, event_id: str, gap: int):
-        self.keys, self.at, self.event_id, self.gap = keys, at, event_id, gap
+    def __init__(self, steps: Steps):
+        self.steps = steps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, doc string")
+        self.known = handle.getValueState("known", "doc string")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, at: int | None) -> None:
+        """Let the key's only timer fire at ``at``."""
+        if self.timer.exists():
+            if self.timer.get()[0] == at:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, [self.at, self.event_id])
-        last = self.last.get()[0] if self.last.exists() else None
-        taken = []
-        for i, at in enumerate(pdf[self.at].tolist()):
-            if last is None or at - last >= self.gap:
-                taken.append(i)
-                last = at
-        self.last.update((last,))
-        yield pdf.iloc[taken][[*self.keys, self.at, self.event_id]]
+        new = [(int(ms), doc) for pdf in rows for ms, doc in zip(pdf["event_ms"].tolist(), pdf["event_doc"].tolist())]
+        self.waiting.appendList(new)
+        first = min(ms for ms, _ in new)
+        # A wake-up for clearing gives way to one for rows; the next is set from all there is.
+        self._wake(min(first, self.timer.get()[0]) if self.timer.exists() else first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.waiting.get()]
+        due, later = [r for r in rows if r[0] <= mark], [r for r in rows if r[0] > mark]
+        state = json.loads(self.known.get()[0]) if self.known.exists() else None
+        out: list[dict] = []
+        if due:
+            parsed = sorted((self.steps.place(doc), i, doc) for i, doc in enumerate(json.loads(d) for _, d in due))
+            state = self.steps.take(json.loads(key[0]), state, [doc for *_, doc in parsed], out)
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        until = self.steps.until(state) if state is not None else None
+        if until is not None and until <= mark and not later:
+            self.known.clear()
+            until = None
+        elif due:
+            self.known.update((json.dumps(state),))
+        self._wake(min(later)[0] if later else until)
+        yield pd.DataFrame({"event_doc": pd.Series([json.dumps(o) for o in out], dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-def stream_throttle(events: DataFrame, keys: list[str], at: str, event_id: str, gap: int) -> DataFrame:
-    """Streaming twin of ``throttle``: upload dedup and trigger cooldowns."""
+class Steps:
+    """What is done with the rows of a key, in order."""
+
+    def place(self, row: dict) -> tuple:
+        """The place of a row among those of its key."""
+        raise NotImplementedError
+
+    def take(self, key: dict, state, rows: list[dict], out: list[dict]):
+        """The state after ``rows``; results go to ``out``."""
+        raise NotImplementedError
+
+    def until(self, state) -> int | None:
+        """Event time in ms after which ``state`` is as good as none; None: never."""
+        return None
+
+
+def in_order(events: DataFrame, keys: list[str], at: Column, row: list[str], steps: Steps, result: str, delay: str) -> DataFrame:
+    """``result`` rows of ``steps`` over the rows of each key, in event order up to the watermark."""
     use_rocksdb(events.sparkSession)
-    rows = events.select(*keys, F.col(at).cast("long").alias(at), event_id)
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        ThrottleProcessor(keys, at, event_id, gap), rows.schema, "Append", "None"
-    )
+    # A first watermark is 0, and what is not after it is late: one millisecond more keeps an event of second 0 of a clock.
+    at = at + F.expr("INTERVAL 1 MILLISECOND")
+    rows = events.select(
+        F.to_json(F.struct(*keys)).alias("event_key"), at.alias("event_ts"), F.unix_millis(at).alias("event_ms"), F.to_json(F.struct(*row)).alias("event_doc")
+    ).filter("event_ts IS NOT NULL").withWatermark("event_ts", delay)
+    out = rows.groupBy("event_key").transformWithStateInPandas(OrderedProcessor(steps), "event_doc string", "Append", "EventTime")
+    return out.select(F.from_json("event_doc", result).alias("r")).select("r.*")
+
+
+class Throttle(Steps):
+    """Accept an event when ``gap`` seconds have passed since the last accepted one of the key; forgotten ``gap`` after it."""
+
+    def __init__(self, at: str, event_id: str, gap: int):
+        self.at, self.event_id, self.gap = at, event_id, gap
+
+    def place(self, row: dict) -> tuple:
+        return row[self.at], row[self.event_id]
+
+    def take(self, key, state, rows, out):
+        for row in rows:
+            if state is None or row[self.at] - state >= self.gap:
+                state = row[self.at]
+                out.append({**key, self.at: state, self.event_id: row[self.event_id]})
+        return state
+
+    def until(self, state) -> int | None:
+        return (state + self.gap) * 1000
+
+
+def stream_throttle(events: DataFrame, keys: list[str], at: str, event_id: str, gap: int, delay: str = "10 minutes") -> DataFrame:
+    """Streaming twin of ``throttle``: upload dedup and trigger cooldowns."""
+    cols = [*keys, at, event_id]
+    result = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in cols)
+    return in_order(events, keys, F.timestamp_seconds(F.col(at)), [at, event_id], Throttle(at, event_id, gap), result, delay)
 
 
-def stream_dedup(uploads: DataFrame, ttl_s: int = 1800, approx: bool = False) -> DataFrame:
+def stream_dedup(uploads: DataFrame, ttl_s: int = 1800, approx: bool = False, delay: str = "10 minutes") -> DataFrame:
     """Drop repeats of (file, learner) within the TTL of the last processed one.
 
     ``approx`` uses the built-in watermark dedup, which may hold a key longer than the TTL.
@@ -65,69 +147,67 @@ def stream_dedup(uploads: DataFrame, ttl_s: int = 1800, approx: bool = False) ->
     if approx:
         timed = uploads.withColumn("event_time", F.timestamp_seconds("at_s")).withWatermark("event_time", f"{ttl_s} seconds")
         return timed.dropDuplicatesWithinWatermark(keys).drop("event_time")
-    return stream_throttle(uploads, keys, "at_s", "upload_id", ttl_s)
+    return stream_throttle(uploads, keys, "at_s", "upload_id", ttl_s, delay)
 
 
-class TriggerProcessor(StatefulProcessor):
+class Triggers(Steps):
     """Practice and exam triggers of one learner.
 
-    State: the points of the last ``book`` misses, counts per point, and the last firing times.
+    State: counts and missed answers of each point, weak points of each subject, the last firing times, and the points of the last
+    ``book`` misses where the book is bounded. An answer changes one point and the count of its subject.
     """
 
-    def __init__(self, book: int = 50, practice_gap: int = 21600, exam_gap: int = 86400, weak_needed: int = 3):
+    def __init__(self, book: int | None = None, practice_gap: int = 21600, exam_gap: int = 86400, weak_needed: int = 3):
         self.book, self.practice_gap, self.exam_gap, self.weak_needed = book, practice_gap, exam_gap, weak_needed
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("learner", "doc string")
+    def place(self, row: dict) -> tuple:
+        return row["us"], row["answer_id"]
 
     @staticmethod
-    def _weak(counts: list[int]) -> bool:
-        total, right, half = counts
-        return round((right + 0.5 * half) / total, 2) < 0.6
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["ts", "answer_id"])
-        doc = json.loads(self.state.get()[0]) if self.state.exists() else {"misses": [], "counts": {}, "fired": {}}
-        misses, counts, fired = doc["misses"], doc["counts"], doc["fired"]
-        out = []
-
-        def fire(kind: str, target: str, gap: int, at: int, answer: int) -> None:
-            slot = f"{kind}|{target}"
-            if slot not in fired or at - fired[slot] >= gap:
-                fired[slot] = at
-                out.append((key[0], kind, target, at, answer))
-
-        for answer, kp, score, at in zip(pdf["answer_id"], pdf["kp_id"], pdf["score"], pdf["at_s"]):
-            at, answer = int(at), int(answer)
-            c = counts.setdefault(kp, [0, 0, 0])
-            c[0] += 1
-            c[1] += score >= 1
-            c[2] += 0 < score < 1
-            if score < 0.5:
-                if kp in misses[-(self.book - 1):]:
-                    fire("practice", kp, self.practice_gap, at, answer)
-                misses.append(kp)
-                del misses[: -self.book]
-            subject = kp.split("/")[0]
-            weak = sum(1 for k, v in counts.items() if k.split("/")[0] == subject and self._weak(v))
-            if weak >= self.weak_needed:
-                fire("exam", "", self.exam_gap, at, answer)
-        self.state.update((json.dumps({"misses": misses, "counts": {k: [int(x) for x in v] for k, v in counts.items()}, "fired": fired}),))
-        yield pd.DataFrame(out, columns=["learner_id", "trigger", "target", "at_s", "answer_id"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_triggers(answers: DataFrame, **limits: int) -> DataFrame:
+    def _weak(point: list[int]) -> bool:
+        total, right, half, _ = point
+        return bool(total) and round((right + 0.5 * half) / total, 2) < 0.6
+
+    def take(self, key, state, rows, out):
+        state = state or {"points": {}, "weak": {}, "fired": {}, "misses": []}
+        points, weak, fired, misses = (state[n] for n in ("points", "weak", "fired", "misses"))
+
+        def fire(kind: str, target: str | None, slot: str, gap: int, row: dict) -> None:
+            if slot not in fired or row["at_s"] - fired[slot] >= gap:
+                fired[slot] = row["at_s"]
+                out.append({**key, "trigger": kind, "target": target, "at_s": row["at_s"], "answer_id": row["answer_id"]})
+
+        for row in rows:
+            kp, score = row.get("kp_id"), row.get("score")
+            # A missing point is a point like any other, of no subject.
+            name, subject = ("n", "n") if kp is None else (f"p{kp}", f"p{kp.split('/')[0]}")
+            point = points.setdefault(name, [0, 0, 0, 0])
+            before = self._weak(point)
+            point[0] += 1
+            if score is not None:
+                point[1] += score >= 1
+                point[2] += 0 < score < 1
+            if score is not None and score < 0.5:
+                again = point[3] > 0 if self.book is None else name in misses[-(self.book - 1):] and self.book > 1
+                if again:
+                    fire("practice", kp, f"practice|{name}", self.practice_gap, row)
+                point[3] += 1
+                if self.book is not None:
+                    misses.append(name)
+                    del misses[: -self.book]
+            weak[subject] = weak.get(subject, 0) + self._weak(point) - before
+            if weak[subject] >= self.weak_needed:
+                fire("exam", None, "exam", self.exam_gap, row)
+        return state
+
+
+def stream_triggers(answers: DataFrame, delay: str = "1 hour", **limits: int | None) -> DataFrame:
     """Practice sets and drill exams started by a stream of answers."""
-    use_rocksdb(answers.sparkSession)
-    rows = answers.select(
-        "learner_id", "answer_id", "kp_id", "score", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s")
-    )
-    return rows.groupBy("learner_id").transformWithStateInPandas(
-        TriggerProcessor(**limits), "learner_id long, trigger string, target string, at_s long, answer_id long", "Append", "None"
-    )
+    ts = F.col("ts").cast("timestamp")
+    rows = answers.select("learner_id", "answer_id", "kp_id", "score", "ts", F.unix_seconds(ts).alias("at_s"), F.unix_micros(ts).alias("us"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("learner_id", "answer_id")}
+    result = f"learner_id {kinds['learner_id']}, trigger string, target string, at_s long, answer_id {kinds['answer_id']}"
+    return in_order(rows, ["learner_id"], ts, ["answer_id", "kp_id", "score", "at_s", "us"], Triggers(**limits), result, delay)
 
 
 class OutageProcessor(StatefulProcessor):
@@ -167,34 +247,34 @@ def stream_outages(calls: DataFrame, threshold: int = 3) -> DataFrame:
     )
 
 
-class GuardProcessor(StatefulProcessor):
-    """Session guards of one learner; state is the last creation and the live sessions."""
+class Guards(Steps):
+    """Session guards of one learner; state is the last creation and the live sessions, forgotten when the last one has expired."""
 
     def __init__(self, ttl_s: int):
         self.ttl_s = ttl_s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("guards", "doc string")
+    def place(self, row: dict) -> tuple:
+        return row["at_s"], row["attempt_id"]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["at_s", "attempt_id"])
+    def take(self, key, state, rows, out):
         guards = GuardState(self.ttl_s)
-        if self.state.exists():
-            doc = json.loads(self.state.get()[0])
-            guards.last, guards.live = doc["last"], [tuple(s) for s in doc["live"]]
-        offers = zip(pdf["at_s"].tolist(), pdf["guard_title"].tolist(), pdf["source"].tolist())
-        taken = [i for i, (at, title, source) in enumerate(offers) if guards.offer(int(at), title, source)]
-        self.state.update((json.dumps({"last": guards.last, "live": guards.live}),))
-        yield pdf.iloc[taken]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_guarded_sessions(attempts: DataFrame, ttl_s: int) -> DataFrame:
-    use_rocksdb(attempts.sparkSession)
-    rows = attempts.select("learner_id", "attempt_id", "at_s", "title", "source", guard_title(F.col("title")).alias("guard_title"))
-    return rows.groupBy("learner_id").transformWithStateInPandas(GuardProcessor(ttl_s), rows.schema, "Append", "None").drop("guard_title")
+        if state:
+            guards.last, guards.live = state["last"], [tuple(s) for s in state["live"]]
+        for row in rows:
+            if guards.offer(row["at_s"], row["guard_title"], row.get("source")):
+                out.append({**key, **{c: v for c, v in row.items() if c != "guard_title"}})
+        return {"last": guards.last, "live": guards.live}
+
+    def until(self, state) -> int | None:
+        return None if state["last"] is None else (state["last"] + max(self.ttl_s, GuardState(self.ttl_s).cooldown) + 1) * 1000
+
+
+def stream_guarded_sessions(attempts: DataFrame, ttl_s: int, delay: str = "10 minutes") -> DataFrame:
+    """Attempts that pass the guards, as ``guarded_sessions`` finds them."""
+    cols = ["learner_id", "attempt_id", "at_s", "title", "source"]
+    result = ", ".join(f"{c} {attempts.schema[c].dataType.simpleString()}" for c in cols)
+    rows = attempts.withColumn("guard_title", guard_title(F.col("title")))
+    return in_order(rows, ["learner_id"], F.timestamp_seconds("at_s"), [*cols[1:], "guard_title"], Guards(ttl_s), result, delay)
 
 
 class DeadlineProcessor(StatefulProcessor):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 import duckdb
 import pandas as pd
@@ -32,7 +33,7 @@ def _kind(dtype: str) -> str:
     return dtype
 
 
-def _rows(frame: pd.DataFrame) -> list[tuple]:
+def _rows(rows: Iterable[tuple]) -> list[tuple]:
     def cell(v):
         if v is None or (not isinstance(v, (list, dict)) and pd.isna(v)):
             return "<null>"
@@ -40,7 +41,7 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
             return repr(v + 0.0)
         return str(v)
 
-    return sorted(tuple(cell(v) for v in row) for row in frame.astype(object).itertuples(index=False, name=None))
+    return sorted(tuple(cell(v) for v in row) for row in rows)
 
 
 def differences(df, sql: str, con: duckdb.DuckDBPyConnection) -> list[str]:
@@ -52,8 +53,8 @@ def differences(df, sql: str, con: duckdb.DuckDBPyConnection) -> list[str]:
         return [f"columns {sorted(got_types)} != {sorted(want_types)}"]
     out += [f"type of {c}: {got_types[c]} != {want_types[c]}" for c in sorted(want_types) if want_types[c] != got_types[c]]
     cols = sorted(want_types)
-    want = _rows(rel.df()[cols])
-    got = _rows(df.select(*cols).toPandas())
+    want = _rows(rel.df()[cols].astype(object).itertuples(index=False, name=None))
+    got = _rows(df.select(*cols).collect())  # not by pandas, which turns longs beside nulls into floats
     if len(want) != len(got):
         out.append(f"rows {len(got)} != {len(want)}")
     ws, gs = set(want), set(got)

@@ -142,6 +142,14 @@ def test_guards_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_guards_keep_null_and_large_ids_apart(spark):
+    big = 2**53
+    cases = [(i, who, at, "t", "s") for i, (who, at) in enumerate([(None, 0), (None, 1), (None, 4), (None, 40), (big, 0), (big + 1, 1), (big + 1, 5), (big, 700)])]
+    df = spark.createDataFrame([*cases, (99, 1, None, "t", "s")], "attempt_id long, learner_id long, at_s long, title string, source string")
+    got = {(r.attempt_id, r.learner_id) for r in S.guarded_sessions(df.repartition(3)).collect()}
+    assert got == {(0, None), (4, big), (5, big + 1), (7, big)}
+
+
 @pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
 def test_topk_forms_agree_with_brute_force(spark, metric):
     rng = np.random.default_rng(3)

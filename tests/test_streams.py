@@ -1,7 +1,10 @@
 """Streams over several micro-batches must end where the batch operators end."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from studylake.operators import mastery as M
 from studylake.operators import ops as O
@@ -12,20 +15,33 @@ from studylake.sources.tables import VIEWS, load, view
 from studylake.streaming import aggregates as A
 from studylake.streaming import stateful as ST
 from studylake.streaming.runs import drain, latest, scratch
+from studylake.streaming.store import KeyedStore
 from tests.conftest import rows
 
 
-@pytest.fixture(scope="module")
-def split_events(spark, sf, tmp_path_factory):
-    """The events in four files by time, read one file per micro-batch."""
-    path = str(tmp_path_factory.mktemp("events"))
+def in_files(spark, sf, path, order):
+    """The events in files by time, read in the given order, one file per micro-batch."""
     events = load(spark, sf, "events")
-    for i in range(4):
-        low, high = events.count() * i // 4, events.count() * (i + 1) // 4
-        events.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).coalesce(1).write.mode("append").parquet(path)
+    n = events.count()
+    for place, i in enumerate(order):
+        events.filter((F.col("event_id") >= n * i // len(order)) & (F.col("event_id") < n * (i + 1) // len(order))).coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):  # a file source reads the oldest file first
+            if name.endswith(".parquet") and os.stat(f"{path}/{name}").st_mtime > 1_000_000_000 + 10 * len(order):
+                os.utime(f"{path}/{name}", (1_000_000_000 + place, 1_000_000_000 + place))
     return path
 
 
+@pytest.fixture(scope="module")
+def split_events(spark, sf, tmp_path_factory):
+    return in_files(spark, sf, str(tmp_path_factory.mktemp("events")), [0, 1, 2, 3])
+
+
+@pytest.fixture(scope="module")
+def shuffled_events(spark, sf, tmp_path_factory):
+    """The files out of order, by no more than two files."""
+    return in_files(spark, sf, str(tmp_path_factory.mktemp("shuffled")), [1, 0, 3, 2, 5, 4])
+
+
 def stream(spark, path, schema, name):
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
     return spark.sql(VIEWS[name].replace("FROM events", "FROM {rows}"), rows=raw)
@@ -43,24 +59,100 @@ def test_mastery(spark, sf, split_events, schema):
     assert rows(latest(emitted, ["learner_id", "kp_id"]).drop("due")) == rows(batch)
 
 
-def test_dedup(spark, sf, split_events, schema):
-    got = drain(ST.stream_dedup(stream(spark, split_events, schema, "uploads")), "d", "append").drop("batch")
-    want = throttle(view(spark, sf, "uploads"), ["learner_id", "file_hash"], "at_s", "upload_id", 1800)
-    assert rows(got) == rows(want)
-
-
-def test_triggers(spark, sf, split_events, schema):
-    fired = drain(ST.stream_triggers(stream(spark, split_events, schema, "answers")), "t", "append")
+def test_mastery_store(spark, sf, shuffled_events, schema):
+    """One row per key over several merges; a replayed batch changes nothing; old versions can go."""
+    store = A.sync_mastery(stream(spark, shuffled_events, schema, "answers"), scratch(spark, "store"), scratch(spark, "store-mark"), buckets=4)
+    want = rows(M.mastery(view(spark, sf, "answers")))
+    assert rows(store.read().drop("due")) == want
+    last, _ = store._places()
+    assert last == 5
+    replay = store.read().limit(7).withColumn("total", F.lit(-1).cast("long"))
+    store.merge(replay, 6)
+    once = rows(store.read())
+    store.merge(replay, 6)
+    assert rows(store.read()) == once and len(once) == len(want) and store.read().filter("total = -1").count() == 7
+    assert store.vacuum() > 0
+    assert rows(store.read()) == once
+    store.merge(replay.limit(0), 7)
+    assert rows(store.read()) == once
+
+
+def test_store_of_null_keys(spark):
+    store = KeyedStore(spark, scratch(spark, "nulls"), StructType.fromDDL("k long, v string"), ["k"], 3)
+    assert store.read().collect() == []
+    store.merge(spark.createDataFrame([(None, "a"), (2**53, "b"), (2**53 + 1, "c")], "k long, v string"), 0)
+    store.merge(spark.createDataFrame([(None, "d"), (2**53 + 1, "e")], "k long, v string"), 1)
+    assert rows(store.read()) == sorted([("None", "d"), (str(2**53), "b"), (str(2**53 + 1), "e")])
+
+
+DAYS = 12  # two of six files of a month of events
+
+
+@pytest.mark.parametrize("files", ["split_events", "shuffled_events"])
+def test_dedup(spark, sf, files, schema, request):
+    events = stream(spark, request.getfixturevalue(files), schema, "uploads")
+    got = drain(ST.stream_dedup(events, delay="400 seconds"), "d", "append").drop("batch")
+    uploads = view(spark, sf, "uploads")
+    want = throttle(uploads, ["learner_id", "file_hash"], "at_s", "upload_id", 1800)
+    last = uploads.agg(F.max("at_s")).first()[0]
+    assert rows(got) == rows(want.filter(F.col("at_s") <= last - 400))
+
+
+@pytest.mark.parametrize("files", ["split_events", "shuffled_events"])
+def test_triggers(spark, sf, files, schema, request):
+    fired = drain(ST.stream_triggers(stream(spark, request.getfixturevalue(files), schema, "answers"), delay=f"{DAYS} days"), "t", "append")
     a = view(spark, sf, "answers")
+    last = a.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0] - DAYS * 86_400_000
+    judged = a.filter(F.unix_millis(F.col("ts").cast("timestamp")) <= last).select("answer_id")
     practice = fired.filter("trigger = 'practice'").select("learner_id", F.col("target").alias("kp_id"), "at_s", "answer_id")
-    assert rows(practice) == rows(P.practice_trigger(a))
-    assert rows(fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")) == rows(P.exam_trigger(a))
+    assert rows(practice) == rows(P.practice_trigger(a).join(judged, "answer_id", "left_semi"))
+    assert rows(fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")) == rows(P.exam_trigger(a).join(judged, "answer_id", "left_semi"))
 
 
-def test_guards(spark, sf, split_events, schema):
-    got = drain(ST.stream_guarded_sessions(stream(spark, split_events, schema, "create_attempts"), 2000), "g", "append")
-    want = S.guarded_sessions(view(spark, sf, "create_attempts"), 2000)
-    assert rows(got.select("attempt_id")) == rows(want.select("attempt_id"))
+def answers_of(spark, cases):
+    """(learner, answer, point, score, second) as a table with timestamps."""
+    df = spark.createDataFrame(cases, "learner_id long, answer_id long, kp_id string, score double, s long")
+    return df.select("learner_id", "answer_id", "kp_id", "score", F.timestamp_seconds("s").alias("ts"))
+
+
+def test_triggers_of_awkward_rows(spark, tmp_path):
+    """A missing point and learner, large ids, and 59 other misses between two of one point: stream and batch agree."""
+    big = 2**53 + 1
+    cases = [(None, 1, None, 0.0, 10), (None, 2, None, 0.0, 20), (big, big, "math/a", 0.0, 10), (big - 1, 4, "math/a", 0.0, 15)]
+    cases += [(big, 100 + i, f"math/p{i}", 0.0, 30 + i) for i in range(59)] + [(big, 300, "math/a", 0.0, 200), (5, 999, "x/y", 1.0, 10**6)]
+    df = answers_of(spark, cases)
+    path = str(tmp_path / "answers")
+    df.coalesce(1).write.parquet(path)
+    fired = drain(ST.stream_triggers(spark.readStream.schema(df.schema).parquet(path)), "awkward", "append")
+    practice = fired.filter("trigger = 'practice'").select("learner_id", F.col("target").alias("kp_id"), "at_s", "answer_id")
+    assert rows(practice) == rows(P.practice_trigger(df)) == sorted([("2", "20", "None", "None"), ("300", "200", "math/a", str(big))])
+    assert rows(P.practice_trigger(df, book=50)) == [("2", "20", "None", "None")]
+    assert rows(fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")) == rows(P.exam_trigger(df))
+
+
+@pytest.mark.parametrize("files", ["split_events", "shuffled_events"])
+def test_guards(spark, sf, files, schema, request):
+    got = drain(ST.stream_guarded_sessions(stream(spark, request.getfixturevalue(files), schema, "create_attempts"), 300, delay="400 seconds"), "g", "append")
+    attempts = view(spark, sf, "create_attempts")
+    last = attempts.agg(F.max("at_s")).first()[0]
+    assert rows(got.select("attempt_id")) == rows(S.guarded_sessions(attempts, 300).filter(F.col("at_s") <= last - 400).select("attempt_id"))
+
+
+def test_forgotten_state_is_cleared(spark, tmp_path):
+    """A key that has been quiet for its gap has no state left."""
+    path = str(tmp_path / "uploads")
+    df = spark.createDataFrame([(i, i % 20, i, f"h{i % 20}") for i in range(200)] + [(9999, 1, 100_000, "new")], "upload_id long, learner_id long, at_s long, file_hash string")
+    df.filter("at_s < 1000").coalesce(1).write.parquet(path)
+    df.filter("at_s > 1000").coalesce(1).write.mode("append").parquet(path)
+    query = (
+        ST.stream_dedup(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)).writeStream
+        .option("checkpointLocation", scratch(spark, "quiet")).format("noop").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    states = {o["operatorName"]: o for o in query.lastProgress["stateOperators"]}
+    known = states["transformWithStateInPandasExec"]
+    # One key still waits for the watermark: its row, its timer and the timer's time.
+    assert known["numRowsTotal"] <= 8
 
 
 def test_outages(spark, sf, split_events, schema):
