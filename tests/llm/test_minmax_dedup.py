@@ -14,12 +14,12 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, per_cent=85):
     """Expected (n_shingles, component) for rows whose ids are not null."""
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     reach = {i: {i} for i, _ in sets}
     for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if x and y and 100 * len(x & y) >= 85 * len(x | y) and reach[a] is not reach[b]:
+        if x and y and 100 * len(x & y) >= per_cent * len(x | y) and reach[a] is not reach[b]:
             both = reach[a] | reach[b]
             for i in both:
                 reach[i] = both

@@ -25,7 +25,7 @@ def test_stages(spark, sf, tmp_path):
         if name == "language_id":
             assert set(after) == {i for i, r in before.items() if re.search(r"[^\W\d_]", r.text or "")}
         if name == "near_dedup":
-            assert set(after) == {i for i, _, c in test_minmax_dedup.brute([(i, r.text) for i, r in before.items()]) if i == c}
+            assert set(after) == {i for i, _, c in test_minmax_dedup.brute([(i, r.text) for i, r in before.items()], P.NEAR_PER_CENT) if i == c}
         if name == "benchmark_decontamination":
             assert set(after) == {i for i, r in before.items() if not test_decontaminate.brute(r.text, items)[1]}
         if name == "personal_data":
