@@ -88,3 +88,32 @@ def _(spark, sf):
 def _(spark, sf):
     calls = load(spark, sf, "events").select(F.col("event_type").alias("operation"), F.col("value").alias("seconds"))
     return C.latency_slo(calls, target=60.0).withColumns({"p50": F.round("p50", 6), "p95": F.round("p95", 6)})
+
+
+# Sketches of each day, merged by month; an estimate within 5 % (three standard deviations) of the exact number is close.
+@query(
+    "g17_active_learners_sketch",
+    oracle(["answers"], """SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS period, count(DISTINCT learner_id) AS exact, count(*) AS answers, TRUE AS close
+      FROM answers GROUP BY 1"""),
+)
+def _(spark, sf):
+    a, month = answers(spark, sf), F.date_trunc("month", "day").cast("date")
+    about = C.active_learners(C.usage_sketches(a), month)
+    exact = a.groupBy(month.alias("period")).agg(F.countDistinct("learner_id").alias("exact"))
+    close = F.abs(F.col("learners") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return about.join(exact, "period").select(F.col("period").cast("string").alias("period"), "exact", "answers", close.alias("close"))
+
+
+# Sketches of each day, merged over all; a percentile whose rank is within 4 % of its own (three standard deviations) is close.
+@query(
+    "g22_latency_sketch",
+    """SELECT event_type AS operation, count(*) AS calls, TRUE AS p50_close, TRUE AS p95_close FROM events WHERE value IS NOT NULL GROUP BY 1""",
+)
+def _(spark, sf):
+    calls = load(spark, sf, "events").select(F.col("event_type").alias("operation"), F.col("ts").cast("date").alias("day"), F.col("value").alias("seconds"))
+    about = C.latency_from_sketches(C.latency_sketches(calls), target=60.0)
+    # The rank of an estimate lies between the shares of calls below it and up to it.
+    share = lambda q, p: [F.avg((F.col("seconds") < F.col(q)).cast("double")) <= p + 0.04, F.avg((F.col("seconds") <= F.col(q)).cast("double")) >= p - 0.04]
+    joined = calls.join(about, "operation")
+    low50, high50, low95, high95 = *share("p50", 0.5), *share("p95", 0.95)
+    return joined.groupBy("operation").agg(F.first("calls").alias("calls"), (low50 & high50).alias("p50_close"), (low95 & high95).alias("p95_close"))

@@ -13,7 +13,9 @@ from studylake.operators import curriculum as U
 from studylake.operators import mastery as M
 from studylake.operators import progress as P
 from studylake.sources import readers
+from studylake.sources.sinks import rewrite_partitions
 from studylake.sources.tables import AS_OF, KP_EDGES_ORACLE, kp_edges, load, oracle, spread, view
+from studylake.streaming.runs import scratch
 from studylake.functions import rules as R
 from studylake.functions.rounding import level_oracle
 
@@ -334,6 +336,17 @@ def _(spark, sf):
     return K.purge_kb(stored.select("doc_id", "collection"), removed)
 
 
+@query("u05_purge_job", oracle(["docs"], f"SELECT doc_id, {_COLL} AS collection FROM docs WHERE kb_name IN ({_REG})"))
+def _(spark, sf):
+    """The stored table after the job: collections of removed bases gone, the others' files untouched."""
+    path = scratch(spark, "collections")
+    rows = docs(spark, sf).select("doc_id", "kb_name", F.expr(_COLL).alias("collection"))
+    rows.drop("kb_name").write.partitionBy("collection").parquet(path)
+    removed = K.require_kb(rows.select("kb_name").distinct(), registered(spark, sf))[1]
+    rewrite_partitions(spark, path, "collection", lambda stored: K.purge_kb(stored, removed), scratch(spark, "staging"))
+    return spark.read.parquet(path).select("doc_id", "collection")
+
+
 @query("c15_already_synced", oracle(["docs"], "SELECT doc_id, concat(kb_name, '/', filename) AS source FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)"))
 def _(spark, sf):
     rows = docs(spark, sf).select("doc_id", F.concat_ws("/", "kb_name", "filename").alias("source"))

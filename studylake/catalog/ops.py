@@ -10,7 +10,9 @@ from studylake.functions import text as T
 from studylake.operators import ops as O
 from studylake.operators import sessions as S
 from studylake.operators.throttle import throttle
+from studylake.sources.sinks import rewrite_partitions
 from studylake.sources.tables import load, oracle, view
+from studylake.streaming.runs import scratch
 
 NOW = "1999-06-01"
 
@@ -141,6 +143,16 @@ def _(spark, sf):
     return O.retain(load(spark, sf, "events").select("event_id", "ts"), F.lit("2024-01-30").cast("timestamp"), 72 * 3600)
 
 
+@query("s12_retain_job", f"SELECT event_id, epoch_us(ts) AS us FROM events WHERE {_YOUNG.format(h=72)}")
+def _(spark, sf):
+    """The stored table after the job, partitioned by day: only the days that may hold old files are read."""
+    path, as_of = scratch(spark, "retain"), F.lit("2024-01-30").cast("timestamp")
+    files = load(spark, sf, "events").select("event_id", "ts", F.col("ts").cast("date").alias("day"))
+    files.repartition("day").write.partitionBy("day").parquet(path)
+    rewrite_partitions(spark, path, "day", lambda stored: O.retain(stored, as_of, 72 * 3600), scratch(spark, "staging"), F.col("day") <= "2024-01-27")
+    return spark.read.parquet(path).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
 @query(
     "g12_ingest_counters",
     oracle(["ingest_steps"], """SELECT run_id, count(DISTINCT file_id) AS files_in, count(*) FILTER (kind = 'page_done') AS pages_done,

@@ -6,6 +6,7 @@ from studylake.catalog import query
 from studylake.catalog.mastery import C_CTE, COUNTS
 from studylake.catalog.ops import guards_oracle
 from studylake.catalog.progress import before_watermark, exam_oracle, greedy, practice_oracle
+from studylake.operators import ops as O
 from studylake.streaming import aggregates as A
 from studylake.streaming import stateful as S
 from studylake.streaming.runs import drain, latest, scratch, view_stream
@@ -116,6 +117,20 @@ def _(spark, sf):
     return drain(A.stream_alerts(view_stream(spark, sf, "telemetry")), "alerts", "append").drop("batch", "ts")
 
 
+@query(
+    "s09_stream_alert_peaks",
+    oracle(["telemetry"], """, w AS (SELECT device_id, epoch_us(ts) // 600000000 * 600000000 AS start_us, max(cpu) AS cpu, max(used_percent) AS used, min(ssd_life) AS ssd
+        FROM telemetry GROUP BY 1, 2)
+      SELECT device_id, start_us, 'warning' AS severity, 'temp_high' AS type, cpu AS value FROM w WHERE cpu > 75
+      UNION ALL SELECT device_id, start_us, CASE WHEN used > 90 THEN 'critical' ELSE 'warning' END, CASE WHEN used > 90 THEN 'storage_full' ELSE 'storage_high' END, used FROM w WHERE used > 80
+      UNION ALL SELECT device_id, start_us, 'warning', 'ssd_life', CAST(ssd AS DOUBLE) FROM w WHERE ssd < 20"""),
+)
+def _(spark, sf):
+    # An update-mode stream gives a window's alerts anew in each batch; here all come in one.
+    peaks = drain(O.alert_peaks(view_stream(spark, sf, "telemetry"), delay="10 minutes"), "peaks", "update").drop("batch")
+    return peaks.select("device_id", F.unix_micros("start").alias("start_us"), "severity", "type", "value")
+
+
 @query("s11_stream_practice", practice_oracle(before_watermark(3600)))
 def _(spark, sf):
     fired = drain(S.stream_triggers(view_stream(spark, sf, "answers")), "triggers", "append")

@@ -76,6 +76,19 @@ def device_alerts(telemetry: DataFrame) -> DataFrame:
     )
 
 
+def alert_peaks(telemetry: DataFrame, width: str = "10 minutes", delay: str | None = None) -> DataFrame:
+    """One alert of each kind per device and tumbling window, of its worst reading: where storage is critical once, it is not merely high.
+
+    ``delay`` is the watermark of a stream; readings combine map-side in both forms.
+    """
+    rows = telemetry.withColumn("ts", F.col("ts").cast("timestamp"))
+    if delay:
+        rows = rows.withWatermark("ts", delay)
+    worst = rows.groupBy("device_id", F.window("ts", width)).agg(F.max("cpu").alias("cpu"), F.max("used_percent").alias("used_percent"), F.min("ssd_life").alias("ssd_life"))
+    each = worst.select("device_id", F.lit(None).cast("long").alias("event_id"), F.col("window.start").alias("ts"), "cpu", "used_percent", "ssd_life")
+    return device_alerts(each).drop("event_id").withColumnRenamed("ts", "start")
+
+
 def orphaned_ingests(stages: DataFrame, as_of: Column, max_age_s: int = 3600) -> DataFrame:
     """Ingests whose latest stage is still processing after ``max_age_s``."""
     latest = stages.groupBy("trace_id").agg(F.max_by(F.struct("stage", "ts"), F.struct("ts", "event_id")).alias("s"))

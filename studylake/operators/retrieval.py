@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylake.operators.containment import contained
+
 # Queries sent to every task at once; more are joined block by block.
 MAX_QUERIES = 4096
 # Rows of one vector block: with MAX_QUERIES queries, a matrix of 128 MB.
@@ -373,22 +375,12 @@ def search_results(hits: DataFrame) -> DataFrame:
 def filename_hits(queries: DataFrame, files: DataFrame, k: int) -> DataFrame:
     """Files whose name contains the query or one of its words: first ``2 k`` names per query.
 
-    Names are short, so each emits its substrings of up to three characters; a word is looked up
-    by its first ones and checked.  ``2 k`` are enough, since at most k can repeat a vector hit.
+    Words are looked up in the names by their rarest gram. ``2 k`` are enough, since at most k can repeat a vector hit.
     """
     low = F.lower("text")
     words = queries.select("query_id", F.explode(F.array_distinct(F.array_append(F.split(low, r"\s+"), low))).alias("word"))
-    words = words.filter("word <> ''").withColumn("gram", F.substring("word", 1, 3))
-    name = F.lower("filename")
-    starts = F.sequence(F.lit(1), F.length(name))
-    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substr(name, i, F.lit(n)) for n in (1, 2, 3)]))))
-    index = files.select("filename", F.explode(grams).alias("gram"))
-    found = (
-        index.join(words, "gram")
-        .filter(F.lower("filename").contains(F.col("word")))
-        .select("query_id", "filename")
-        .distinct()
-    )
+    names = files.select("filename", F.lower("filename").alias("_name")).distinct()
+    found = contained(words, names, "word", "_name", []).select("query_id", "filename").distinct()
     order = Window.partitionBy("query_id").orderBy("filename")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * k)
 
