@@ -155,20 +155,47 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def prefix_sums(lengths: Column, chunk: int = 256) -> Column:
-    """For an array of integers, the sum of the elements before each (array<bigint>); '[]' for an empty one.
+def _prefixes(values: Column, start: Column, step: Callable[[Column, Column], Column], chunk: int) -> Column:
+    """For an array of integers, ``start`` and the elements before each combined by ``step`` (array<bigint>); '[]' for an empty one.
 
     Works in two levels, so an array of n elements costs about n * chunk steps, not n * n.
     """
 
     def running(values: Column, start: Column) -> Column:
         zero = F.struct(start.cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("o"))
-        step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o"))
-        return F.aggregate(values, zero, step, lambda acc: acc["o"])
+        add = lambda acc, x: F.struct(step(acc["s"], x).cast("bigint").alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o"))
+        return F.aggregate(values, zero, add, lambda acc: acc["o"])
 
     def chunked(a: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / chunk).cast("int") - 1), lambda c: F.slice(a, c * chunk + 1, chunk))
-        total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-        return bound(parts, lambda p: F.flatten(F.zip_with(p, running(F.transform(p, total), F.lit(0)), running)))
+        total = lambda part: F.aggregate(part, start.cast("bigint"), lambda acc, x: step(acc, x).cast("bigint"))
+        return bound(parts, lambda p: F.flatten(F.zip_with(p, running(F.transform(p, total), start), running)))
+
+    return bound(values, lambda a: F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(chunked(a)))
+
+
+def prefix_sums(lengths: Column, chunk: int = 256) -> Column:
+    """The sum of the elements before each."""
+    return _prefixes(lengths, F.lit(0), lambda acc, x: acc + x, chunk)
+
+
+def prefix_maxima(values: Column, chunk: int = 256) -> Column:
+    """The largest of 0 and the elements before each."""
+    return _prefixes(values, F.lit(0), lambda acc, x: F.greatest(acc, x), chunk)
+
+
+#: Characters of a segment.
+SEGMENT = 256
+
+
+def segments(text: Column) -> Column:
+    """``text`` in one pass as an array of segments, of which ``cut`` takes parts without walking the text again."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+
 
-    return bound(lengths, lambda a: F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(chunked(a)))
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text given as ``segments``; empty if there are none."""
+    first = F.floor(start / SEGMENT).cast("int")
+    some = F.slice(parts, first + 1, F.greatest(F.floor((end - 1) / SEGMENT).cast("int") - first + 1, F.lit(0)))
+    inside = F.substr(F.array_join(some, ""), (start - first * SEGMENT + 1).cast("int"), (end - start).cast("int"))
+    return F.when(end > start, inside).otherwise("")

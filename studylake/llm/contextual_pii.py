@@ -21,13 +21,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import bound, prefix_sums, written
+from studylake.llm.common import bound, cut, prefix_maxima, prefix_sums, segments, written
 
 #: Distinct identifiers of one kind, seeds or discovered before with the least confidence, that a pattern needs; its
 #: least confidence, what a candidate of unknown nature counts against it, and the rounds.
 LEAST_SUPPORT, LEAST_CONFIDENCE, UNKNOWN, ROUNDS = 5, 0.8, 0.2, 3
 #: Code points beside a span that its patterns are taken from.
 CONTEXT = 48
+#: Characters of a text in which spans are compared with each other.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -114,16 +116,26 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)])
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Spans of looser form that touch no base span."""
+def candidate_spans(text: Column) -> Column:
+    """Spans of looser form."""
 
     def of(n: int, kind: Kind) -> Column:
         least = 0 if kind.name == "email" else 3
         spans = F.filter(matches(text, kind.loose), lambda s: F.length(_digits(s["value"])) >= least)
         return F.when(text.rlike(kind.hint), _tagged(spans, n)).otherwise(F.array().cast(_SPAN))
 
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)]), free)
+    return F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)])
+
+
+def _apart(more: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows of ``more`` that touch no row of ``base`` of the same text: they meet in blocks of ``BLOCK`` characters, so a text of any
+    length is many small groups."""
+    block = F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)))
+    there = base.select(F.col("_row").alias("_r"), F.col("start").alias("_s"), F.col("end").alias("_e"), block.alias("_b"))
+    place = ["_row", "kind", "start", "end"]
+    here = more.select(*place, block.alias("_block"))
+    same = (F.col("_row") == F.col("_r")) & (F.col("_block") == F.col("_b")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e"))
+    return more.join(here.join(there, same, "left_semi").select(*place).distinct(), place, "left_anti")
 
 
 def _patterns(left: Column, right: Column) -> Column:
@@ -160,12 +172,13 @@ def find(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFram
     discovered ones."""
     kept = [c for c in df.columns if c.lower() not in ("base", "spans") and (keep_text or c != text)]
     rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_base", base_spans(F.col("_text")))
-    rows = rows.withColumn("_more", candidate_spans(F.col("_text"), F.col("_base")))
+    rows = rows.withColumn("_more", candidate_spans(F.col("_text")))
     # The table fixes the row numbers.
     rows = written(rows.select(*kept, F.monotonically_increasing_id().alias("_row"), "_base", "_more"))
     span = lambda c, seed: rows.where(F.size(c) > 0).select("_row", F.explode(c).alias("s"), F.lit(seed).alias("seed")).select("_row", "seed", "s.*")
-    more = span("_more", False)
-    instances = span("_base", True).unionByName(more).select("kind", F.lower("value").alias("value"), "seed", "left", "right")
+    seeds = span("_base", True)
+    more = written(_apart(span("_more", False), seeds))
+    instances = seeds.unionByName(more).select("kind", F.lower("value").alias("value"), "seed", "left", "right")
     found = discovered(instances)
     hits = more.withColumn("value", F.lower("value")).join(found, ["kind", "value"], "left_semi")
     hits = hits.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_found"))
@@ -183,14 +196,19 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first names the mask."""
+    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first names the mask.
+
+    Each part of the text is taken once from its segments, so the time grows with the text and not with its square.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        parts = F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(plain, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def of(parts: Column, sorted_: Column) -> Column:
+        ends = prefix_maxima(F.transform(sorted_, lambda s: s["end"]))
+        after = F.zip_with(sorted_, ends, lambda s, at: F.struct(s["start"], s["kind"], at.alias("at")))
+        kept = F.filter(after, lambda s: s["start"] >= s["at"])
+        pieces = F.transform(kept, lambda s: F.concat(cut(parts, s["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        last = F.array_max(F.transform(sorted_, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(parts, last, F.length(text).cast("bigint")))
 
-    done = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+    done = bound(segments(text), lambda parts: bound(ordered, lambda sorted_: of(parts, sorted_)))
     return F.when(F.size(spans) > 0, done).otherwise(text)

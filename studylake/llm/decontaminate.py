@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import append, written
+from studylake.llm.common import append, bound, cut, segments, written
 
 WINDOW = 10
 #: Bytes of item texts that are sent to the tasks at once. A larger benchmark is taken in blocks.
@@ -160,11 +160,11 @@ def find(
 
 def without_spans(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """``df`` with every span of ``spans`` cut out of ``text``."""
-    rest = F.expr(
-        f"array_join(transform(sequence(0, size({spans})), i -> substr({text}, "
-        f"IF(i = 0, 1, {spans}[i - 1].end + 1), "
-        f"IF(i = size({spans}), length({text}), {spans}[i].start) - IF(i = 0, 0, {spans}[i - 1].end))), '')"
-    )
+    # What stands before each span and after the last, each part taken once from the text's segments.
+    every = lambda start, end: F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+    edges = F.concat(F.array(every(F.lit(0), F.lit(0))), F.transform(spans, lambda s: every(s["start"], s["end"])), F.array(every(F.length(text), F.length(text))))
+    pairs = lambda e: F.zip_with(F.slice(e, 1, F.size(e) - 1), F.slice(e, 2, F.size(e) - 1), lambda a, b: every(a["end"], b["start"]))
+    rest = bound(segments(F.col(text)), lambda parts: F.array_join(F.transform(bound(edges, pairs), lambda p: cut(parts, p["start"], p["end"])), ""))
     return df.withColumn(text, F.when(F.size(spans) > 0, rest).otherwise(F.col(text)))
 
 
