@@ -39,4 +39,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from studylake.catalog import cohort, corpus, dialog, exam, mastery, ops, progress, reports, retrieval, streams, text  # noqa: F401
+    from studylake.catalog import cohort, corpus, dialog, exam, mastery, ops, progress, reports, retrieval, streams, surface, text  # noqa: F401

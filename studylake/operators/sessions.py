@@ -19,12 +19,12 @@ SESSION_TTL_S = 48 * 3600
 
 
 class GuardState:
-    """What the guards remember of one learner: the last creation and the live sessions."""
+    """What the guards remember of one learner: the last creation and the pending sessions (created, title, source, last second)."""
 
     def __init__(self, ttl: int, cooldown: int = COOLDOWN_S, max_pending: int = MAX_PENDING, window: int = TITLE_WINDOW_S):
         self.ttl, self.cooldown, self.max_pending, self.window = ttl, cooldown, max_pending, window
         self.last: int | None = None
-        self.live: list[tuple[int, str, str]] = []
+        self.live: list[tuple[int, str, str, int]] = []
 
     def open_from(self) -> int | None:
         """Earliest time cooldown and the pending limit allow a creation; None: at once."""
@@ -32,18 +32,20 @@ class GuardState:
             return None
         at = self.last + self.cooldown
         if len(self.live) >= self.max_pending:
-            at = max(at, self.live[-self.max_pending][0] + self.ttl + 1)
+            at = max(at, sorted(s[3] for s in self.live)[len(self.live) - self.max_pending] + 1)
         return at
 
-    def offer(self, at: int, title: str, source: str) -> bool:
-        self.live = [s for s in self.live if at <= s[0] + self.ttl]
-        free = self.open_from()
-        if free is not None and at < free:
-            return False
-        if title and any(t == title and s == source and at - c < self.window for c, t, s in self.live):
-            return False
+    def offer(self, at: int, title: str, source: str, bypass: bool = False, left: int | None = None) -> bool:
+        """Whether a session is created; it stays pending until it expires or, at ``left``, is taken up or finished."""
+        self.live = [s for s in self.live if at <= s[3]]
+        if not bypass:
+            free = self.open_from()
+            if free is not None and at < free:
+                return False
+            if title and any(t == title and s == source and at - c < self.window for c, t, s, _ in self.live):
+                return False
         self.last = at
-        self.live.append((at, title, source))
+        self.live.append((at, title, source, at + self.ttl if left is None else min(at + self.ttl, left - 1)))
         return True
 
 
@@ -59,15 +61,28 @@ def thin_attempts(attempts: DataFrame, max_pending: int = MAX_PENDING) -> DataFr
     blocked, so of the attempts of one second only the first of each (title, source) and of
     those the first ``max_pending + 1`` can matter.  A hot learner shrinks to a few rows a second.
     """
-    norm = attempts.select(
-        "attempt_id", "learner_id", F.col("at_s").cast("long").alias("at_s"),
-        guard_title(F.col("title")).alias("title"), "source",
-    )
+    norm = guard_rows(attempts)
     # An attempt without a time is never accepted.
-    first = norm.filter("at_s IS NOT NULL").groupBy("learner_id", "at_s", "title", "source").agg(F.min("attempt_id").alias("attempt_id"))
+    timed = norm.filter("at_s IS NOT NULL")
+    first = timed.filter("NOT bypass").groupBy("learner_id", "at_s", "title", "source").agg(F.min(F.struct("attempt_id", "left_s")).alias("_a"))
+    first = first.select("learner_id", "at_s", "title", "source", F.lit(False).alias("bypass"), "_a.attempt_id", "_a.left_s")
     # Untitled attempts are never blocked by title, so the first of them stands for all.
     order = Window.partitionBy("learner_id", "at_s").orderBy("attempt_id")
-    return first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_pending + 1).drop("_rn")
+    thin = first.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_pending + 1).drop("_rn")
+    given = "bypass" in {c.lower() for c in attempts.columns}
+    return thin.unionByName(timed.filter("bypass").select(thin.columns)) if given else thin
+
+
+def guard_rows(attempts: DataFrame) -> DataFrame:
+    """Attempts as the guards see them: ``bypass`` (the learner asked for it, no guard holds) and ``left_s`` (when a session created by it is
+    no longer pending) are read where the table has them."""
+    names = {c.lower() for c in attempts.columns}
+    bypass = F.coalesce(F.col("bypass"), F.lit(False)) if "bypass" in names else F.lit(False)
+    left = F.col("left_s").cast("long") if "left_s" in names else F.lit(None).cast("long")
+    return attempts.select(
+        "attempt_id", "learner_id", F.col("at_s").cast("long").alias("at_s"), guard_title(F.col("title")).alias("title"), "source",
+        bypass.alias("bypass"), left.alias("left_s"),
+    )
 
 
 def guarded_sessions(attempts: DataFrame, ttl_s: int = SESSION_TTL_S) -> DataFrame:
@@ -84,7 +99,8 @@ def guarded_sessions(attempts: DataFrame, ttl_s: int = SESSION_TTL_S) -> DataFra
         for batch in batches:
             names = batch.column("_key").to_numpy(zero_copy_only=False)
             at = batch.column("at_s").to_numpy()
-            titles, sources = batch.column("title").to_pylist(), batch.column("source").to_pylist()
+            titles, sources, bypass, left = (batch.column(c).to_pylist() for c in ("title", "source", "bypass", "left_s"))
+            always = np.append(np.flatnonzero(np.array(bypass, bool)), len(at))
             ends = np.append(np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)) if len(names) else []
             taken, start = [], 0
             for end in ends:
@@ -92,16 +108,18 @@ def guarded_sessions(attempts: DataFrame, ttl_s: int = SESSION_TTL_S) -> DataFra
                     learner, state = names[start], GuardState(ttl_s)
                 row = start
                 while row < end:
-                    if state.offer(int(at[row]), titles[row], sources[row]):
+                    if state.offer(int(at[row]), titles[row], sources[row], bypass[row], left[row]):
                         taken.append(row)
                     free = state.open_from()
                     row += 1
                     if free is not None and row < end and at[row] < free:
-                        row += int(np.searchsorted(at[row:end], free))
+                        jump = row + int(np.searchsorted(at[row:end], free))
+                        row = min(jump, int(always[np.searchsorted(always, row)]))
                 start = end
             yield batch.take(pa.array(taken, pa.int64()))
 
-    return thin.repartition("_key").sortWithinPartitions("_key", "at_s", "attempt_id").mapInArrow(fold, thin.schema).drop("_key")
+    passed = thin.repartition("_key").sortWithinPartitions("_key", "at_s", "attempt_id").mapInArrow(fold, thin.schema)
+    return passed.drop("_key", "bypass", "left_s")
 
 
 def live(as_of: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from studylake.operators.sessions import GuardState, guard_title
+from studylake.operators.sessions import GuardState, guard_rows
 from studylake.streaming.runs import use_rocksdb
 
 
@@ -261,8 +261,8 @@ class Guards(Steps):
         if state:
             guards.last, guards.live = state["last"], [tuple(s) for s in state["live"]]
         for row in rows:
-            if guards.offer(row["at_s"], row["guard_title"], row.get("source")):
-                out.append({**key, **{c: v for c, v in row.items() if c != "guard_title"}})
+            if guards.offer(row["at_s"], row["guard_title"], row.get("source"), row["bypass"], row.get("left_s")):
+                out.append({**key, **{c: v for c, v in row.items() if c not in ("guard_title", "bypass", "left_s")}})
         return {"last": guards.last, "live": guards.live}
 
     def until(self, state) -> int | None:
@@ -273,8 +273,9 @@ def stream_guarded_sessions(attempts: DataFrame, ttl_s: int, delay: str = "10 mi
     """Attempts that pass the guards, as ``guarded_sessions`` finds them."""
     cols = ["learner_id", "attempt_id", "at_s", "title", "source"]
     result = ", ".join(f"{c} {attempts.schema[c].dataType.simpleString()}" for c in cols)
-    rows = attempts.withColumn("guard_title", guard_title(F.col("title")))
-    return in_order(rows, ["learner_id"], F.timestamp_seconds("at_s"), [*cols[1:], "guard_title"], Guards(ttl_s), result, delay)
+    seen = guard_rows(attempts.withColumn("attempt_id", F.struct("attempt_id", "title")))
+    rows = seen.select("learner_id", "at_s", "source", "bypass", "left_s", F.col("title").alias("guard_title"), "attempt_id.attempt_id", "attempt_id.title")
+    return in_order(rows, ["learner_id"], F.timestamp_seconds("at_s"), [*cols[1:], "guard_title", "bypass", "left_s"], Guards(ttl_s), result, delay)
 
 
 class DeadlineProcessor(StatefulProcessor):

@@ -142,6 +142,16 @@ def test_guards_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_guards_bypassed_and_places_freed(spark):
+    """Five pending sessions close the guard; an explicit wish passes it, a session that is taken up frees a place."""
+    rows = [(i, 1, 100 * i, f"t{i}", "s", False, None) for i in range(5)] + [
+        (5, 1, 500, "t5", "s", False, None), (6, 1, 501, "t0", "s", True, None), (7, 1, 505, "t7", "s", True, 600), (8, 1, 540, "t8", "s", False, None),
+        (9, 2, 0, "t", "s", False, 50), (10, 2, 40, "t", "s", False, None), (11, 2, 60, "t", "s", False, None),
+    ]
+    df = spark.createDataFrame(rows, "attempt_id long, learner_id long, at_s long, title string, source string, bypass boolean, left_s long")
+    assert {r.attempt_id for r in S.guarded_sessions(df, 10_000).collect()} == {0, 1, 2, 3, 4, 6, 7, 9, 11}
+
+
 def test_guards_keep_null_and_large_ids_apart(spark):
     big = 2**53
     cases = [(i, who, at, "t", "s") for i, (who, at) in enumerate([(None, 0), (None, 1), (None, 4), (None, 40), (big, 0), (big + 1, 1), (big + 1, 5), (big, 700)])]
