@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton matches in folded text.
 
-Folding strips marks, maps homoglyphs and digit substitutions to Latin letters and everything but letters to a
-space. Lexicon terms are whole words and word beginnings, learned with their weights (log odds) from labelled
+Folding strips marks, maps homoglyphs, letters in other shapes and digit substitutions to Latin letters and everything but letters to a
+space, and joins letters written apart. Lexicon terms are whole words and word beginnings, learned with their weights (log odds) from labelled
 documents; at each word the heaviest term counts. A term inside an exception phrase (two words which labelled
 documents show to be harmless) does not count. The score is a logistic function of the summed weights,
 also taken per word, so length is normalised.
@@ -14,6 +14,8 @@ largest holds. Without labels of both kinds the lexicon is empty and every score
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
@@ -37,21 +39,28 @@ LEAST_WEIGHT, LEAST_RATIO = 3.0, 40.0
 #: An exception phrase has a term, but is no more toxic than documents are; against other documents with a term
 #: that is at least so unlikely by chance.
 EXCEPT_RATIO = 15.0
-# Look-alike letters and digits, as pairs: what is read, what it stands for.
+# Look-alike letters and digits, as pairs: what is read, what it stands for.
 _ALIKE = dict(zip(
-    "013457@$!|аеорсухікмтнвԁѕјгαεοριτυνκηβ",
-    "oieastasiiaeopcyxikmthbdsjraeopituvknb",
+    "01345689@$!7|аеорсухікмтнвԁѕјгαεοριτυνκηβ",
+    "oieasbbgasitiaeopcyxikmthbdsjraeopituvknb",
 ))
-_TABLE_SIZE = 0x20000
-_SIGN = np.array([chr(c) in "013457@$!|" for c in range(128)])
+_TABLE_SIZE = 0x110000
+_SIGN = np.array([chr(c) in "01345689@$!7|" for c in range(128)])
+# Letters without a decomposition that are a Latin letter in another shape, by their names: small capitals, dotless, with a stroke ...
+_SHAPED = re.compile(r"LATIN (?:SMALL LETTER|CAPITAL LETTER|LETTER SMALL CAPITAL) (?:(?:DOTLESS|SCRIPT|BARRED|LONG|INSULAR|BLACKLETTER|OPEN|TURNED) )?([A-Z])(?: WITH .*)?")
+#: Single letters in a row, from so many on, that are a word written apart.
+APART = 4
 
 
+@functools.cache
 def fold_table() -> np.ndarray:
     """For each code point the letter it folds to, or a space; 0 for marks, which vanish."""
     table = np.full(_TABLE_SIZE, 32, np.uint32)
     for code in range(_TABLE_SIZE):
         base = unicodedata.normalize("NFKD", chr(code)).lower()[:1]
         base = unicodedata.normalize("NFKD", base)[:1]
+        if base > "\x7f" and (shaped := _SHAPED.fullmatch(unicodedata.name(base, ""))):
+            base = shaped[1].lower()
         base = _ALIKE.get(base, base)
         base = "i" if base == "l" else base  # l, I, 1 and | look alike
         if unicodedata.category(chr(code)) in ("Mn", "Cf"):
@@ -73,7 +82,20 @@ def fold(text: str | None, table: np.ndarray) -> str:
     stands = plain[1 : n + 1] | (sign[1 : n + 1] & plain[2:])
     codes = np.where(sign[:n] & ~stands, np.uint32(32), codes)
     words = codes.tobytes().decode("utf-32-le").split()
-    return f" {' '.join(words)} " if words else ""
+    return f" {' '.join(_joined(words))} " if words else ""
+
+
+def _joined(words: list[str]) -> list[str]:
+    """``words`` with rows of ``APART`` or more single letters made one word ("i.d.i.o.t"); ideographs are words, not letters."""
+    out, row = [], []
+    for word in [*words, ""]:
+        if len(word) == 1 and word < "\u2e80":
+            row.append(word)
+            continue
+        out += ["".join(row)] if len(row) >= APART else row
+        out.append(word)
+        row = []
+    return out[:-1]
 
 
 @dataclass
@@ -186,9 +208,10 @@ def _fit(sample: DataFrame) -> Lexicon:
     if not both[0] or not both[1]:
         return Lexicon({}, bias=50.0 if both[0] else -50.0)
     prior = float(np.log(both[0] / both[1]))
+    folds = sample.sparkSession.sparkContext.broadcast(fold_table())
 
     def terms():
-        table = fold_table()
+        table = folds.value
 
         def of(value: str | None) -> set[str]:
             words = set(fold(value, table).split())
@@ -208,7 +231,7 @@ def _fit(sample: DataFrame) -> Lexicon:
     weights = lexicon.weights
 
     def contexts():
-        table, automaton = fold_table(), Lexicon(weights).automaton()
+        table, automaton = folds.value, Lexicon(weights).automaton()
 
         def of(value: str | None) -> set[str]:
             folded = fold(value, table)
@@ -225,7 +248,7 @@ def _fit(sample: DataFrame) -> Lexicon:
     lexicon.exceptions = frozenset(rows.term[harmless & (weight < 0) & (ratio >= EXCEPT_RATIO) & (rows.term != "")])
 
     def measured(batches):
-        table, automaton = fold_table(), lexicon.automaton()
+        table, automaton = folds.value, lexicon.automaton()
         for batch in batches:
             x = [features(v, table, lexicon, automaton) for v in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], pa.float64()) for i in range(3)] + [batch.column("label")], names=["a", "b", "c", "label"])
@@ -245,10 +268,11 @@ def _fit(sample: DataFrame) -> Lexicon:
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from 0.5 on)."""
     shared = df.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.model, lexicon.bias))
+    folds = df.sparkSession.sparkContext.broadcast(fold_table())
 
     def make():
         known = Lexicon(*shared.value)
-        table, automaton = fold_table(), known.automaton()
+        table, automaton = folds.value, known.automaton()
 
         def one(value: str | None) -> float:
             z = known.bias + sum(a * b for a, b in zip(known.model, features(value, table, known, automaton)))

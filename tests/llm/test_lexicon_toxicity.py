@@ -7,7 +7,8 @@ TABLE = L.fold_table()
 
 
 def test_folding():
-    for raw, want in (("1d10t", " idiot "), ("IDIOT!! x", " idiot x "), ("pаthеtic", " pathetic "), ("", ""), ("...", ""), ("café", " cafe "), ("Ｉdiot", " idiot ")):
+    for raw, want in (("1d10t", " idiot "), ("IDIOT!! x", " idiot x "), ("pаthеtic", " pathetic "), ("", ""), ("...", ""), ("café", " cafe "), ("Ｉdiot", " idiot "),
+                      ("i.d.i.o.t and a b c", " idiot and a b c "), ("6itch 8ad", " bitch bad "), ("ɪᴅɪᴏᴛ ıdıot", " idiot idiot "), ("ħøłɨ", " hoii "), ("笨蛋 \U00020000", " 笨蛋 \U00020000 "), ("room 8 9", " room ")):
         assert L.fold(raw, TABLE) == want
 
 
