@@ -64,7 +64,7 @@ def sync_quiz_batches(quiz: DataFrame, path: str, checkpoint: str, retries: int
     ``batch``, ``synced`` and ``errors`` (rejected rows), observed on the rows as they are written.
 
     A micro-batch writes to its own folder, so a retry replaces what the failed try left, and
-    answers stored by earlier batches are left out.  Rejected rows go to a sibling folder.
+    answers stored by earlier batches, in the range of its ids, are left out.  Rejected rows go to a sibling folder.
     """
     spark = quiz.sparkSession
     done: dict[int, dict] = {}
@@ -77,7 +77,10 @@ def sync_quiz_batches(quiz: DataFrame, path: str, checkpoint: str, retries: int
         if batch_id > 0:
             schema = f"answer_id {batch.schema['answer_id'].dataType.simpleString()}, batch long"
             stored = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
-            good = good.join(stored.select("answer_id"), "answer_id", "left_anti")
+            # Files keep the range of their ids: where ids grow, earlier batches are told apart by it and not read.
+            low, high = good.agg(F.min("answer_id"), F.max("answer_id")).first()
+            if low is not None:
+                good = good.join(stored.filter(F.col("answer_id").between(low, high)).select("answer_id"), "answer_id", "left_anti")
         counts = {name: Observation(f"{name}-{batch_id}") for name in ("synced", "errors")}
         good.observe(counts["synced"], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
         bad.observe(counts["errors"], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(os.path.join(path + "-rejected", f"batch={batch_id}"))
