@@ -5,6 +5,9 @@ them and are then handed over in event order, so files may come in any order wit
 dropped by the watermark and counted in the query's progress. A timer per key fires at its earliest waiting row, or
 when what the key remembers cannot matter any more and is cleared. Keys, rows and results travel as JSON, so nulls and large
 numbers stay exact. A key's rows of one ``delay`` are in one task.
+
+Keys with deadlines are dealt to ``SHARDS`` groups, which share a state and a timer: a call of the state store costs more than the work on a key,
+so there are a few calls for a shard and batch, however many keys it has. A shard's state is read and written as a whole.
 """
 
 from __future__ import annotations
@@ -21,10 +24,30 @@ from studylake.operators.sessions import GuardState, guard_rows
 from studylake.streaming.runs import use_rocksdb
 
 
+#: Groups of keys that share a state. Fixed for the life of a checkpoint.
+SHARDS = 2048
+
+
+def _shard(key: str = "event_key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int").alias("event_shard")
+
+
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by)
 
 
+def _wake(handle: StatefulProcessorHandle, timer, at: int | None) -> None:
+    """Let the shard's only timer fire at ``at``."""
+    if timer.exists():
+        if timer.get()[0] == at:
+            return
+        handle.deleteTimer(timer.get()[0])
+        timer.clear()
+    if at is not None:
+        handle.registerTimer(at)
+        timer.update((at,))
+
+
 class OrderedProcessor(StatefulProcessor):
     """Holds rows back until the watermark has passed them; ``steps`` says what happens then."""
 
@@ -281,31 +304,45 @@ def stream_guarded_sessions(attempts: DataFrame, ttl_s: int, delay: str = "10 mi
 class DeadlineProcessor(StatefulProcessor):
     """Emit a key that stays in an open stage past its deadline (event time).
 
-    Serves both ingests stuck in processing and sessions that expire.
+    Serves both ingests stuck in processing and sessions that expire. State is the deadlines of a shard's open keys.
     """
 
-    def __init__(self, key: str, open_stages: list[str], after_s: int):
-        self.key, self.open_stages, self.after_ms = key, open_stages, after_s * 1000
+    def __init__(self, open_stages: list[str]):
+        self.open_stages = open_stages
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deadline = handle.getValueState("deadline", "ms long")
+        self.open = handle.getValueState("open", "doc string")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _load(self) -> dict[str, int]:
+        return json.loads(self.open.get()[0]) if self.open.exists() else {}
+
+    def _keep(self, due: dict[str, int]) -> None:
+        if due:
+            self.open.update((json.dumps(due),))
+        else:
+            self.open.clear()
+        _wake(self.handle, self.timer, min(due.values(), default=None))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = _ordered(rows, ["ts", "event_id"]).iloc[-1]
-        if self.deadline.exists():
-            self.handle.deleteTimer(self.deadline.get()[0])
-            self.deadline.clear()
-        if last["stage"] in self.open_stages:
-            due = int(pd.Timestamp(last["ts"]).value // 1_000_000) + self.after_ms
-            self.deadline.update((due,))
-            self.handle.registerTimer(due)
+        last = _ordered(rows, ["event_us", "event_id"]).drop_duplicates("event_key", keep="last")
+        due = self._load()
+        for name, stage, ms in zip(last["event_key"].tolist(), last["stage"].tolist(), last["due_ms"].tolist()):
+            if stage in self.open_stages:
+                due[name] = ms
+            else:
+                due.pop(name, None)
+        self._keep(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.deadline.get()[0] if self.deadline.exists() else None
-        self.deadline.clear()
-        yield pd.DataFrame({self.key: pd.Series([key[0]], dtype=object), "deadline_ms": pd.Series([due], dtype="int64")})
+        self.timer.clear()
+        mark, due = timerValues.getCurrentWatermarkInMs(), self._load()
+        over = [(name, ms) for name, ms in due.items() if ms <= mark]
+        self._keep({name: ms for name, ms in due.items() if ms > mark})
+        names, times = [n for n, _ in over], [ms for _, ms in over]
+        yield pd.DataFrame({"event_key": pd.Series(names, dtype=object), "deadline_ms": pd.Series(times, dtype="int64")})
 
     def close(self) -> None:
         pass
@@ -316,8 +353,13 @@ def stream_deadlines(
 ) -> DataFrame:
     """Keys whose latest stage is still open ``after_s`` seconds of event time later."""
     use_rocksdb(stages.sparkSession)
-    rows = stages.select(key, "event_id", "stage", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(
-        DeadlineProcessor(key, open_stages, after_s), f"{key} {kind}, deadline_ms long", "Append", "EventTime"
+    ts = F.col("ts").cast("timestamp")
+    rows = stages.select(
+        F.to_json(F.struct(key)).alias("event_key"), "event_id", "stage", ts.alias("ts"), F.unix_micros(ts).alias("event_us"),
+        (F.unix_millis(ts) + F.lit(after_s * 1000)).alias("due_ms"),
+    ).filter("ts IS NOT NULL").withWatermark("ts", delay)
+    out = rows.select(_shard(), "*").groupBy("event_shard").transformWithStateInPandas(
+        DeadlineProcessor(open_stages), "event_key string, deadline_ms long", "Append", "EventTime"
     )
+    kind = stages.schema[key].dataType.simpleString()
+    return out.select(F.from_json("event_key", f"{key} {kind}")[key].alias(key), "deadline_ms")

@@ -179,3 +179,25 @@ def test_alerts_and_deadlines(spark, sf, split_events, schema):
     assert rows(got) == rows(O.device_alerts(view(spark, sf, "telemetry")).drop("ts"))
     late = drain(ST.stream_deadlines(stream(spark, split_events, schema, "ingest_stages"), "trace_id", ["processing"], 3600), "l", "append")
     assert late.count() > 0
+
+
+def drained_states(stream, label):
+    """State rows that are left when ``stream`` is drained, and its state store's progress."""
+    query = stream.writeStream.option("checkpointLocation", scratch(stream.sparkSession, label)).format("noop").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {o["operatorName"]: o for o in query.lastProgress["stateOperators"]}["transformWithStateInPandasExec"]["numRowsTotal"]
+
+
+def test_open_keys_share_their_state(spark, tmp_path, monkeypatch):
+    """Deadlines of 300 open keys are a few state rows, not some of each key."""
+    monkeypatch.setattr(ST, "SHARDS", 4)
+    path = str(tmp_path / "stages")
+    cases = [(i, f"t{i}", "processing", i) for i in range(300)] + [(300 + i, f"t{i}", "embedded", 300 + i) for i in range(0, 300, 3)]
+    cases += [(900, None, "processing", 5), (901, "t999", "received", 1500)]
+    df = spark.createDataFrame(cases, "event_id long, trace_id string, stage string, s long").select("event_id", "trace_id", "stage", F.timestamp_seconds("s").alias("ts"))
+    df.coalesce(1).write.parquet(path)
+    stream = lambda: spark.readStream.schema(df.schema).parquet(path)
+    assert drained_states(ST.stream_deadlines(stream(), "trace_id", ["processing"], 9000), "open") <= 12
+    late = drain(ST.stream_deadlines(stream(), "trace_id", ["processing"], 800), "late", "append").drop("batch")
+    # The watermark ends at second 900: those of up to second 100 are past their deadline.
+    assert rows(late) == sorted([(str((i + 800) * 1000), f"t{i}") for i in range(101) if i % 3] + [("805000", "None")])
