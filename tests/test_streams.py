@@ -201,3 +201,17 @@ def test_open_keys_share_their_state(spark, tmp_path, monkeypatch):
     late = drain(ST.stream_deadlines(stream(), "trace_id", ["processing"], 800), "late", "append").drop("batch")
     # The watermark ends at second 900: those of up to second 100 are past their deadline.
     assert rows(late) == sorted([(str((i + 800) * 1000), f"t{i}") for i in range(101) if i % 3] + [("805000", "None")])
+
+
+def test_expiry_of_large_and_missing_ids(spark, tmp_path, monkeypatch):
+    """Session ids keep their type and value, and 400 open sessions stay within the state of the shards."""
+    monkeypatch.setattr(ST, "SHARDS", 4)
+    path, big, day = str(tmp_path / "sessions"), 2**53 + 1, 86_400
+    cases = [(big, "active", 60), (big - 1, "completed", 60), (None, "pending", 60)] + [(i, "pending", 50 * day) for i in range(400)] + [(7000, "completed", 41 * day)]
+    df = spark.createDataFrame(cases, "session_id long, stage string, s long").select("session_id", F.col("session_id").alias("event_id"), "stage", F.timestamp_seconds("s").alias("ts"))
+    df.coalesce(1).write.parquet(path)
+    stream = lambda: spark.readStream.schema(df.schema).parquet(path)
+    assert drained_states(ST.stream_deadlines(stream(), "session_id", ["pending", "active"], 40 * day), "sessions") <= 12
+    got = drain(ST.stream_deadlines(stream(), "session_id", ["pending", "active"], 40 * day), "expired", "append").drop("batch")
+    assert got.schema["session_id"].dataType.simpleString() == "bigint"
+    assert rows(got) == sorted([(str(40 * day * 1000 + 60_000), str(big)), (str(40 * day * 1000 + 60_000), "None")])
