@@ -2,11 +2,11 @@
 
 Throttles, triggers and session guards depend on the order of events. Their rows wait in the state until the watermark has passed
 them and are then handed over in event order, so files may come in any order within ``delay``; what comes later than that is
-dropped by the watermark and counted in the query's progress. A timer per key fires at its earliest waiting row, or
-when what the key remembers cannot matter any more and is cleared. Keys, rows and results travel as JSON, so nulls and large
+dropped by the watermark and counted in the query's progress. A timer fires at the earliest waiting row, or
+when what is remembered cannot matter any more and is cleared. Keys, rows and results travel as JSON, so nulls and large
 numbers stay exact. A key's rows of one ``delay`` are in one task.
 
-Keys with deadlines are dealt to ``SHARDS`` groups, which share a state and a timer: a call of the state store costs more than the work on a key,
+Keys are dealt to ``SHARDS`` groups, which share a state and a timer: a call of the state store costs more than the work on a key,
 so there are a few calls for a shard and batch, however many keys it has. A shard's state is read and written as a whole.
 """
 
@@ -49,57 +49,62 @@ def _wake(handle: StatefulProcessorHandle, timer, at: int | None) -> None:
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Holds rows back until the watermark has passed them; ``steps`` says what happens then."""
+    """Holds rows of a shard back until the watermark has passed them; ``steps`` says what happens then, key by key."""
 
     def __init__(self, steps: Steps):
         self.steps = steps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, doc string")
+        # Rows as they came, a frame an entry: lists of times, keys and rows, and the first of the times.
+        self.waiting = handle.getListState("waiting", "first long, rows string")
         self.known = handle.getValueState("known", "doc string")
         self.timer = handle.getValueState("timer", "ms long")
 
-    def _wake(self, at: int | None) -> None:
-        """Let the key's only timer fire at ``at``."""
-        if self.timer.exists():
-            if self.timer.get()[0] == at:
-                return
-            self.handle.deleteTimer(self.timer.get()[0])
-            self.timer.clear()
-        if at is not None:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(ms), doc) for pdf in rows for ms, doc in zip(pdf["event_ms"].tolist(), pdf["event_doc"].tolist())]
+        new = []
+        for pdf in rows:
+            if len(pdf):
+                new.append((int(pdf["event_ms"].min()), json.dumps([pdf[c].tolist() for c in ("event_ms", "event_key", "event_doc")])))
         self.waiting.appendList(new)
         first = min(ms for ms, _ in new)
         # A wake-up for clearing gives way to one for rows; the next is set from all there is.
-        self._wake(min(first, self.timer.get()[0]) if self.timer.exists() else first)
+        _wake(self.handle, self.timer, min(first, self.timer.get()[0]) if self.timer.exists() else first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        due, later = [r for r in rows if r[0] <= mark], [r for r in rows if r[0] > mark]
-        state = json.loads(self.known.get()[0]) if self.known.exists() else None
+        packs = [tuple(r) for r in self.waiting.get()]
+        due: dict[str, list[str]] = {}
+        later = [p for p in packs if p[0] > mark]
+        for _, pack in (p for p in packs if p[0] <= mark):
+            rest = []
+            for ms, name, doc in zip(*json.loads(pack)):
+                if ms <= mark:
+                    due.setdefault(name, []).append(doc)
+                else:
+                    rest.append((ms, name, doc))
+            if rest:
+                later.append((min(ms for ms, *_ in rest), json.dumps(list(zip(*rest)))))
+        known = json.loads(self.known.get()[0]) if self.known.exists() else {}
         out: list[dict] = []
-        if due:
-            parsed = sorted((self.steps.place(doc), i, doc) for i, doc in enumerate(json.loads(d) for _, d in due))
-            state = self.steps.take(json.loads(key[0]), state, [doc for *_, doc in parsed], out)
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
-        until = self.steps.until(state) if state is not None else None
-        if until is not None and until <= mark and not later:
-            self.known.clear()
-            until = None
+        for name, docs in due.items():
+            parsed = sorted((self.steps.place(doc), i, doc) for i, doc in enumerate(map(json.loads, docs)))
+            known[name] = self.steps.take(json.loads(name), known.get(name), [doc for *_, doc in parsed], out)
+        if due and later:
+            self.waiting.put(later)
         elif due:
-            self.known.update((json.dumps(state),))
-        self._wake(min(later)[0] if later else until)
+            self.waiting.clear()
+        ends = {name: self.steps.until(state) for name, state in known.items()}
+        known = {name: state for name, state in known.items() if ends[name] is None or ends[name] > mark}
+        if known:
+            self.known.update((json.dumps(known),))
+        else:
+            self.known.clear()
+        # With no row waiting, one wake-up clears all that is still known.
+        last = [ends[name] for name in known if ends[name] is not None]
+        _wake(self.handle, self.timer, min(first for first, _ in later) if later else max(last, default=None))
         yield pd.DataFrame({"event_doc": pd.Series([json.dumps(o) for o in out], dtype=object)})
 
     def close(self) -> None:
@@ -130,7 +135,7 @@ def in_order(events: DataFrame, keys: list[str], at: Column, row: list[str], ste
     rows = events.select(
         F.to_json(F.struct(*keys)).alias("event_key"), at.alias("event_ts"), F.unix_millis(at).alias("event_ms"), F.to_json(F.struct(*row)).alias("event_doc")
     ).filter("event_ts IS NOT NULL").withWatermark("event_ts", delay)
-    out = rows.groupBy("event_key").transformWithStateInPandas(OrderedProcessor(steps), "event_doc string", "Append", "EventTime")
+    out = rows.select(_shard(), "*").groupBy("event_shard").transformWithStateInPandas(OrderedProcessor(steps), "event_doc string", "Append", "EventTime")
     return out.select(F.from_json("event_doc", result).alias("r")).select("r.*")
 
 

@@ -215,3 +215,24 @@ def test_expiry_of_large_and_missing_ids(spark, tmp_path, monkeypatch):
     got = drain(ST.stream_deadlines(stream(), "session_id", ["pending", "active"], 40 * day), "expired", "append").drop("batch")
     assert got.schema["session_id"].dataType.simpleString() == "bigint"
     assert rows(got) == sorted([(str(40 * day * 1000 + 60_000), str(big)), (str(40 * day * 1000 + 60_000), "None")])
+
+
+def test_waiting_keys_share_their_state(spark, tmp_path, monkeypatch):
+    """400 waiting keys are a few state rows; rows that come before the watermark passes them keep their order in a shard of many keys."""
+    monkeypatch.setattr(ST, "SHARDS", 4)
+    path = str(tmp_path / "uploads")
+    cases = [(i, i, 1000 + i % 7, "h") for i in range(400)] + [(1000 + i, i, 1500 + i % 5, "h") for i in range(400)] + [(2000 + i, i, 3000, "h") for i in range(0, 400, 2)]
+    df = spark.createDataFrame(cases, "upload_id long, learner_id long, at_s long, file_hash string")
+    for part, low, high in ((0, 1000, 3000), (1, 0, 1000)):  # the middle rows first
+        df.filter(f"upload_id >= {low} AND upload_id < {high}").coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            if name.endswith(".parquet") and os.stat(f"{path}/{name}").st_mtime > 1_000_000_100:
+                os.utime(f"{path}/{name}", (1_000_000_000 + part, 1_000_000_000 + part))
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    # A wait of an hour: nothing is judged yet.
+    assert drained_states(ST.stream_dedup(stream(), delay="1 hour"), "wait") <= 20
+    got = drain(ST.stream_dedup(stream(), delay="2100 seconds"), "judged", "append").drop("batch")
+    want = throttle(df, ["learner_id", "file_hash"], "at_s", "upload_id", 1800)
+    assert rows(got) == []
+    got = drain(ST.stream_dedup(stream(), delay="2000 seconds"), "judged", "append").drop("batch")
+    assert rows(got) == rows(want.filter("at_s <= 1000"))
