@@ -9,8 +9,8 @@ from studylake.catalog.progress import before_watermark, exam_oracle, greedy, pr
 from studylake.operators import ops as O
 from studylake.streaming import aggregates as A
 from studylake.streaming import stateful as S
-from studylake.streaming.runs import drain, latest, scratch, view_stream
-from studylake.sources.tables import oracle
+from studylake.streaming.runs import drain, ending, latest, scratch, view_stream
+from studylake.sources.tables import oracle, view
 
 _DUE = "CASE WHEN level < 0.3 THEN 1 WHEN level < 0.6 THEN 3 WHEN level < 0.8 THEN 7 WHEN level < 0.9 THEN 14 ELSE 30 END"
 
@@ -137,9 +137,12 @@ def _(spark, sf):
     return fired.filter("trigger = 'practice'").select("learner_id", F.col("target").alias("kp_id"), "at_s", "answer_id")
 
 
-@query("s11_stream_exam", exam_oracle(before_watermark(3600)))
+@query("s11_stream_exam", exam_oracle())
 def _(spark, sf):
-    fired = drain(S.stream_triggers(view_stream(spark, sf, "answers")), "triggers", "append")
+    path, ends = ending(spark, "answers-end")
+    end = view(spark, sf, "answers").agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
+    stream = S.stream_triggers(view_stream(spark, sf, "answers"), ends=ends)
+    fired = drain(stream, "triggers", "append", last=lambda: end.write.mode("append").parquet(path))
     return fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")
 
 

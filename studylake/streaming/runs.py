@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,28 +39,33 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def drain(stream: DataFrame, label: str, mode: str, path: str | None = None) -> DataFrame:
+def ending(spark: SparkSession, label: str) -> tuple[str, DataFrame]:
+    """A folder for the end of a stream's input, empty so far, and the stream of it. What is written to it later, the time (end) of
+    the last event, lets the watermark pass every event."""
+    path = scratch(spark, label)
+    spark.createDataFrame([], "end timestamp").write.parquet(path)
+    return path, spark.readStream.schema("end timestamp").parquet(path)
+
+
+def drain(stream: DataFrame, label: str, mode: str, path: str | None = None, last: Callable[[], None] | None = None) -> DataFrame:
     """Process what is available and return what was emitted, with the batch it came in.
 
     Every micro-batch overwrites its own folder, so a batch replayed after a failure leaves the
-    same files.
+    same files. When all is processed, ``last`` may add to the sources, and that is processed too.
     """
     spark = stream.sparkSession
-    out = path or scratch(spark, label)
+    out, checkpoint = path or scratch(spark, label), scratch(spark, f"{label}-checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", scratch(spark, f"{label}-checkpoint"))
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    for before in (None, last) if last else (None,):
+        if before:
+            before()
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
 
 

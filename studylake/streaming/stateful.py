@@ -28,6 +28,10 @@ from studylake.streaming.runs import use_rocksdb
 SHARDS = 2048
 
 
+#: Key of the end of the input; it is no JSON, so no event has it.
+END = ""
+
+
 def _shard(key: str = "event_key") -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int").alias("event_shard")
 
@@ -64,8 +68,11 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for pdf in rows:
+            pdf = pdf[pdf["event_key"] != END]
             if len(pdf):
                 new.append((int(pdf["event_ms"].min()), json.dumps([pdf[c].tolist() for c in ("event_ms", "event_key", "event_doc")])))
+        if not new:
+            return iter(())
         self.waiting.appendList(new)
         first = min(ms for ms, _ in new)
         # A wake-up for clearing gives way to one for rows; the next is set from all there is.
@@ -127,14 +134,23 @@ class Steps:
         return None
 
 
-def in_order(events: DataFrame, keys: list[str], at: Column, row: list[str], steps: Steps, result: str, delay: str) -> DataFrame:
-    """``result`` rows of ``steps`` over the rows of each key, in event order up to the watermark."""
+def in_order(
+    events: DataFrame, keys: list[str], at: Column, row: list[str], steps: Steps, result: str, delay: str, ends: DataFrame | None = None
+) -> DataFrame:
+    """``result`` rows of ``steps`` over the rows of each key, in event order up to the watermark.
+
+    ``ends`` is a stream (end) that gets the time of the last event when no more will come: then the watermark passes it.
+    """
     use_rocksdb(events.sparkSession)
     # A first watermark is 0, and what is not after it is late: one millisecond more keeps an event of second 0 of a clock.
     at = at + F.expr("INTERVAL 1 MILLISECOND")
     rows = events.select(
         F.to_json(F.struct(*keys)).alias("event_key"), at.alias("event_ts"), F.unix_millis(at).alias("event_ms"), F.to_json(F.struct(*row)).alias("event_doc")
-    ).filter("event_ts IS NOT NULL").withWatermark("event_ts", delay)
+    ).filter("event_ts IS NOT NULL")
+    if ends is not None:
+        end = F.col("end") + F.expr("INTERVAL 1 MILLISECOND") + F.expr(f"INTERVAL {delay}")
+        rows = rows.unionByName(ends.filter("end IS NOT NULL").select(F.lit(END).alias("event_key"), end.alias("event_ts"), F.unix_millis(end).alias("event_ms"), F.lit(END).alias("event_doc")))
+    rows = rows.withWatermark("event_ts", delay)
     out = rows.select(_shard(), "*").groupBy("event_shard").transformWithStateInPandas(OrderedProcessor(steps), "event_doc string", "Append", "EventTime")
     return out.select(F.from_json("event_doc", result).alias("r")).select("r.*")
 
@@ -229,13 +245,13 @@ class Triggers(Steps):
         return state
 
 
-def stream_triggers(answers: DataFrame, delay: str = "1 hour", **limits: int | None) -> DataFrame:
-    """Practice sets and drill exams started by a stream of answers."""
+def stream_triggers(answers: DataFrame, delay: str = "1 hour", ends: DataFrame | None = None, **limits: int | None) -> DataFrame:
+    """Practice sets and drill exams started by a stream of answers; with ``ends`` (see ``in_order``) up to its last."""
     ts = F.col("ts").cast("timestamp")
     rows = answers.select("learner_id", "answer_id", "kp_id", "score", "ts", F.unix_seconds(ts).alias("at_s"), F.unix_micros(ts).alias("us"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("learner_id", "answer_id")}
     result = f"learner_id {kinds['learner_id']}, trigger string, target string, at_s long, answer_id {kinds['answer_id']}"
-    return in_order(rows, ["learner_id"], ts, ["answer_id", "kp_id", "score", "at_s", "us"], Triggers(**limits), result, delay)
+    return in_order(rows, ["learner_id"], ts, ["answer_id", "kp_id", "score", "at_s", "us"], Triggers(**limits), result, delay, ends)
 
 
 class OutageProcessor(StatefulProcessor):

@@ -14,7 +14,7 @@ from studylake.operators.throttle import throttle
 from studylake.sources.tables import VIEWS, load, view
 from studylake.streaming import aggregates as A
 from studylake.streaming import stateful as ST
-from studylake.streaming.runs import drain, latest, scratch
+from studylake.streaming.runs import drain, ending, latest, scratch
 from studylake.streaming.store import KeyedStore
 from tests.conftest import rows
 
@@ -236,3 +236,21 @@ def test_waiting_keys_share_their_state(spark, tmp_path, monkeypatch):
     assert rows(got) == []
     got = drain(ST.stream_dedup(stream(), delay="2000 seconds"), "judged", "append").drop("batch")
     assert rows(got) == rows(want.filter("at_s <= 1000"))
+
+
+def test_exams_of_the_last_hour(spark, tmp_path):
+    """At the end of the input the answers after the last watermark are judged too, in order, and no earlier file is late by it."""
+    cases = [(learner, 10 * learner + i, f"math/p{i % 4}", 0.0, at + i) for learner, at in ((1, 10), (2, 99_000), (3, 99_990)) for i in range(8)]
+    df = answers_of(spark, cases)
+    path = str(tmp_path / "answers")
+    for at, ids in ((0, "learner_id = 3"), (1, "learner_id < 3")):
+        df.filter(ids).coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            if name.endswith(".parquet") and os.stat(f"{path}/{name}").st_mtime > 1_000_000_100:
+                os.utime(f"{path}/{name}", (1_000_000_000 + at, 1_000_000_000 + at))
+    mark, ends = ending(spark, "answers-end")
+    stream = ST.stream_triggers(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path), delay="30 hours", ends=ends)
+    end = df.agg(F.max("ts").alias("end"))
+    fired = drain(stream, "exams", "append", last=lambda: end.write.mode("append").parquet(mark))
+    assert rows(fired.filter("trigger = 'exam'").select("learner_id", "at_s", "answer_id")) == rows(P.exam_trigger(df)) != []
+    assert rows(fired.filter("trigger = 'practice'").select("learner_id", F.col("target").alias("kp_id"), "at_s", "answer_id")) == rows(P.practice_trigger(df))
