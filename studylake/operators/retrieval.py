@@ -235,6 +235,11 @@ def tokens(text: Column) -> Column:
 
 # Cells of the (term, query) matrix sent to every task; larger batches of queries are joined.
 MAX_TERM_CELLS = 5_000_000
+# Query words (query, term) sent to the tasks that join them with documents; more are joined in blocks of queries.
+MAX_WORDS = 1_000_000
+# Documents, and (query, document) pairs, of one task of that join: what it groups stays in memory.
+JOIN_DOCS = 4096
+JOIN_PAIRS = 1_000_000
 # Stands for the document itself in the term statistics; cannot be a token.
 _SELF = "\x00"
 
@@ -257,15 +262,16 @@ def bm25_topk(
 
     One scan counts the asked terms, a second one scores.  While (asked terms x queries) is within
     ``max_cells`` the query terms are sent to the tasks, each of which scores its documents and
-    keeps k per query: documents are never shuffled.  Larger batches of queries are joined by term.
+    keeps k per query: documents are never shuffled.  Larger batches of queries are joined by term, in blocks
+    of about ``MAX_WORDS`` words; texts are dealt out by id once, and no posting leaves its document's task.
     """
     words = queries.select(
         F.col("query_id").cast("long"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
     )
-    shape = words.agg(F.countDistinct("term"), F.countDistinct("query_id")).first()
+    shape = words.agg(F.countDistinct("term"), F.countDistinct("query_id"), F.count(F.lit(1))).first()
     few = shape[0] * shape[1] <= max_cells
     asked = words.select("term").distinct()
-    stats = _term_stats(docs, asked, few)
+    stats = _term_stats(docs, asked, shape[0] <= MAX_WORDS)
     whole = stats.filter(F.col("term") == _SELF).first()
     if whole is None:
         return docs.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank long")
@@ -273,25 +279,34 @@ def bm25_topk(
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = words.join(stats, "term").select("query_id", "term", idf.alias("idf"))
     rows = docs.select(F.col("chunk_id").cast("long"), "text")
-    scored = (_bm25_scan if few else _bm25_join)(weights, rows, k, k1, b, mean_len)
+    if few:
+        scored = _bm25_scan(weights, rows, k, k1, b, mean_len)
+    else:
+        blocks = max(1, -(-shape[2] // MAX_WORDS))
+        parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(n_docs) // JOIN_DOCS), -(-int(n_docs) * shape[1] // (blocks * JOIN_PAIRS)))
+        scored = _bm25_join(weights, rows, k1, b, mean_len, blocks, parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn(
         "rank", F.col("rank").cast("long")
     )
 
 
-def _bm25_join(weights: DataFrame, docs: DataFrame, k: int, k1: float, b: float, mean_len: float) -> DataFrame:
-    """Scores of every (query, document) sharing a term.  A term found in most documents is split
-    by the skew join; sums are combined map-side."""
-    split = docs.select("chunk_id", tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
-    tf = (
-        split.select("chunk_id", "dl", F.explode("ts").alias("term"))
-        .join(weights.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_id", "term", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def _bm25_join(weights: DataFrame, docs: DataFrame, k1: float, b: float, mean_len: float, blocks: int, parts: int) -> DataFrame:
+    """Scores of every (query, document) sharing a term, query block by query block.
+
+    Documents are dealt out by id, so their words are counted, joined and added up where they are; a rank that is
+    asked for is cut to k rows per query and task before anything is moved.
+    """
+    split = docs.repartition(parts, "chunk_id").select("chunk_id", tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
+    words = split.select("chunk_id", "dl", F.explode("ts").alias("term"))
     gain = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean_len)))
-    scores = tf.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
+    scores = None
+    for block in range(blocks):
+        own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else weights
+        found = words.join(F.broadcast(own.select("term").distinct()), "term", "left_semi")
+        tf = found.groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        part = tf.join(F.broadcast(own), "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
+        scores = part if scores is None else scores.unionByName(part)
     return scores.withColumn("score", F.round("score", RANK_DIGITS))
 
 

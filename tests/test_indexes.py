@@ -121,3 +121,15 @@ def test_ann_query_finds_every_neighbour(spark):
     exact = V.vector_topk(V.profile_vectors(load(spark, SF, "embeddings")), load(spark, SF, "embeddings").withColumnRenamed("vec_id", "chunk_id"), 10)
     assert rows(found.select("query_id", "chunk_id", "rank")) == rows(exact.select("query_id", "chunk_id", "rank"))
     assert found.filter("found < k OR k < 10").count() == 0
+
+
+def test_joined_words_stay_with_their_document(spark, texts, monkeypatch):
+    """Any number of blocks of queries scores as the scan does, and only texts are dealt out, by id: no postings, no pairs."""
+    docs, asked, _ = texts
+    want = rows(V.bm25_topk(asked, docs, 10))
+    for most in (V.MAX_WORDS, 9):
+        monkeypatch.setattr(V, "MAX_WORDS", most)
+        joined = V.bm25_topk(asked, docs, 10, max_cells=0)
+        assert rows(joined) == want
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chunk_id" in plan and not re.search(r"hashpartitioning\((chunk_id#\d+L?, term|query_id#\d+L?, chunk_id)", plan)
