@@ -11,6 +11,7 @@ Null ids and null texts are left out. An id that comes twice is two documents th
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ from studylake.operators.retrieval import RANK_DIGITS, tokens
 BLOCK = 64
 #: Folders of the posting table; a search reads those of its terms.
 BUCKETS = 64
+#: Documents of a task that makes postings, which it sorts in memory.
+PART_DOCS = 4096
+#: (query, document) pairs of a task that scores.
+PART_PAIRS = 1_000_000
+#: Query words (query, term) that are sent to the tasks; more are joined by shuffle.
+SENT = 1_000_000
 #: Blocks of each query that are scored before the threshold is known.
 FIRST = 8
 POSTING = "bucket int, term string, block long, most int, least int, docs array<struct<chunk_id: bigint, row: bigint, tf: int, dl: int>>"
@@ -28,21 +35,27 @@ POSTING = "bucket int, term string, block long, most int, least int, docs array<
 
 def build(docs: DataFrame, path: str, block: int = BLOCK) -> None:
     """Write the postings of ``docs`` (chunk_id, text) and their statistics to ``path``."""
-    numbered = docs.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").filter("chunk_id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
-    words = numbered.select("chunk_id", "row", tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
-    # One row per document and term: a document's words are in one task, so they are counted before they are moved.
-    counted = words.select("chunk_id", "row", "dl", F.explode("ts").alias("term")).groupBy("chunk_id", "row", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    spark = docs.sparkSession
+    key = F.col("chunk_id").cast("long")
+    numbered = docs.select(key.alias("chunk_id"), "text").filter("chunk_id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    lengths = numbered.select(F.size(tokens(F.col("text"))).alias("dl"))
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(os.path.join(path, "totals"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(os.path.join(path, "totals")).first()["n"] // PART_DOCS))
+    # Texts are dealt out by block, the one time before the postings of a block are ready: words are counted and collected where they are.
+    dealt = numbered.withColumn("block", F.floor(F.col("chunk_id") / block).cast("long")).repartition(parts, "block")
+    words = dealt.select("block", "chunk_id", "row", tokens(F.col("text")).alias("ts")).withColumn("dl", F.size("ts"))
+    counted = words.select("block", "chunk_id", "row", "dl", F.explode("ts").alias("term"))
+    counted = counted.groupBy("block", "chunk_id", "row", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     doc = F.struct("chunk_id", "row", "tf", "dl")
-    postings = counted.groupBy("term", F.floor(F.col("chunk_id") / block).cast("long").alias("block")).agg(
-        F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(doc).alias("docs")
-    )
+    postings = counted.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(doc).alias("docs"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    rows = postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    # Written as they are made, then dealt by term from there: its ranges are found without making them again.
+    made = os.path.join(path, "made")
+    postings.withColumn("bucket", bucket).write.mode("overwrite").parquet(made)
+    rows = spark.read.schema(POSTING).parquet(made).repartitionByRange(parts, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, "postings"))
-    spark = docs.sparkSession
     stored = spark.read.schema(POSTING).parquet(os.path.join(path, "postings"))
     stored.groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df")).write.mode("overwrite").parquet(os.path.join(path, "terms"))
-    words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(os.path.join(path, "totals"))
 
 
 def _gain(tf: Column, dl: Column, k1: float, b: float, mean: float) -> Column:
@@ -58,35 +71,46 @@ def search(queries: DataFrame, path: str, k: int = 10, k1: float = 1.5, b: float
     mean = max(totals["mean"], 1e-9)
     words = queries.select(F.col("query_id").cast("long"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     words = words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    used = [r["bucket"] for r in words.select("bucket").distinct().collect()]
+    used = words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    asked = words.agg(F.countDistinct("query_id")).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-totals["n"] // PART_DOCS), -(-totals["n"] * asked // PART_PAIRS))
+    sent, used = sum(r["n"] for r in used) <= SENT, [r["bucket"] for r in used]
     terms = spark.read.schema("bucket int, term string, df long").parquet(os.path.join(path, "terms"))
     idf = F.log(1 + (F.lit(float(totals["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = words.join(terms, ["bucket", "term"]).select("query_id", "bucket", "term", idf.alias("idf"))
+    weights = terms.filter(F.col("bucket").isin(used)).join(F.broadcast(words) if sent else words, ["bucket", "term"]).select("query_id", "bucket", "term", idf.alias("idf"))
+    weights = F.broadcast(weights) if sent else weights
     postings = spark.read.schema(POSTING).parquet(os.path.join(path, "postings")).filter(F.col("bucket").isin(used))
 
     # Bounds read no documents; they are combined map-side into one row per (query, block).
     bound = F.sum(F.col("idf") * _gain(F.col("most"), F.col("least"), k1, b, mean))
     key = ["bucket", "term"]
-    blocks = weights.join(postings.select(*key, "block", "most", "least"), key).groupBy("query_id", "block").agg(bound.alias("bound"))
+    blocks = postings.select(*key, "block", "most", "least").join(weights, key).groupBy("query_id", "block").agg(bound.alias("bound"))
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    # Bounds are kept: what follows asks for them several times.
+    kept_at = os.path.join(path, f"bounds-{uuid.uuid4().hex}")
+    blocks.write.parquet(kept_at)
+    blocks = spark.read.schema("query_id long, block long, bound double").parquet(kept_at)
+    terms = weights.select(*key).distinct()
+    dealt = postings.select(*key, "block", "docs").join(F.broadcast(terms) if sent else terms, key, "left_semi").repartition(parts, "block")
     start = blocks.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= first)
-    scores = _scored(start, weights, postings, k1, b, mean)
+    scores = _scored(start, weights, dealt, k1, b, mean)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     kept = scores.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k)
     # The k-th score so far; with fewer documents nothing is ruled out. Bounds are sums in another order: leave room for that.
     floor_ = kept.filter(F.col("_n") == k).select("query_id", F.col("score").alias("_floor"))
     later = blocks.join(floor_, "query_id", "left").filter(F.col("_floor").isNull() | (F.col("bound") + 1e-6 >= F.col("_floor")))
     later = later.join(start.select("query_id", "block"), ["query_id", "block"], "left_anti")
-    all_ = kept.drop("_n").unionByName(_scored(later, weights, postings, k1, b, mean))
+    all_ = kept.drop("_n").unionByName(_scored(later, weights, dealt, k1, b, mean))
     ranked = all_.withColumn("rank", F.row_number().over(place).cast("long")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "score", "rank")
 
 
 def _scored(blocks: DataFrame, weights: DataFrame, postings: DataFrame, k1: float, b: float, mean: float) -> DataFrame:
-    """(query_id, chunk_id, score) of the documents of the (query, block) rows."""
-    asked = blocks.select("query_id", "block").join(weights, "query_id")
-    found = asked.join(postings.select("bucket", "term", "block", "docs"), ["bucket", "term", "block"])
-    each = found.select("query_id", "idf", F.explode("docs").alias("d")).select("query_id", "idf", "d.*")
+    """(query_id, chunk_id, score) of the documents of the (query, block) rows. ``postings`` are dealt out by block: blocks are
+    joined with them and their documents added up where they are."""
+    wanted = blocks.groupBy("block").agg(F.collect_list("query_id").alias("asked"))
+    found = postings.join(wanted, "block").join(weights, ["bucket", "term"]).filter(F.array_contains("asked", F.col("query_id")))
+    each = found.select("query_id", "block", "idf", F.explode("docs").alias("d")).select("query_id", "block", "idf", "d.*")
     total = F.sum(F.col("idf") * _gain(F.col("tf"), F.col("dl"), k1, b, mean))
-    scores = each.groupBy("query_id", "chunk_id", "row").agg(total.alias("score")).drop("row")
+    scores = each.groupBy("block", "query_id", "chunk_id", "row").agg(total.alias("score")).drop("block", "row")
     return scores.withColumn("score", F.round("score", RANK_DIGITS))

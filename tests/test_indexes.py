@@ -133,3 +133,12 @@ def test_joined_words_stay_with_their_document(spark, texts, monkeypatch):
         assert rows(joined) == want
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(chunk_id" in plan and not re.search(r"hashpartitioning\((chunk_id#\d+L?, term|query_id#\d+L?, chunk_id)", plan)
+
+
+def test_postings_are_scored_in_their_block(spark, texts):
+    """Postings are dealt out by block, not by query and document, in building and in searching; no pair is moved before it is ranked."""
+    docs, asked, path = texts
+    found = L.search(asked, path, 10)
+    assert rows(found) == rows(V.bm25_topk(asked, docs, 10))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\((query_id#\d+L?, chunk_id|bucket#\d+, term#\d+, block)", plan)
