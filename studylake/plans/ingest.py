@@ -10,6 +10,9 @@ from studylake.operators import corpus as K
 from studylake.operators import lexical_index, vector_index
 from studylake.operators import retrieval as V
 
+#: Hits of a batch of queries that are sent to the chunks; more are joined by shuffle.
+SENT_HITS = 1_000_000
+
 
 def ingest(docs: DataFrame, registered: DataFrame, separator: str = K.PARAGRAPH, require_cjk: bool = True) -> DataFrame:
     """Chunks of admitted documents, ready for ``upsert_chunks``.
@@ -45,4 +48,7 @@ def context(
     """
     by_vector = vector_index.nearest(query_vectors, near, 2 * k) if near else V.vector_topk(query_vectors, vectors, 2 * k)
     by_words = lexical_index.search(queries, words, 2 * k) if words else V.bm25_topk(queries, chunks, 2 * k)
-    return V.rrf_fuse([by_vector, by_words], k).join(chunks, "chunk_id")
+    hits = V.rrf_fuse([by_vector, by_words], k)
+    asked = queries.select("query_id").union(query_vectors.select("query_id")).distinct().count()
+    # Hits are sent to the texts, which are not moved.
+    return chunks.join(F.broadcast(hits) if asked * k <= SENT_HITS else hits, "chunk_id").select(*hits.columns, *[c for c in chunks.columns if c != "chunk_id"])

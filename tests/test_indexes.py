@@ -12,6 +12,7 @@ from studylake.catalog import QUERIES, load_all
 from studylake.operators import lexical_index as L
 from studylake.operators import retrieval as V
 from studylake.operators import vector_index as I
+from studylake.plans.ingest import context
 from studylake.sources.tables import load
 from tests.conftest import SF, rows
 
@@ -142,3 +143,18 @@ def test_postings_are_scored_in_their_block(spark, texts):
     assert rows(found) == rows(V.bm25_topk(asked, docs, 10))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\((query_id#\d+L?, chunk_id|bucket#\d+, term#\d+, block)", plan)
+
+
+def test_context_moves_no_texts(spark, texts, clustered):
+    """Hits go to the chunks, whatever the size of these."""
+    docs, asked, path = texts
+    vectors, queries, near = clustered
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = context(asked, queries, docs, vectors, words=path, near=near)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = plan[: plan.index("Window")]
+    assert "BroadcastHashJoin" in top and "SortMergeJoin" not in top
+    assert set(hits.columns) == {"query_id", "chunk_id", "score", "rank", "text"}
