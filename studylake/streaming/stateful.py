@@ -15,7 +15,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +31,10 @@ from studylake.streaming.runs import use_rocksdb
 SHARDS = 2048
 
 
+#: Rows of a scan that are packed by shard at a time.
+PACK_ROWS = 1 << 19
+
+
 #: Key of the end of the input; it is no JSON, so no event has it.
 END = ""
 
@@ -322,48 +329,99 @@ def stream_guarded_sessions(attempts: DataFrame, ttl_s: int, delay: str = "10 mi
     return in_order(rows, ["learner_id"], F.timestamp_seconds("at_s"), [*cols[1:], "guard_title", "bypass", "left_s"], Guards(ttl_s), result, delay)
 
 
+def _to_bytes(rows: pa.RecordBatch | pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(pack: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pack).read_all()
+
+
+def _last(rows: pa.Table, by: list[str]) -> pa.Table:
+    """The last row of each key, in the order of ``by``."""
+    # As in SQL, a missing id is before all others.
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in by], null_placement="at_start")
+    rows = rows.take(order).combine_chunks()
+    names = pc.dictionary_encode(rows["event_key"], null_encoding="encode").combine_chunks()
+    last = np.zeros(len(names.dictionary), dtype=np.int64)
+    last[names.indices.to_numpy()] = np.arange(len(rows))
+    return rows if len(last) == len(rows) else rows.take(pa.array(np.sort(last))).combine_chunks()
+
+
+def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per shard: its latest time, and the last rows of its keys."""
+    rows = _last(pa.Table.from_batches(held), ["event_shard", "event_us", "event_id"])
+    shards, (batch,) = rows["event_shard"].to_numpy(), rows.drop_columns("event_shard").to_batches()
+    starts = np.flatnonzero(np.diff(shards, prepend=-1))
+    ends = np.append(starts[1:], len(shards))
+    packs = [_to_bytes(batch.slice(a, b - a)) for a, b in zip(starts.tolist(), ends.tolist())]
+    latest = batch["event_us"].take(pa.array(ends - 1)).cast(pa.timestamp("us", tz="UTC"))
+    return pa.RecordBatch.from_arrays([pa.array(shards[starts]), latest, pa.array(packs, pa.binary())], ["event_shard", "event_ts", "event_pack"])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield _pack(held)
+            held, n = [], 0
+    if held:
+        yield _pack(held)
+
+
 class DeadlineProcessor(StatefulProcessor):
     """Emit a key that stays in an open stage past its deadline (event time).
 
-    Serves both ingests stuck in processing and sessions that expire. State is the deadlines of a shard's open keys.
+    Serves both ingests stuck in processing and sessions that expire. State is the deadlines of a shard's open keys, in Arrow's
+    format, and the time of its timer.
     """
 
-    def __init__(self, open_stages: list[str]):
-        self.open_stages = open_stages
+    def __init__(self, after_ms: int):
+        self.after_ms = after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "doc string")
-        self.timer = handle.getValueState("timer", "ms long")
-
-    def _load(self) -> dict[str, int]:
-        return json.loads(self.open.get()[0]) if self.open.exists() else {}
-
-    def _keep(self, due: dict[str, int]) -> None:
-        if due:
-            self.open.update((json.dumps(due),))
-        else:
+        self.open = handle.getValueState("open", "ms long, due binary")
+
+    def _keep(self, due: pa.Table, timer: int | None) -> None:
+        """Keep the deadlines, and let the shard's only timer, now at ``timer``, fire at the first of them."""
+        first = pc.min(due["deadline_ms"]).as_py()
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
             self.open.clear()
-        _wake(self.handle, self.timer, min(due.values(), default=None))
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.open.update((first, _to_bytes(due)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = _ordered(rows, ["event_us", "event_id"]).drop_duplicates("event_key", keep="last")
-        due = self._load()
-        for name, stage, ms in zip(last["event_key"].tolist(), last["stage"].tolist(), last["due_ms"].tolist()):
-            if stage in self.open_stages:
-                due[name] = ms
-            else:
-                due.pop(name, None)
-        self._keep(due)
+        packs = [_from_bytes(pack) for pdf in rows for pack in pdf["event_pack"]]
+        last = _last(pa.concat_tables(packs), ["event_us", "event_id"])
+        opened = last.filter(last["open"])
+        ms = np.floor_divide(opened["event_us"].to_numpy(), 1000) + self.after_ms
+        due = pa.table({"event_key": opened["event_key"], "deadline_ms": pa.array(ms, pa.int64())})
+        known = self.open.get()
+        if known:
+            before = _from_bytes(known[1])
+            gone = pc.is_in(before["event_key"], value_set=last["event_key"])
+            due = pa.concat_tables([before.filter(pc.invert(gone)), due]).combine_chunks()
+        if known or len(due):
+            self._keep(due, known[0] if known else None)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        mark, due = timerValues.getCurrentWatermarkInMs(), self._load()
-        over = [(name, ms) for name, ms in due.items() if ms <= mark]
-        self._keep({name: ms for name, ms in due.items() if ms > mark})
-        names, times = [n for n, _ in over], [ms for _, ms in over]
-        yield pd.DataFrame({"event_key": pd.Series(names, dtype=object), "deadline_ms": pd.Series(times, dtype="int64")})
+        due = _from_bytes(self.open.get()[1])
+        over = pc.less_equal(due["deadline_ms"], timerValues.getCurrentWatermarkInMs())
+        self._keep(due.filter(pc.invert(over)), None)
+        # Arrow's types keep large keys exact beside missing ones; Spark takes them in one chunk.
+        yield due.filter(over).combine_chunks().to_pandas(types_mapper=pd.ArrowDtype)
 
     def close(self) -> None:
         pass
@@ -372,15 +430,18 @@ class DeadlineProcessor(StatefulProcessor):
 def stream_deadlines(
     stages: DataFrame, key: str, open_stages: list[str], after_s: int, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Keys whose latest stage is still open ``after_s`` seconds of event time later."""
+    """Keys whose latest stage is still open ``after_s`` seconds of event time later.
+
+    Rows are packed by shard before they are dealt out, as Python takes the input of a state row by row. A pack is late when all
+    its rows are; late rows of another one are judged.
+    """
     use_rocksdb(stages.sparkSession)
-    ts = F.col("ts").cast("timestamp")
     rows = stages.select(
-        F.to_json(F.struct(key)).alias("event_key"), "event_id", "stage", ts.alias("ts"), F.unix_micros(ts).alias("event_us"),
-        (F.unix_millis(ts) + F.lit(after_s * 1000)).alias("due_ms"),
-    ).filter("ts IS NOT NULL").withWatermark("ts", delay)
-    out = rows.select(_shard(), "*").groupBy("event_shard").transformWithStateInPandas(
-        DeadlineProcessor(open_stages), "event_key string, deadline_ms long", "Append", "EventTime"
+        F.col(key).alias("event_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("event_us"), "event_id",
+        F.coalesce(F.col("stage").isin(open_stages), F.lit(False)).alias("open"),
+    ).filter("event_us IS NOT NULL").select(_shard(), "*")
+    packs = rows.mapInArrow(_packs, "event_shard int, event_ts timestamp, event_pack binary").withWatermark("event_ts", delay)
+    out = packs.groupBy("event_shard").transformWithStateInPandas(
+        DeadlineProcessor(after_s * 1000), f"event_key {stages.schema[key].dataType.simpleString()}, deadline_ms long", "Append", "EventTime"
     )
-    kind = stages.schema[key].dataType.simpleString()
-    return out.select(F.from_json("event_key", f"{key} {kind}")[key].alias(key), "deadline_ms")
+    return out.withColumnRenamed("event_key", key)

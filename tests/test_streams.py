@@ -217,6 +217,63 @@ def test_expiry_of_large_and_missing_ids(spark, tmp_path, monkeypatch):
     assert rows(got) == sorted([(str(40 * day * 1000 + 60_000), str(big)), (str(40 * day * 1000 + 60_000), "None")])
 
 
+def shuffled_rows(spark, stream, label):
+    """What ``stream`` emits, and the rows that were dealt out for it."""
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    got = drain(stream, label, "append").drop("batch")
+    return got, sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_deadlines_are_packed_by_shard(spark, tmp_path, monkeypatch):
+    """Rows are dealt out as one pack of a shard for each packed part of a scan, not one by one; the latest row of a key counts, wherever it is packed."""
+    monkeypatch.setattr(ST, "SHARDS", 8)
+    path, big = str(tmp_path / "stages"), 2**53
+    cases = [(big + i, big + i, "processing", 1 + i % 50) for i in range(6000)]
+    cases += [(7 * big, big + 1, "embedded", 2), (1, big + 2, "embedded", 3), (None, big + 3, "embedded", 3), (7 * big + 1, big + 4, None, 5)]
+    cases += [(2, big + 5, "embedded", 1), (7 * big + 2, None, "embedded", 10), (7 * big + 1, None, "processing", 10), (3, 1, "received", 2000), (4, 2, "processing", None)]
+    df = spark.createDataFrame(cases, "event_id long, trace_id long, stage string, s long").select("event_id", "trace_id", "stage", F.timestamp_seconds("s").alias("ts"))
+    df.orderBy(F.hash("event_id")).coalesce(1).write.parquet(path)
+    stream = lambda: ST.stream_deadlines(spark.readStream.schema(df.schema).parquet(path), "trace_id", ["processing"], 900)
+    got, dealt = shuffled_rows(spark, stream(), "packed")
+    want = sorted((str((i % 50 + 901) * 1000), str(big + i)) for i in range(6000) if i not in (1, 4))
+    assert rows(got) == want
+    assert dealt <= 8 * spark.sparkContext.defaultParallelism
+    # Many small packs, which a shard puts together.
+    monkeypatch.setattr(ST, "PACK_ROWS", 1)
+    got, dealt = shuffled_rows(spark, stream(), "repacked")
+    assert rows(got) == want and 8 * 2 < dealt < 6000
+
+
+def test_deadlines_of_several_batches(spark, tmp_path, monkeypatch):
+    """A later batch closes, reopens and moves the deadlines of keys that a shard holds with others, each once."""
+    monkeypatch.setattr(ST, "SHARDS", 2)
+    path = str(tmp_path / "stages")
+    files = [
+        [(i, f"t{i}", "processing", i) for i in range(100)] + [(100, None, "processing", 100)],
+        [(200 + i, f"t{i}", "embedded" if i % 2 else "processing", 200 + i) for i in range(0, 100, 3)] + [(300, None, "embedded", 300), (301, "t3", "processing", 301)],
+        [(900, "t999", "received", 1660)],
+        [(901, "t999", "received", 5000)],
+    ]
+    for at, cases in enumerate(files):
+        df = spark.createDataFrame(cases, "event_id long, trace_id string, stage string, s long").select("event_id", "trace_id", "stage", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            if name.endswith(".parquet") and os.stat(f"{path}/{name}").st_mtime > 1_000_000_100:
+                os.utime(f"{path}/{name}", (1_000_000_000 + at, 1_000_000_000 + at))
+    stages = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    got = drain(ST.stream_deadlines(stages, "trace_id", ["processing"], 1000), "batches", "append")
+    last = {f"t{i}": i for i in range(100) if i % 3} | {f"t{i}": 200 + i for i in range(0, 100, 6)} | {"t3": 301}
+    assert rows(got.drop("batch")) == sorted((str((s + 1000) * 1000), name) for name, s in last.items())
+    # Those of up to second 60 are over at the watermark of the third file, the others at that of the last.
+    assert got.select("batch").distinct().count() == 2
+    assert drained_states(ST.stream_deadlines(stages, "trace_id", ["processing"], 1000), "left") == 0
+
+
 def test_waiting_keys_share_their_state(spark, tmp_path, monkeypatch):
     """400 waiting keys are a few state rows; rows that come before the watermark passes them keep their order in a shard of many keys."""
     monkeypatch.setattr(ST, "SHARDS", 4)
