@@ -8,6 +8,7 @@ numbers stay exact. A key's rows of one ``delay`` are in one task.
 
 Keys are dealt to ``SHARDS`` groups, which share a state and a timer: a call of the state store costs more than the work on a key,
 so there are a few calls for a shard and batch, however many keys it has. A shard's state is read and written as a whole.
+Deadlines need no order of a key's rows but the last: they travel, and are kept, as Arrow tables.
 """
 
 from __future__ import annotations
