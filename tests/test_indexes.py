@@ -145,6 +145,57 @@ def test_postings_are_scored_in_their_block(spark, texts):
     assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\((query_id#\d+L?, chunk_id|bucket#\d+, term#\d+, block)", plan)
 
 
+def moved(spark, job):
+    """Bytes that the stages of ``job`` shuffle, spill and write."""
+    sc = spark.sparkContext
+    bus, store = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore()
+
+    def total():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        stages = [stages.apply(i) for i in range(stages.size())]
+        return {s.stageId(): s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in stages}
+
+    before = total()
+    job()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+def test_index_and_search_take_little_disk(spark, tmp_path):
+    """Texts are not moved, and postings are places and counts: making and searching an index moves and writes less than twice the texts."""
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(20_000)]
+    weight = [1 / (i + 1) for i in range(len(words))]
+    docs = [(i, " ".join(r.choices(words, weight, k=r.randrange(100, 500)))) for i in range(2500)]
+    df = spark.createDataFrame(docs, "chunk_id long, text string").repartition(4)
+    df.write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    asked = spark.createDataFrame([(i, docs[i][1][:300]) for i in range(30)], "query_id long, text string")
+    path = str(tmp_path / "w")
+    found = []
+    size = moved(spark, lambda: (L.build(df, path), found.extend(rows(L.search(asked, path, 10)))))
+    assert found == rows(V.bm25_topk(asked, df, 10))
+    assert size < 2 * sum(len(text) for _, text in docs)
+
+
+def test_any_number_of_segments_and_rounds(spark, tmp_path, monkeypatch):
+    """Small segments, few (query, document) pairs at once and several rounds of queries change nothing; nor do ids and queries that come twice."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(80)]
+    docs = [(r.randrange(-400, 2**61) if i % 3 else i, " ".join(r.choices(words, k=r.randrange(0, 60)))) for i in range(700)]
+    docs += [(6, "w1 w2 w3"), (6, "w1 w2 w3"), (7, " ".join(["w5"] * 40_000)), (8, " ".join(words * 3))]
+    df = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    asked = [(i, " ".join(r.choices(words, k=1 + i % 9))) for i in range(25)] + [(0, "w1"), (0, "w1 w2"), (2**62, "w1 w2 w3"), (30, "unknown")]
+    asked = spark.createDataFrame(asked, "query_id long, text string")
+    want = rows(V.bm25_topk(asked, df, 10))
+    for docs_, words_, pairs, sent, block in ((4096, 2_000_000, 1_000_000, 1_000_000, 64), (100, 700, 90, 70, 7)):
+        for name, value in (("PART_DOCS", docs_), ("PART_WORDS", words_), ("PART_PAIRS", pairs), ("SENT", sent)):
+            monkeypatch.setattr(L, name, value)
+        path = str(tmp_path / f"w{block}")
+        L.build(df, path, block)
+        assert rows(L.search(asked, path, 10, first=1)) == want
+
+
 def test_context_moves_no_texts(spark, texts, clustered):
     """Hits go to the chunks, whatever the size of these."""
     docs, asked, path = texts
